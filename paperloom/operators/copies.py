@@ -1,0 +1,256 @@
+"""Copies hidden by white space, letter case, punctuation and the order of segments.
+
+Characters go through one skip-and-fold table straight into hashes: a rolling polynomial for
+texts whose order counts, and a commutative sum for texts whose segments may be reordered. No
+canonical text is built. Rows meet on a 128-bit key of the exact fields and the hashes; each
+row is then held against one row of its group by a skipping two-pointer comparison, so a
+hash collision cannot merge different records.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paperloom.operators.skew import salted_join
+from paperloom.session import cut
+
+SIGNATURE = T.StructType([T.StructField(n, T.LongType()) for n in ("bag1", "bag2", "n_seg", "poly1", "poly2")])
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Characters that part a description into segments; a dash counts only between blanks.
+SEGMENT_MARKS = "/|:;,·"
+DASHES = "-–—"
+
+
+@lru_cache(maxsize=1)
+def fold_table() -> np.ndarray:
+    """For each code point of the basic plane: 0 to skip it, else its folded code point."""
+    table = np.zeros(0x10001, dtype=np.uint32)
+    for cp in range(0x10000):
+        ch = chr(cp)
+        if ch.isalnum():
+            low = ch.lower()
+            table[cp] = ord(low) if len(low) == 1 else cp
+    table[0x10000] = 0x10000
+    return table
+
+
+@lru_cache(maxsize=1)
+def _mark_table() -> np.ndarray:
+    """1 for a segment mark, 2 for a dash, 3 for white space."""
+    table = np.zeros(0x10001, dtype=np.uint8)
+    for cp in range(0x10000):
+        if chr(cp).isspace():
+            table[cp] = 3
+    for c in SEGMENT_MARKS:
+        table[ord(c)] = 1
+    for c in DASHES:
+        table[ord(c)] = 2
+    return table
+
+
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    z = x.astype(np.uint64) + np.uint64(salt)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _codes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All code points of the texts in one array, the row of each, and the folded codes."""
+    known = texts.fillna("")
+    lengths = known.str.len().to_numpy().astype(np.int64)
+    points = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    rows = np.repeat(np.arange(len(known)), lengths)
+    return points, rows, fold_table()[np.minimum(points, 0x10000)]
+
+
+def _per_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums per row modulo 2**64; rows are in order."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    ends = np.searchsorted(rows, np.arange(n), side="right")
+    starts = np.searchsorted(rows, np.arange(n), side="left")
+    return (total[ends] - total[starts]).view(np.int64)
+
+
+def polynomial(texts: pd.Series, which: int) -> np.ndarray:
+    """The polynomial hash modulo 2**64 of each text's folded characters, skipped ones left out."""
+    points, rows, folded = _codes(texts)
+    kept = folded > 0
+    r, c = rows[kept], folded[kept]
+    first = np.searchsorted(r, np.arange(len(texts)), side="left")
+    at = np.arange(len(r)) - first[r]
+    powers = np.cumprod(np.full(int(at.max()) + 1 if len(at) else 1, _BASES[which], dtype=np.uint64))
+    return _per_row(r, _mix(c, which + 1) * powers[at], len(texts))
+
+
+def bag(texts: pd.Series, which: int) -> np.ndarray:
+    """An order-free hash of each text's folded characters."""
+    _, rows, folded = _codes(texts)
+    kept = folded > 0
+    return _per_row(rows[kept], _mix(folded[kept], 101 + which), len(texts))
+
+
+def segments_of(texts: pd.Series) -> np.ndarray:
+    """How many segment marks each text has, plus one."""
+    points, rows, _ = _codes(texts)
+    marks = _mark_table()[np.minimum(points, 0x10000)]
+    before, after = np.r_[np.uint8(0), marks[:-1]], np.r_[marks[1:], np.uint8(0)]
+    cuts = (marks == 1) | ((marks == 2) & (before == 3) & (after == 3))
+    return np.bincount(rows[cuts], minlength=len(texts)) + 1
+
+
+@F.pandas_udf(SIGNATURE)
+def signature(free: pd.Series, ordered: pd.Series) -> pd.DataFrame:
+    """Hashes of a text with free segment order and of one with fixed order; null texts hash to null."""
+    out = pd.DataFrame({
+        "bag1": bag(free, 0), "bag2": bag(free, 1), "n_seg": segments_of(free),
+        "poly1": polynomial(ordered, 0), "poly2": polynomial(ordered, 1),
+    })
+    out = out.astype("Int64")
+    out.loc[free.isna().to_numpy(), ["bag1", "bag2"]] = pd.NA
+    out.loc[ordered.isna().to_numpy(), ["poly1", "poly2"]] = pd.NA
+    return out
+
+
+def _fold(ch: str) -> str:
+    return (ch.lower() if len(ch.lower()) == 1 else ch) if ch.isalnum() else ""
+
+
+def same_written(a: str | None, b: str | None) -> bool:
+    """Two pointers run over both texts, skip what does not count, and compare folded characters."""
+    if a is None or b is None:
+        return a is b
+    if a == b:
+        return True
+    return _prefix(a, 0, len(a), b, 0, len(b)) == len(b)
+
+
+def _prefix(a: str, i: int, i_end: int, b: str, j: int, j_end: int) -> int:
+    """Where in b the characters of a[i:i_end] end if b continues with them at j (skipped ones eaten); -1 if not."""
+    while True:
+        while i < i_end and not a[i].isalnum():
+            i += 1
+        while j < j_end and not b[j].isalnum():
+            j += 1
+        if i >= i_end:
+            return j
+        if j >= j_end or _fold(a[i]) != _fold(b[j]):
+            return -1
+        i, j = i + 1, j + 1
+
+
+def _ranges(t: str) -> list[tuple[int, int]]:
+    out, start = [], 0
+    for i, ch in enumerate(t):
+        dash = ch in DASHES and 0 < i < len(t) - 1 and t[i - 1].isspace() and t[i + 1].isspace()
+        if ch in SEGMENT_MARKS or dash:
+            out.append((start, i))
+            start = i + 1
+    out.append((start, len(t)))
+    return [(s, e) for s, e in out if any(c.isalnum() for c in t[s:e])]
+
+
+def _tiles(a: str, parts: list[tuple[int, int]], b: str) -> bool:
+    """Whether b is made of the segments of a, each used once, in some order."""
+    stack = [(0, frozenset(range(len(parts))))]
+    seen = set()
+    while stack:
+        j, left = stack.pop()
+        if (j, left) in seen:
+            continue
+        seen.add((j, left))
+        if not left:
+            if _prefix(a, 0, 0, b, j, len(b)) == len(b):
+                return True
+            continue
+        for k in left:
+            s, e = parts[k]
+            end = _prefix(a, s, e, b, j, len(b))
+            if end >= 0:
+                stack.append((end, left - {k}))
+    return False
+
+
+def same_segments(a: str | None, b: str | None) -> bool:
+    """Whether two texts are the same but for what is skipped and the order of segments."""
+    if same_written(a, b):
+        return True
+    if a is None or b is None:
+        return False
+    pa, pb = _ranges(a), _ranges(b)
+    return (len(pa) > 1 and _tiles(a, pa, b)) or (len(pb) > 1 and _tiles(b, pb, a))
+
+
+@F.pandas_udf(T.BooleanType())
+def _verified(free: pd.Series, pivot_free: pd.Series, ordered: pd.Series, pivot_ordered: pd.Series) -> pd.Series:
+    none = lambda s: s.astype(object).where(s.notna(), None)
+    return pd.Series([same_written(c, d) and same_segments(a, b) for a, b, c, d in zip(none(free), none(pivot_free), none(ordered), none(pivot_ordered))], dtype=bool)
+
+
+def _keys(exact: list[str]) -> tuple[Column, Column]:
+    fields = [x for c in exact for x in (F.col(c).isNull(), F.col(c))]
+    s = F.col("_s")
+    return (
+        F.xxhash64(*fields, s["bag1"].isNull(), s["bag1"], s["poly1"].isNull(), s["poly1"]),
+        F.xxhash64(F.lit("second"), *fields, s["bag2"], s["poly2"]),
+    )
+
+
+def copy_links(df: DataFrame, row_id: str, exact: list[str], free: str, ordered: str, per_task: int = 500_000) -> DataFrame:
+    """first_id, copy_id: every row but the first of each set of copies, and the set's smallest id.
+
+    Rows are copies when the ``exact`` columns are equal (null equals null) and ``free`` and
+    ``ordered`` are the same but for white space, case and punctuation, ``free`` also but for the
+    order of its segments. A null text is only equal to null. Texts are compared whole. ``row_id``
+    must be unique; rows with a null id are left out. A set of any size is handled: rows of a hot
+    set are spread by salt, and no set is collected in one place.
+    """
+    base = df.select(F.col(row_id).cast("long").alias("id"), *exact, F.col(free).alias("_free"), F.col(ordered).alias("_ordered"))
+    base = base.where(F.col("id").isNotNull()).withColumn("_s", signature("_free", "_ordered"))
+    k1, k2 = _keys(exact)
+    rows = base.select("id", k1.alias("k1"), k2.alias("k2"), F.col("_s.n_seg").alias("n_seg"), "_free", "_ordered")
+    keys = ["k1", "k2"]
+
+    def groups(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"),
+            F.max(F.struct("n_seg", (-F.col("id")).alias("minus"))).alias("p"),
+        ).where("n_rows > 1").select(*keys, "n_rows", "first_id", (-F.col("p.minus")).alias("pivot_id"))
+
+    done: list[DataFrame] = []
+    while True:
+        sets = cut(groups(rows))
+        members = cut(salted_join(rows, sets, keys, F.col("id"), per_task=per_task))
+        pivots = members.where(F.col("id") == F.col("pivot_id")).select(*keys, F.col("_free").alias("_pf"), F.col("_ordered").alias("_po"))
+        pivots = cut(pivots.join(sets.select(*keys, "n_rows"), keys))
+        held = salted_join(members, pivots, keys, F.col("id"), per_task=per_task)
+        held = cut(held.withColumn("ok", _verified("_free", "_pf", "_ordered", "_po")).drop("_pf", "_po"))
+        odd = cut(held.where(~F.col("ok")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
+        if odd.isEmpty():
+            done.append(held.where(F.col("id") > F.col("first_id")).select("first_id", F.col("id").alias("copy_id")))
+            break
+        good = held.join(odd, keys, "left_anti")
+        done.append(good.where(F.col("id") > F.col("first_id")).select("first_id", F.col("id").alias("copy_id")))
+        mixed = held.join(odd.select(*keys), keys)
+        firsts = cut(mixed.where("ok").groupBy(*keys).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_rows")))
+        again = salted_join(mixed.where("ok"), firsts, keys, F.col("id"), per_task=per_task)
+        done.append(again.where(F.col("id") > F.col("first")).select(F.col("first").alias("first_id"), F.col("id").alias("copy_id")))
+        rows = mixed.where(~F.col("ok")).select("id", *keys, "n_seg", "_free", "_ordered")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def collapse_copies(df: DataFrame, links: DataFrame, row_id: str) -> DataFrame:
+    """One row per record with its number of copies: ``df`` without the copies, plus n_copies (itself included)."""
+    links = cut(links)
+    counts = links.groupBy("first_id").agg((F.count(F.lit(1)) + 1).alias("n_copies"))
+    kept = df.join(links.select(F.col("copy_id").alias(row_id)), row_id, "left_anti")
+    return kept.join(counts, F.col(row_id) == F.col("first_id"), "left").drop("first_id").withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
