@@ -52,12 +52,12 @@ def salted_join(
 def prefix_sum(df: DataFrame, group: str, order: Column, amount: str, out: str, buckets: int = 256) -> DataFrame:
     """Exclusive running sum of ``amount`` per group without a window over a whole group.
 
-    Rows fall into ``buckets`` hash ranges of ``order`` (a non-negative 63-bit hash), so a group
+    Rows fall into ``buckets`` ranges of ``order`` (0 to 2**62 - 1, such as a hash), so a group
     is summed as ``buckets`` independent windows plus one tiny window over bucket totals. The
     order inside a group is that of the hash, which is total when the hash is of a unique id.
     Nulls count as 0; null groups form one group.
     """
-    width = (1 << 62) // buckets * 2
+    width = (1 << 62) // buckets
     marked = df.withColumn("_o", order).withColumn("_b", (F.col("_o") / F.lit(width)).cast("int"))
     marked = marked.withColumn("_a", F.coalesce(F.col(amount), F.lit(0)).cast("long"))
     totals = marked.groupBy(group, "_b").agg(F.sum("_a").alias("_t"))
