@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.leakage import MIN_RUN, leaks
 from paperloom.llm.mixture import Mixture
 from paperloom.llm.pieces import DEFAULT_SIZE, split_items
+from paperloom.llm.subjects import assigned, subjects_of, train
 from paperloom.operators.skew import salted_join
 from paperloom.session import cut, load
 
@@ -57,8 +58,24 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).report()
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs, names = load(spark, d, "documents"), subjects_of(load(spark, d, "subject_areas"))
+    return assigned(docs, train(docs, load(spark, d, "subject_labels"), names), names)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects that a document treats in three or more sentences."""
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and treating sentences per subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_report": p7_report,
+    "p8_found": p8_found, "p8_composition": p8_composition,
 }
 
 ORACLE = {
