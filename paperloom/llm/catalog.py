@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from paperloom.llm.leakage import MIN_RUN, leaks
 from paperloom.llm.mixture import Mixture
 from paperloom.llm.pieces import DEFAULT_SIZE, split_items
+from paperloom.llm.scans import decoded, repaired
 from paperloom.llm.subjects import assigned, subjects_of, train
 from paperloom.operators.skew import salted_join
 from paperloom.session import cut, load
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return decoded(load(spark, d, "ocr_regions"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that are page furniture, end in a cut word, or hold a misread word."""
+    return _scans(spark, d).where("kind != 'body'").select("region_id", "line_no", "kind").distinct()
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of each region."""
+    return repaired(_scans(spark, d))
+
+
 def _sized_items(spark: SparkSession, d: str) -> DataFrame:
     """Chunk items with the limits of their preview; an item without a preview gets the defaults."""
     items = load(spark, d, "chunk_items").select("preview_id", "chunk_id", "content")
@@ -74,6 +89,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_text": p1_text,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_report": p7_report,
     "p8_found": p8_found, "p8_composition": p8_composition,
 }
