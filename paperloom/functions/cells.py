@@ -5,6 +5,8 @@ Every function takes a column (or a name) and gives null for null unless it says
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
@@ -40,7 +47,7 @@ def sanitize_identifier(c: Column | str) -> Column:
     """A name of lower-case letters, digits and single underscores; ``col_`` leads where a letter would not."""
     x = F.regexp_replace(F.lower(strip(_col(c))), r"[^a-zA-Z0-9_]", "_")
     x = F.regexp_replace(F.regexp_replace(x, r"_+", "_"), r"^_+|_+$", "")
-    return F.when((x == "") | x.rlike(r"^[0-9]"), F.concat(F.lit("col_"), x)).otherwise(x)
+    return F.regexp_replace(x, r"^(?=[0-9]|$)", "col_")
 
 
 def parse_number(c: Column | str) -> Column:
@@ -49,43 +56,42 @@ def parse_number(c: Column | str) -> Column:
     The later of two kinds of separator is the decimal one; one kind alone parts thousands if exactly
     three digits follow the last. Everything but digits and separators is dropped first.
     """
-    x = clean_cell(c)
-    bracketed = x.startswith("(") & x.endswith(")")
-    negative = bracketed | x.startswith("-")
-    digits = F.regexp_replace(x, r"[^0-9.,]", "")
-    last_dot, last_comma = F.length(F.substring_index(digits, ".", -1)), F.length(F.substring_index(digits, ",", -1))
-    both = digits.contains(".") & digits.contains(",")
-    one = F.when(digits.contains("."), ".").otherwise(",")
-    tail = F.regexp_extract(digits, r"([^.,]*)$", 1)
-    head = F.regexp_replace(F.regexp_extract(digits, r"^(.*)[.,][^.,]*$", 1), r"[.,]", "")
-    thousands = (F.length(tail) == 3) & (F.length(head) >= 1)
-    single = F.when(thousands, F.concat(head, tail)).otherwise(
-        F.concat(F.regexp_extract(digits, r"^(.*)[.,][^.,]*$", 1), F.lit("."), tail)
-    )
-    dotted = F.replace(digits, F.lit(","), F.lit(""))
-    comma_decimal = F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = (
-        F.when(both, F.when(last_dot < last_comma, dotted).otherwise(comma_decimal))
-        .when(digits.contains(one), single)
-        .otherwise(digits)
+
+    def read(x: Column) -> Column:
+        plain = let(F.regexp_replace(x, r"[^0-9.,]", ""), _plain_number)
+        value = let(plain, lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p.try_cast("double")))
+        negative = (x.startswith("(") & x.endswith(")")) | x.startswith("-")
+        return F.when(~x.isin(*NULL_TOKENS) & (x != ""), F.when(negative, -value).otherwise(value))
+
+    return let(clean_cell(c), read)
+
+
+def _plain_number(digits: Column) -> Column:
+    dot_last = F.length(F.substring_index(digits, ".", -1)) < F.length(F.substring_index(digits, ",", -1))
+    thousands = digits.rlike(r"\d.*[.,][^.,]{3}$")
+    return (
+        F.when(digits.contains(".") & digits.contains(","), F.when(dot_last, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.translate(digits, ",.", ".")))
+        .when(thousands, F.regexp_replace(digits, "[.,]", ""))
+        .otherwise(F.regexp_replace(digits, r"^(.*)[.,]([^.,]*)$", "$1.$2"))
     )
-    value = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("double"))
-    return F.when(x.isin(*NULL_TOKENS) | (x == ""), F.lit(None).cast("double")).otherwise(F.when(negative, -value).otherwise(value))
 
 
 def parse_date(c: Column | str) -> Column:
     """``YYYY-MM-DD`` from packed, ISO or day-first dates; shape is checked, the calendar is not."""
-    x = clean_cell(c)
     packed = r"^((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"
     iso = r"^((?:19|20)\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"
     day = r"^(0?[1-9]|[12]\d|3[01])[./-](0?[1-9]|1[0-2])[./-]((?:19|20)?\d{2})$"
-    part = lambda p, k: F.regexp_extract(x, p, k)
-    year = F.when(F.length(part(day, 3)) == 2, F.concat(F.lit("20"), part(day, 3))).otherwise(part(day, 3))
-    return (
-        F.when(x.rlike(packed), F.concat_ws("-", part(packed, 1), part(packed, 2), part(packed, 3)))
-        .when(x.rlike(iso), x)
-        .when(x.rlike(day), F.concat_ws("-", year, F.lpad(part(day, 2), 2, "0"), F.lpad(part(day, 1), 2, "0")))
-    )
+
+    def read(x: Column) -> Column:
+        part = lambda k: F.regexp_extract(x, day, k)
+        year = F.right(F.concat(F.lit("20"), part(3)), F.lit(4))
+        return (
+            F.when(x.rlike(packed), F.regexp_replace(x, packed, "$1-$2-$3"))
+            .when(x.rlike(iso), x)
+            .when(x.rlike(day), F.concat_ws("-", year, F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")))
+        )
+
+    return let(clean_cell(c), read)
 
 
 def parse_rupiah(c: Column | str) -> Column:

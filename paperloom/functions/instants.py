@@ -14,12 +14,13 @@ gives a date. Two-digit years are 20YY.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.cells import let
+
 # Month and weekday names (Indonesian and English) and zone abbreviations in minutes.
 MONTHS = {
     "januari": 1, "january": 1, "jan": 1, "februari": 2, "february": 2, "pebruari": 2, "feb": 2, "peb": 2,
@@ -143,11 +144,6 @@ def zone_of(spark: SparkSession, zona: Column | None) -> Column:
     )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _components(p: Column) -> Column:
     part = {n: F.nullif(p[i], F.lit("")) for i, n in enumerate(_NAMES)}
     num = {n: part[n].try_cast("int") for n in ("y", "m", "d", "dm", "md", "yy", "h", "mi", "s", "oh", "om")}

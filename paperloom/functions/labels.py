@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.cells import let
+
 # Layout labels by kind.
 REGION_KINDS = {
     "title": ("doc_title", "document_title", "title"),
@@ -99,7 +101,7 @@ def normalize_specs(c: Column) -> Column:
     token = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9_]+", "_"), r"^_+|_+$", "")
     tokens = F.concat(F.array(token(F.trim(c))), F.transform(F.split(F.lower(F.trim(c)), r"[,;|+/\s]+"), token))
     found = F.array_distinct(F.filter(F.transform(tokens, lambda t: F.try_element_at(alias, t)), lambda s: s.isNotNull()))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("plain")))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("plain"))))
 
 
 def diagram_type(c: Column) -> Column:
@@ -119,9 +121,12 @@ def policy_diagram_type(c: Column) -> Column:
 
 def diagram_advice(c: Column) -> Column:
     """struct(diagram_type, recommended_format, is_mermaid_compatible): only flow charts become code."""
-    kind = diagram_type(policy_diagram_type(c))
-    flow = kind == "flowchart"
-    return F.struct(kind.alias("diagram_type"), F.when(flow, "mermaid_code").otherwise("text_description").alias("recommended_format"), flow.alias("is_mermaid_compatible"))
+
+    def advise(kind: Column) -> Column:
+        flow = kind == "flowchart"
+        return F.struct(kind.alias("diagram_type"), F.when(flow, "mermaid_code").otherwise("text_description").alias("recommended_format"), flow.alias("is_mermaid_compatible"))
+
+    return let(let(policy_diagram_type(c), diagram_type), advise)
 
 
 def progress(status: Column, current: Column, total: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions.cells import strip
+from paperloom.functions.cells import let, strip
 
 MARKER = r"(?i)<!--\s*(?:PAGE|SLIDE)\s*:?\s*(\d+)\s*-->"
 # How a leaked train of thought begins, titles that say nothing, marks of visuals.
@@ -82,17 +83,28 @@ def strip_images(c: Column) -> Column:
 
 def strip_thinking(c: Column) -> Column:
     """A model's answer without its train of thought, tagged or leading."""
-    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<think>[\s\S]*?</think>", "")
-    x = F.when(x.rlike("(?i)</think>"), F.regexp_replace(x, r"(?i)^[\s\S]*?</think>", "")).otherwise(x)
-    x = F.when(x.rlike("(?i)<think>"), F.regexp_replace(x, r"(?i)<think>[\s\S]*$", "")).otherwise(x)
-    lines = lines_of(x)
     opens = lambda s: s.rlike(r"^(?:#|\||>|---|```|- |\* |1\. |<!--)") | (s.startswith("**") & s.endswith("**"))
-    thinks = lambda s: reduce(lambda a, b: a | b, [F.lower(s).startswith(p) for p in REASONING])
-    flagged = F.transform(lines, lambda s, i: F.when((strip(s) != "") & ~thinks(strip(s)) & opens(strip(s)), i))
-    first = F.array_min(F.filter(flagged, lambda i: i.isNotNull()))
-    before = F.lower(F.array_join(F.slice(lines, F.lit(1), F.greatest(first, F.lit(1))), "\n"))
-    leaked = reduce(lambda a, b: a | b, [before.contains(p) for p in REASONING])
-    return strip(F.when((first > 0) & leaked, F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")).otherwise(x))
+    begins = "(?i)^(?:" + "|".join(re.escape(p) for p in REASONING) + ")"
+    holds = "(?i)" + "|".join(re.escape(p) for p in REASONING)
+
+    def untag(x: Column) -> Column:
+        return F.when(x.contains("<") & x.rlike("(?i)</?think>"), F.regexp_replace(F.regexp_replace(x, r"(?i)^[\s\S]*?</think>", ""), r"(?i)<think>[\s\S]*$", "")).otherwise(x)
+
+    def lead(x: Column) -> Column:
+        """Where content begins after leading talk; only texts that hold such talk are looked at line by line."""
+
+        def cut_at(lines: Column) -> Column:
+            flagged = F.transform(lines, lambda s, i: let(strip(s), lambda t: F.when((t != "") & ~t.rlike(begins) & opens(t), i)))
+
+            def rest(first: Column) -> Column:
+                before = F.array_join(F.slice(lines, F.lit(1), F.greatest(first, F.lit(1))), "\n")
+                return F.when((first > 0) & before.rlike(holds), F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")).otherwise(x)
+
+            return let(F.array_min(F.filter(flagged, lambda i: i.isNotNull())), rest)
+
+        return strip(F.when(x.rlike(holds), let(lines_of(x), cut_at)).otherwise(x))
+
+    return let(let(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<think>[\s\S]*?</think>", ""), untag), lead)
 
 
 def strip_markers(c: Column) -> Column:
@@ -102,26 +114,34 @@ def strip_markers(c: Column) -> Column:
 
 def unfence(c: Column) -> Column:
     """A text without the code fence put around the whole of it."""
-    x = strip(c)
-    inner = F.regexp_extract(x, r"(?s)^```(?:markdown|md)?(?!mermaid)(.*)```$", 1)
-    fenced = x.startswith("```") & x.endswith("```") & (F.length(x) >= 6) & ~x.startswith("```mermaid")
-    return F.when(fenced, strip(inner)).otherwise(x)
+
+    def inner(x: Column) -> Column:
+        fenced = x.startswith("```") & x.endswith("```") & (F.length(x) >= 6) & ~x.startswith("```mermaid")
+        return F.when(fenced, strip(F.regexp_extract(x, r"(?s)^```(?:markdown|md)?(.*)```$", 1))).otherwise(x)
+
+    return let(strip(c), inner)
 
 
 def collapse_blocks(c: Column) -> Column:
     """A text in which a block that repeats the one before it is left out."""
-    blocks = F.split(strip(c), r"\n{2,}", -1)
-    kept = F.filter(blocks, lambda b, i: (i == 0) | (strip(b) != strip(F.get(blocks, i - 1))))
-    return F.when((strip(c) == "") | (F.size(blocks) <= 1), c).otherwise(F.array_join(kept, "\n\n"))
+
+    def kept(blocks: Column) -> Column:
+        some = F.filter(blocks, lambda b, i: (i == 0) | (strip(b) != strip(F.get(blocks, i - 1))))
+        return F.when(F.size(blocks) <= 1, c).otherwise(F.array_join(some, "\n\n"))
+
+    return let(F.split(strip(c), r"\n{2,}", -1), kept)
 
 
 def title_of(c: Column, fallback: Column | None = None) -> Column:
     """A document's title: first telling level-one heading, else level two, else bold line among the first five."""
-    lines = F.filter(F.transform(lines_of(strip_markers(c)), strip), lambda x: x != "")
     telling = lambda t: (t != "") & ~F.lower(t).isin(*GENERIC_TITLES)
-    head = lambda p: F.get(F.filter(F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: strip(F.regexp_replace(x, r"^#+ ", ""))), telling), F.lit(0))
-    bold = F.get(F.filter(F.transform(F.slice(lines, 1, 5), lambda x: strip(F.regexp_extract(x, r"^\*\*(.+?)\*\*$", 1))), lambda t: telling(t) & (F.length(t) > 3)), F.lit(0))
-    return F.coalesce(head(r"^# (?!#)"), head(r"^## (?!#)"), bold, *([fallback] if fallback is not None else []))
+
+    def choose(lines: Column) -> Column:
+        head = lambda p: F.get(F.filter(F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: strip(F.regexp_replace(x, r"^#+ ", ""))), telling), F.lit(0))
+        bold = F.get(F.filter(F.transform(F.slice(lines, 1, 5), lambda x: strip(F.regexp_extract(x, r"^\*\*(.+?)\*\*$", 1))), lambda t: telling(t) & (F.length(t) > 3)), F.lit(0))
+        return F.coalesce(head(r"^# (?!#)"), head(r"^## (?!#)"), bold, *([fallback] if fallback is not None else []))
+
+    return let(F.filter(F.transform(lines_of(strip_markers(c)), strip), lambda x: x != ""), choose)
 
 
 def stitch(pages: DataFrame, key: str, number: str, content: str, title: str | None = None, markers: bool = True) -> DataFrame:
@@ -201,12 +221,15 @@ def visual_description(c: Column) -> Column:
 
 def accepted_revision(draft: Column, raw: Column) -> Column:
     """The revised text if it passes the guards, else the draft: leaks, emptiness, lost diagrams, bloat, truncation."""
-    refined = collapse_blocks(strip_markers(unfence(strip_thinking(raw))))
-    leaked = reduce(lambda a, b: a | b, [F.lower(raw).contains(p) for p in LEAKS])
+    leaked = F.lower(raw).rlike("|".join(re.escape(p) for p in LEAKS))
     fences = lambda t: F.regexp_count(t, F.lit(r"(?im)^\s*```mermaid\b"))
-    a, b = F.length(draft), F.length(refined)
-    bad = leaked | (refined == "") | (fences(refined) < fences(draft)) | ((a > 500) & (b > 1.8 * a)) | ((a > 800) & (b < 0.45 * a))
-    return F.when(bad | refined.isNull(), draft).otherwise(refined)
+
+    def judge(refined: Column) -> Column:
+        a, b = F.length(draft), F.length(refined)
+        bad = leaked | (refined == "") | (fences(refined) < fences(draft)) | ((a > 500) & (b > 1.8 * a)) | ((a > 800) & (b < 0.45 * a))
+        return F.when(bad | refined.isNull(), draft).otherwise(refined)
+
+    return let(let(let(strip_thinking(raw), unfence), lambda x: let(strip_markers(x), collapse_blocks)), judge)
 
 
 def normalized_words(c: Column) -> Column:
