@@ -169,7 +169,8 @@ def repair_tables(text: str) -> str:
                 while ahead < len(lines) and not lines[ahead].strip():
                     ahead += 1
                 new_table = ahead + 1 < len(lines) and bool(_SEPARATOR.fullmatch(lines[ahead + 1].strip()))
-                if ahead < len(lines) and _is_row(lines[ahead]) and not new_table:
+                goes_on = ahead < len(lines) and (_is_row(lines[ahead]) or lines[ahead].count("|") >= max(2, width - 1))
+                if goes_on and not new_table:
                     k = ahead
                     continue
                 break
