@@ -152,7 +152,7 @@ def stable_text(c: Column | str, kind: str) -> Column:
         return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
     if kind == "n":
         whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-        return F.when(whole, F.format_string("%d", x.cast("long"))).otherwise(F.format_string("%s", x))
+        return F.when(x.isNotNull(), F.when(whole, F.format_string("%d", x.cast("long"))).otherwise(x.cast("string")))
     return x.cast("string")
 
 

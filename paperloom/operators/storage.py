@@ -37,7 +37,7 @@ def evolve(table: DataFrame, rows: DataFrame) -> DataFrame:
 def _plain(c: Column, kind: str) -> Column:
     """A value inside a hash: nothing for null, no exponent for numbers."""
     if kind == "number":
-        return F.coalesce(F.format_string("%.2f", c.cast("double")), F.lit("0"))
+        return F.when(c.isNull(), "0").otherwise(F.format_string("%.2f", c.cast("double")))
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
