@@ -251,6 +251,7 @@ def copy_links(df: DataFrame, row_id: str, exact: list[str], free: str, ordered:
 def collapse_copies(df: DataFrame, links: DataFrame, row_id: str) -> DataFrame:
     """One row per record with its number of copies: ``df`` without the copies, plus n_copies (itself included)."""
     links = cut(links)
-    counts = links.groupBy("first_id").agg((F.count(F.lit(1)) + 1).alias("n_copies"))
-    kept = df.join(links.select(F.col("copy_id").alias(row_id)), row_id, "left_anti")
-    return kept.join(counts, F.col(row_id) == F.col("first_id"), "left").drop("first_id").withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
+    counts = links.groupBy(F.col("first_id").alias("_first_of_set")).agg((F.count(F.lit(1)) + 1).alias("_size_of_set"))
+    kept = df.drop("n_copies").join(links.select(F.col("copy_id").alias(row_id)), row_id, "left_anti")
+    joined = kept.join(counts, F.col(row_id) == F.col("_first_of_set"), "left")
+    return joined.withColumn("n_copies", F.coalesce("_size_of_set", F.lit(1))).drop("_first_of_set", "_size_of_set")

@@ -342,3 +342,36 @@ def workbook_markdown(sheets: DataFrame, key: str, title: str) -> DataFrame:
     part = F.concat(F.lit("## "), F.col("sheet"), F.lit("\n\n"), F.col("markdown"))
     g = sheets.groupBy(key).agg(F.max(title).alias("_t"), F.array_sort(F.collect_list(F.struct("tab_no", part.alias("p")))).alias("x"))
     return g.select(key, F.concat(F.lit("# "), "_t", F.lit("\n\n"), F.array_join(F.col("x.p"), "\n\n"), F.lit("\n")).alias("text"))
+
+
+def bridging_cells(styled: DataFrame, filled: DataFrame, keys: list[str]) -> DataFrame:
+    """Empty styled cells with filled cells on both sides, left and right or above and below: they hold a table together."""
+    near = filled.select(*keys, "row", "col").distinct()
+    shifted = None
+    for side, dr, dc in (("l", 0, 1), ("r", 0, -1), ("a", 1, 0), ("b", -1, 0)):
+        part = near.select(*keys, (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.lit(side).alias("side"))
+        shifted = part if shifted is None else shifted.unionByName(part)
+    sides = shifted.groupBy(*keys, "row", "col").agg(F.collect_set("side").alias("s"))
+    both = lambda x, y: F.array_contains("s", x) & F.array_contains("s", y)
+    return styled.select(*keys, "row", "col").distinct().join(sides, [*keys, "row", "col"]).where(both("l", "r") | both("a", "b")).select(*keys, "row", "col")
+
+
+def drawing_regions(drawings: DataFrame, keys: list[str]) -> DataFrame:
+    """Pictures and charts as regions of kind mixed; an end anchor that is missing is the start's."""
+    end = lambda a, b: F.greatest(F.coalesce(F.col(a), F.col(b)), F.col(b))
+    return drawings.select(*keys, "title", "min_row", end("max_row", "min_row").alias("max_row"), "min_col", end("max_col", "min_col").alias("max_col"), F.lit("mixed").alias("kind"))
+
+
+def visual_plan(sheets: DataFrame, region: DataFrame, keys: list[str]) -> DataFrame:
+    """What must be looked at as a picture: a dashboard as one rectangle, on plain and summary sheets only mixed regions."""
+    x = region.join(sheets.where("visible").select(*keys, "role"), keys)
+    boards = x.where("role = 'dashboard'").groupBy(*keys).agg(F.min("min_row").alias("min_row"), F.max("max_row").alias("max_row"), F.min("min_col").alias("min_col"), F.max("max_col").alias("max_col"))
+    parts = x.where((~F.col("role").isin("dashboard", "detail", "support")) & (F.col("kind") == "mixed")).select(*keys, "min_row", "max_row", "min_col", "max_col")
+    return boards.unionByName(parts)
+
+
+def needs_visual_tables(planned: DataFrame, pictures: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned rectangles that a pasted picture touches: their tables have no native cells."""
+    p = pictures.select(*keys, *[F.col(b).alias(f"_{b}") for b in ("min_row", "max_row", "min_col", "max_col")])
+    touch = (F.col("max_row") >= F.col("_min_row")) & (F.col("_max_row") >= F.col("min_row")) & (F.col("max_col") >= F.col("_min_col")) & (F.col("_max_col") >= F.col("min_col"))
+    return planned.join(p, keys).where(touch).select(planned.columns).distinct()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paperloom.plans import cells, data_quality, documents, stored
+from paperloom.plans import cells, data_quality, documents, stored, streams
 
-_PARTS = (data_quality, cells, stored, documents)
+_PARTS = (data_quality, cells, stored, documents, streams)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
