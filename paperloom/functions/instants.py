@@ -54,8 +54,9 @@ def _longest_first(words) -> str:
 def layout_pattern() -> tuple[str, str]:
     """The alternation and the replacement that lines its groups up.
 
-    The named groups of an alternative carry its number; the replacement joins the numbered
-    groups of one component, of which at most one took part in the match.
+    Weekday and clock stand once around the alternatives of dates. The named groups of an
+    alternative carry its number; the replacement joins the groups of one component, of which
+    at most one took part in the match.
     """
     month, day_name = _longest_first(MONTHS), _longest_first(WEEKDAYS)
     offset = r"(?:(?:UTC|GMT)?(?<oh{k}>[+-]\d{{1,2}})(?::?(?<om{k}>\d{{2}}))?|(?<zone{k}>" + _longest_first(OFFSETS) + "))"
@@ -70,19 +71,15 @@ def layout_pattern() -> tuple[str, str]:
         r"(?<d{k}>\d{{1,2}})(?:st|nd|rd|th)?[\s./-]+(?<mon{k}>" + month + r")\.?[\s./,-]+(?:(?<y{k}>\d{{4}})|(?<yy{k}>\d{{2}}))",
         r"(?<mon{k}>" + month + r")\.?\s+(?<d{k}>\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s+(?<y{k}>\d{{4}})",
     ]
-    options = [lead.replace("{", "{{").replace("}", "}}") + d + tail for d in dates]
-    options.append(
-        r"(?<y{k}>\d{{4}})(?<m{k}>\d{{2}})(?<d{k}>\d{{2}})T(?<h{k}>\d{{2}})(?<mi{k}>\d{{2}})(?<s{k}>\d{{2}})?(?:[.,]\d+)?(?:" + offset + ")?"
-    )
-    options.append(r"(?<num{k}>\d{{5,16}}(?:\.\d+)?)")
-    known: list[str] = []
-    for k, option in enumerate(options):
-        known.append(option.format(k=k))
-    pattern = r"(?iu)^[\s ​﻿]*(?:" + "|".join(known) + r")[\s ​﻿]*$"
-    whole = "".join(known)
+    known = [d.format(k=k) for k, d in enumerate(dates)]
+    times = [tail.format(k="t")]
+    compact = (r"(?<y{k}>\d{{4}})(?<m{k}>\d{{2}})(?<d{k}>\d{{2}})T(?<h{k}>\d{{2}})(?<mi{k}>\d{{2}})(?<s{k}>\d{{2}})?(?:[.,]\d+)?(?:" + offset + ")?").format(k="c")
+    number = r"(?<numn>\d{5,16}(?:\.\d+)?)"
+    pattern = r"(?i)^[\s ​﻿]*(?:" + lead + "(?:" + "|".join(known) + ")" + times[0] + "|" + compact + "|" + number + r")[\s ​﻿]*$"
+    whole = pattern
     slots = []
     for name in _NAMES:
-        slots.append("".join(f"${{{name}{k}{v}}}" for k in range(len(options)) for v in ("", "s", "p") if f"(?<{name}{k}{v}>" in whole))
+        slots.append("".join(f"${{{name}{k}{v}}}" for k in (*range(len(dates)), "t", "c", "n") for v in ("", "s", "p") if f"(?<{name}{k}{v}>" in whole))
     return pattern, _SEP.join(slots)
 
 
@@ -220,7 +217,8 @@ def with_norm(df: DataFrame, value: str, zona: str | None, out: str = "norm_valu
     zone = zone_of(df.sparkSession, F.col(zona) if zona else None)
     iso = lambda a, k: F.substring(raw, a, k).try_cast("int")
     is_iso = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-    parts = F.when(raw.rlike(pattern), F.split(F.regexp_replace(raw, pattern, replacement), _SEP, -1))
+    # A text that does not fit is left as it is by the replacement, so it holds no separator.
+    parts = let(F.regexp_replace(raw, pattern, replacement), lambda x: F.when(x.contains(_SEP) & ~raw.contains(_SEP), F.split(x, _SEP, -1)))
     free = let(let(let(parts, _components), _bare_numbers), lambda c: _assemble(c, zone))
     return df.withColumn(
         out, F.when(is_iso, F.when(_real(iso(1, 4), iso(6, 2), iso(9, 2)), raw)).otherwise(free)
