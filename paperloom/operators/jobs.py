@@ -99,9 +99,9 @@ def latest_progress(log: DataFrame, job: str, order: str, line: str) -> DataFram
         .when(t.contains("Guardrail Cross-Verification"), "audit").when(t.contains("Hasil Markdown berhasil disimpan ke:"), "saved").when(current.isNotNull(), "page")
         .when(t.rlike(done), "rendered")
     )
-    x = log.select(job, order, current.alias("c"), total.alias("n"), stage.alias("s"))
+    x = log.select(job, order, current.alias("_current"), total.alias("_total"), stage.alias("_stage"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
-    return x.groupBy(job).agg(last("c").alias("current_page"), last("n").alias("total_pages"), last("s").alias("stage"))
+    return x.groupBy(job).agg(last("_current").alias("current_page"), last("_total").alias("total_pages"), last("_stage").alias("stage"))
 
 
 def merge_listings(memory: DataFrame, disk: DataFrame, key: str, active: str, changed: str) -> DataFrame:

@@ -182,7 +182,8 @@ def repair_tables(text: str) -> str:
                     row = "| " + row.strip()
                 else:
                     break
-            if k + 1 < len(lines) and _SEPARATOR.fullmatch(lines[k + 1].strip()) and len(_cells(row)) != width:
+            opens_new = k + 1 < len(lines) and _SEPARATOR.fullmatch(lines[k + 1].strip()) and len(_cells(lines[k + 1])) == len(_cells(row)) != width
+            if opens_new:
                 break
             cells = _cells(row)
             if len(cells) > width:

@@ -37,26 +37,22 @@ def register(spark: SparkSession) -> None:
     The scalar functions are SQL functions, inlined by the optimiser; no Python runs for them.
     """
     clean = r"trim(regexp_replace(trim(regexp_replace(s, '\\s+', ' ')), '^[*_]+|[*_]+$', ''))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_cell(s STRING) RETURNS STRING RETURN {clean}")
-    spark.sql(
-        r"CREATE OR REPLACE TEMPORARY FUNCTION sanitize_ident(s STRING) RETURNS STRING RETURN "
-        r"regexp_replace(regexp_replace(trim('_' FROM regexp_replace(regexp_replace(lower(trim(s)), '[^a-zA-Z0-9_]', '_'), '_+', '_')), '^([0-9])', 'col_$1'), '^$', 'col_')"
-    )
-    spark.sql(
-        r"CREATE OR REPLACE TEMPORARY FUNCTION parse_date_iso(s STRING) RETURNS STRING RETURN CASE "
-        r"WHEN clean_cell(s) RLIKE '^(19|20)\\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])$' THEN concat_ws('-', substr(clean_cell(s), 1, 4), substr(clean_cell(s), 5, 2), substr(clean_cell(s), 7, 2)) "
-        r"WHEN clean_cell(s) RLIKE '^(19|20)\\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\\d|3[01])$' THEN clean_cell(s) "
-        r"WHEN clean_cell(s) RLIKE '^(0?[1-9]|[12]\\d|3[01])[./-](0?[1-9]|1[0-2])[./-]((19|20)?\\d{2})$' THEN concat_ws('-', "
-        r"right(concat('20', regexp_extract(clean_cell(s), '(\\d+)$', 1)), 4), lpad(split(clean_cell(s), '[./-]')[1], 2, '0'), lpad(split(clean_cell(s), '[./-]')[0], 2, '0')) END"
-    )
-    spark.sql(
-        r"CREATE OR REPLACE TEMPORARY FUNCTION parse_number(s STRING) RETURNS DOUBLE RETURN "
-        r"(SELECT CASE WHEN c IN ('-', '--', 'N/A', 'NA', 'null', 'None', '') THEN NULL WHEN (c LIKE '(%)') OR c LIKE '-%' THEN -v ELSE v END FROM "
-        r"(SELECT c, CASE WHEN p RLIKE '^\\d+(\\.\\d+)?$' THEN try_cast(p AS DOUBLE) END AS v FROM "
-        r"(SELECT c, CASE WHEN d LIKE '%.%' AND d LIKE '%,%' THEN CASE WHEN instr(reverse(d), '.') < instr(reverse(d), ',') THEN replace(d, ',', '') ELSE replace(replace(d, '.', ''), ',', '.') END "
-        r"WHEN d RLIKE '[.,]' THEN CASE WHEN d RLIKE '\\d.*[.,][^.,]{3}$' THEN regexp_replace(d, '[.,]', '') ELSE regexp_replace(d, '^(.*)[.,]([^.,]*)$', '$1.$2') END ELSE d END AS p FROM "
-        r"(SELECT clean_cell(s) AS c, regexp_replace(clean_cell(s), '[^0-9.,]', '') AS d))))"
-    )
+    bodies = {
+        "clean_cell(s STRING) RETURNS STRING": clean,
+        "sanitize_ident(s STRING) RETURNS STRING": r"regexp_replace(trim('_' FROM regexp_replace(regexp_replace(lower(trim(s)), '[^a-zA-Z0-9_]', '_'), '_+', '_')), '^(?=[0-9]|$)', 'col_')",
+        "parse_date_iso(s STRING) RETURNS STRING": r"transform(array(" + clean + r"), c -> CASE "
+        r"WHEN c RLIKE '^(19|20)\\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])$' THEN concat_ws('-', substr(c, 1, 4), substr(c, 5, 2), substr(c, 7, 2)) "
+        r"WHEN c RLIKE '^(19|20)\\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\\d|3[01])$' THEN c "
+        r"WHEN c RLIKE '^(0?[1-9]|[12]\\d|3[01])[./-](0?[1-9]|1[0-2])[./-]((19|20)?\\d{2})$' THEN concat_ws('-', "
+        r"right(concat('20', regexp_extract(c, '(\\d+)$', 1)), 4), lpad(split(c, '[./-]')[1], 2, '0'), lpad(split(c, '[./-]')[0], 2, '0')) END)[0]",
+        "parse_number(s STRING) RETURNS DOUBLE": r"transform(array(" + clean + r"), c -> CASE WHEN c IN ('-', '--', 'N/A', 'NA', 'null', 'None', '') THEN NULL ELSE "
+        r"(CASE WHEN c LIKE '(%)' OR c LIKE '-%' THEN -1 ELSE 1 END) * transform(array(regexp_replace(c, '[^0-9.,]', '')), d -> transform(array("
+        r"CASE WHEN d LIKE '%.%' AND d LIKE '%,%' THEN CASE WHEN instr(reverse(d), '.') < instr(reverse(d), ',') THEN replace(d, ',', '') ELSE translate(d, ',.', '.') END "
+        r"WHEN d RLIKE '\\d.*[.,][^.,]{3}$' THEN regexp_replace(d, '[.,]', '') ELSE regexp_replace(d, '^(.*)[.,]([^.,]*)$', '$1.$2') END), "
+        r"p -> CASE WHEN p RLIKE '^\\d+(\\.\\d+)?$' THEN try_cast(p AS DOUBLE) END)[0])[0] END)[0]",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
     @F.udtf(returnType=TABLE_SCHEMA)
     class MarkdownTables:

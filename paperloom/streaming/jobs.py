@@ -27,9 +27,10 @@ def progress_stream(lines: DataFrame, job: str, at: str, line: str, late: str =
     """job, current_page, total_pages, percent: the furthest page each job's lines tell of, kept per job under a watermark."""
     page = r"(?i)(?:Memproses Halaman\s+|\[Slide\s+)(\d+)\s*/\s*(\d+)"
     n = lambda k: F.regexp_extract(line, page, k).try_cast("int")
-    x = lines.withWatermark(at, late).where(F.col(line).rlike(page)).select(job, at, n(1).alias("c"), n(2).alias("t"))
-    last = x.groupBy(job).agg(F.max(F.struct(at, "c", "t")).alias("m"))
-    return last.select(job, F.col("m.c").alias("current_page"), F.col("m.t").alias("total_pages"), progress(F.lit("running"), F.col("m.c"), F.col("m.t")).alias("percent"))
+    x = lines.withWatermark(at, late).where(F.col(line).rlike(page)).select(job, at, n(1).alias("_current"), n(2).alias("_total"))
+    last = x.groupBy(job).agg(F.max(F.struct(at, "_current", "_total")).alias("_m"))
+    current, total = F.col("_m._current"), F.col("_m._total")
+    return last.select(job, current.alias("current_page"), total.alias("total_pages"), progress(F.lit("running"), current, total).alias("percent"))
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -145,7 +145,7 @@ def test_jobs(spark):
 
 
 def test_survey(spark):
-    p = spark.createDataFrame([("d", i, "table", [0.1, 0.5 + (0.01 * i if i < 5 else 0.2)]) for i in range(1, 9)] + [("d", 9, "text", None)], "doc string, p int, m string, s array<double>")
+    p = spark.createDataFrame([("d", i, "table", [0.1, 0.5 + (0.005 * i if i < 5 else 0.2)]) for i in range(1, 9)] + [("d", 9, "text", None)], "doc string, p int, m string, s array<double>")
     spans = [r["span"] for r in V.spans(p, "doc", "p", "m", "s").orderBy("p").collect()]
     assert spans == [1, 1, 1, 1, 2, 2, 2, 2, 3]
     b = spark.createDataFrame([("s", i, i in (12, 21)) for i in range(1, 31)], "g string, p int, st boolean")

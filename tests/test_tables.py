@@ -8,7 +8,7 @@ from paperloom.operators import tables as T
 
 
 def test_repair_and_parse():
-    broken = "Judul\n| A | B | C |\n|---|---|---|\n| 1 | 2 | 3 |\n\n4 | 5 | 6 |\n|---|---|---|\n| 7 | 8 |  | 9 | x |\n| 10 |\n\nteks"
+    broken = "Judul\n| A | B | C |\n|---|---|---|\n| 1 | 2 | 3 |\n\n4 | 5 | 6 |\n| 7 | 8 |  | 9 | x |\n|---|---|---|\n| 10 |\n\nteks"
     t = T.parse_tables(broken)
     assert len(t) == 1 and t[0]["rows"] == [["1", "2", "3"], ["4", "5", "6"], ["7", "8", "x"], ["10", "", ""]] and t[0]["context"] == "Judul"
     two = "| Produk | Warna |\n|---|---|\n| a | b |\n\n| Kota | Cuaca |\n|---|---|\n| c | d |"
