@@ -92,18 +92,26 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return (era * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy - 719468).cast("long")
 
 
+def civil(days: Column) -> Column:
+    """struct(y, m, d) of days since 1970-01-01; every intermediate value is computed once."""
+
+    def of_day(era: Column, doe: Column) -> Column:
+        yoe = F.floor((doe - F.floor(doe / 1460) + F.floor(doe / 36524) - F.floor(doe / 146096)) / 365)
+        return let(yoe, lambda q: let(doe - (q * 365 + F.floor(q / 4) - F.floor(q / 100)), lambda doy: let(F.floor((doy * 5 + 2) / 153), lambda mp: fields(era, q, doy, mp))))
+
+    def fields(era: Column, yoe: Column, doy: Column, mp: Column) -> Column:
+        return F.struct(
+            (yoe + era * 400 + F.when(mp >= 10, 1).otherwise(0)).cast("int").alias("y"), F.when(mp < 10, mp + 3).otherwise(mp - 9).cast("int").alias("m"),
+            (doy - F.floor((mp * 153 + 2) / 5) + 1).cast("int").alias("d"),
+        )
+
+    return let(days + 719468, lambda z: let(F.floor(z / 146097), lambda era: let(z - era * 146097, lambda doe: of_day(era, doe))))
+
+
 def civil_from_days(days: Column) -> tuple[Column, Column, Column]:
     """Year, month, day of days since 1970-01-01."""
-    z = days + 719468
-    era = F.floor(z / 146097)
-    doe = z - era * 146097
-    yoe = F.floor((doe - F.floor(doe / 1460) + F.floor(doe / 36524) - F.floor(doe / 146096)) / 365)
-    doy = doe - (yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100))
-    mp = F.floor((doy * 5 + 2) / 153)
-    d = doy - F.floor((mp * 153 + 2) / 5) + 1
-    m = F.when(mp < 10, mp + 3).otherwise(mp - 9)
-    y = yoe + era * 400 + F.when(m <= 2, 1).otherwise(0)
-    return y.cast("int"), m.cast("int"), d.cast("int")
+    c = civil(days)
+    return c["y"], c["m"], c["d"]
 
 
 def _month_days(y: Column, m: Column) -> Column:
@@ -116,8 +124,8 @@ def _real(y: Column, m: Column, d: Column) -> Column:
 
 
 def _date_text(days: Column) -> Column:
-    y, m, d = civil_from_days(days)
-    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return let(civil(days), lambda c: F.concat(F.lpad(c["y"].cast("string"), 4, "0"), F.lit("-"), two(c["m"]), F.lit("-"), two(c["d"])))
 
 
 @lru_cache(maxsize=4)
