@@ -68,7 +68,7 @@ class Mixture:
         if len(rows) > MAX_TARGETS:
             raise ValueError(f"more than {MAX_TARGETS} target sources")
         per_key = {r["key"]: r["t"] or 0 for r in self.docs.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.sum("tokens").alias("t")).collect()}
-        self.total = self.docs.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+        self.total, self.n_docs = self.docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
         self.n_slots = -(-self.total // block)
         self.plan = [
             {
@@ -125,7 +125,8 @@ class Mixture:
         """key, block_no, n_tokens and the slices (doc_id, from_token, to_token) of each block, at most ``block`` of them."""
         width = self.block
         known = self.docs.join(F.broadcast(self.sources.select("key").distinct()), "key", "left_semi").where("tokens > 0")
-        placed = prefix_sum(known, "key", F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1 << 62)), "tokens", "at")
+        buckets = max(256, min(65_536, self.n_docs // 500_000))
+        placed = prefix_sum(known, "key", F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1 << 62)), "tokens", "at", buckets)
         parts = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + F.col("tokens") - 1) / width))))
         lo = F.greatest(F.col("at"), F.col("block_no") * width)
         hi = F.least(F.col("at") + F.col("tokens"), (F.col("block_no") + 1) * width)
