@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.labels import ACTIVE, FAILED, batch_state
+from paperloom.operators.skew import running_total
 
 
 def folder_summary(files: DataFrame, folder: str, name: str) -> DataFrame:
@@ -128,9 +129,10 @@ def prioritise(queued: DataFrame, position: str, first: Column) -> DataFrame:
 
 
 def unique_stems(uploads: DataFrame, stem: str, order: str) -> DataFrame:
-    """Uploads with a number behind names met before, in the order of arrival."""
-    n = F.row_number().over(Window.partitionBy(F.lower(stem)).orderBy(order))
-    return uploads.withColumn("unique_name", F.when(n == 1, F.col(stem)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"))))
+    """Uploads with a number behind names met before, along a whole-number order of arrival; a name used very often is numbered in ranges."""
+    x = running_total(uploads.withColumn("_low", F.lower(stem)), "_low", order, F.lit(1), "_n").drop("_low")
+    numbered = F.when(F.col("_n") == 1, F.col(stem)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
+    return x.withColumn("unique_name", numbered).drop("_n")
 
 
 def dedupe_uploads(uploads: DataFrame, path: str, content: Column, order: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions.cells import clean_cell, parse_date, parse_number
+from paperloom.operators.skew import previous_value, running_total
 
 TOLERANCE, CHECKED_ROWS = 1.0, 20
 
@@ -15,22 +15,22 @@ def continuity(rows: DataFrame, group: str, order: str, debit: str = "debit", cr
     """group, n_checked, n_breaks: where the balance before plus credit less debit is not the balance, nulls as 0.
 
     ``first_rows`` limits the check to the first rows of each group, the feature's sample; None checks all.
-    Equal orders are told apart by the amounts.
+    ``order`` is a whole number; equal orders are told apart by the amounts. A group of any size is
+    worked on in ranges of the order.
     """
-    w = Window.partitionBy(group).orderBy(order, balance, debit, credit)
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    x = rows.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag(z(balance)).over(w))
+    ties = (balance, debit, credit)
+    x = previous_value(rows, group, order, z(balance), "_before", ties)
     if first_rows is not None:
-        x = x.where(F.col("_n") <= first_rows)
+        x = running_total(x, group, order, F.lit(1), "_n", ties).where(F.col("_n") <= first_rows)
     bad = F.abs(F.col("_before") + z(credit) - z(debit) - z(balance)) > TOLERANCE
-    return x.where(F.col("_n") > 1).groupBy(group).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(bad).alias("n_breaks"))
+    return x.where(F.col("_before").isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(bad).alias("n_breaks"))
 
 
-def running_balance(rows: DataFrame, group: str, order: list[str], debit: Column, credit: Column) -> DataFrame:
+def running_balance(rows: DataFrame, group: str, order: str, debit: Column, credit: Column) -> DataFrame:
     """The rows with the balance their amounts add up to; sums are of rounded cents, so the order of addition does not show."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cents = F.round(F.coalesce(credit, F.lit(0.0)) * 100).cast("long") - F.round(F.coalesce(debit, F.lit(0.0)) * 100).cast("long")
-    return rows.withColumn("running_cents", F.sum(cents).over(w))
+    return running_total(rows, group, order, cents, "running_cents")
 
 
 def numeric_sanity(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

@@ -72,3 +72,34 @@ def prefix_sum(df: DataFrame, group: str, order: Column, amount: str, out: str,
         .withColumn(out, F.col("_in") + F.col("_off"))
         .drop("_o", "_b", "_a", "_in", "_g", "_ob", "_off")
     )
+
+
+def _ranges(df: DataFrame, group: str, order: str, width: int) -> tuple[DataFrame, Window, Window]:
+    marked = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)).cast("long"))
+    inside = Window.partitionBy(group, "_range")
+    return marked, inside, Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_total(df: DataFrame, group: str, order: str, amount: Column, out: str, ties: tuple[str, ...] = (), width: int = 1_000_000) -> DataFrame:
+    """Inclusive running sum of a whole-number amount along an integer order, a group split into ranges of the order.
+
+    Each range is one window; a window over one row per range gives what came before. Rows of equal
+    order lie in one range, told apart by ``ties``.
+    """
+    marked, inside, before = _ranges(df.withColumn("_v", amount), group, order, width)
+    offsets = marked.groupBy(group, "_range").agg(F.sum("_v").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    offsets = offsets.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), "_off")
+    rows = marked.withColumn("_in", F.sum("_v").over(inside.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = rows.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return joined.withColumn(out, F.coalesce("_in", F.lit(0)) + F.col("_off")).drop("_v", "_range", "_in", "_g", "_r", "_off")
+
+
+def previous_value(df: DataFrame, group: str, order: str, value: Column, out: str, ties: tuple[str, ...] = (), width: int = 1_000_000) -> DataFrame:
+    """The value of the row before along an integer order, null on a group's first row; ranges as in ``running_total``."""
+    marked, inside, before = _ranges(df.withColumn("_v", F.struct(value.alias("v"))), group, order, width)
+    key = [F.col(order), *[F.col(t) for t in ties]]
+    ends = marked.groupBy(group, "_range").agg(F.max_by("_v", F.struct(*key)).alias("_last"))
+    ends = ends.withColumn("_carried", F.last("_last", True).over(before)).select(F.col(group).alias("_g"), F.col("_range").alias("_r"), "_carried")
+    rows = marked.withColumn("_prev", F.lag("_v").over(inside.orderBy(order, *ties)))
+    joined = rows.join(ends, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return joined.withColumn(out, F.coalesce("_prev", "_carried")["v"]).drop("_v", "_range", "_prev", "_g", "_r", "_carried")

@@ -233,7 +233,7 @@ def queue(spark: SparkSession, d: str) -> DataFrame:
 
 def upload_names(spark: SparkSession, d: str) -> DataFrame:
     """Documents of one source file under names of their own."""
-    x = load(spark, d, "documents").where(F.col("source_file").isNotNull() & (F.col("source_file") != "bundel_arsip_pusat.pdf"))
+    x = load(spark, d, "documents").where(F.col("source_file").isNotNull())
     return J.unique_stems(x.select("doc_id", "source_file"), "source_file", "doc_id").select("doc_id", "unique_name")
 
 
@@ -263,7 +263,7 @@ def page_spans(spark: SparkSession, d: str) -> DataFrame:
 def page_batches(spark: SparkSession, d: str) -> DataFrame:
     """Work units of about four pages."""
     x = load(spark, d, "ocr_regions").select("source_doc", "page_number").distinct()
-    return V.plan_batches(x, "source_doc", "page_number", "starts", 4, 1) if "starts" in x.columns else V.plan_batches(x.withColumn("starts", F.col("page_number") % 3 == 0), "source_doc", "page_number", "starts", 4, 1)
+    return V.plan_batches(x.withColumn("starts", F.col("page_number") % 3 == 0), "source_doc", "page_number", "starts", 4, 1)
 
 
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +336,7 @@ ORACLE = {
     "jobs_unreferenced": "SELECT DISTINCT _source_doc FROM transaction_details WHERE _source_doc IS NOT NULL AND _source_doc NOT IN (SELECT _source_doc FROM document_signatories WHERE _source_doc IS NOT NULL)",
     "jobs_queue": """WITH p AS (SELECT s_suppkey, s_nationkey, CAST(round(s_acctbal) AS BIGINT) AS pos FROM supplier), m AS (SELECT min(pos) - 1 AS m FROM p)
         SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_nationkey = 3 THEN m ELSE pos END, s_suppkey) - 1 AS ahead FROM p, m""",
-    "jobs_names": """WITH r AS (SELECT doc_id, source_file, row_number() OVER (PARTITION BY lower(source_file) ORDER BY doc_id) AS k FROM documents WHERE source_file IS NOT NULL AND source_file <> 'bundel_arsip_pusat.pdf')
+    "jobs_names": """WITH r AS (SELECT doc_id, source_file, row_number() OVER (PARTITION BY lower(source_file) ORDER BY doc_id) AS k FROM documents WHERE source_file IS NOT NULL)
         SELECT doc_id, CASE WHEN k = 1 THEN source_file ELSE source_file || ' (' || k || ')' END AS unique_name FROM r""",
     "survey_islands": """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 86400 THEN 1 ELSE 0 END AS n FROM e),
         i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM i GROUP BY user_id, k""",

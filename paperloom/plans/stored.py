@@ -100,7 +100,7 @@ def numeric_sums(spark: SparkSession, d: str) -> DataFrame:
 def running(spark: SparkSession, d: str) -> DataFrame:
     """Each row with the balance that the amounts of its document add up to."""
     x = load(spark, d, "transaction_details").where(F.col("header_id").isNotNull())
-    return G.running_balance(x, "header_id", ["detail_id"], F.col("debit"), F.col("credit")).select("detail_id", "running_cents")
+    return G.running_balance(x, "header_id", "detail_id", F.col("debit"), F.col("credit")).select("detail_id", "running_cents")
 
 
 def continuity(spark: SparkSession, d: str) -> DataFrame:

@@ -168,3 +168,16 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
 def test_segments():
     assert K.same_segments("a / b / c", "c b a") and K.same_segments("b a", "a, b") and not K.same_segments("ab / c", "a b d")
     assert not K.same_segments(None, "") and K.same_segments(None, None) and K.same_written("No B–4405", "no b-4405")
+
+
+def test_ranges_of_an_order(spark):
+    from pyspark.sql.window import Window
+
+    from paperloom.operators.skew import previous_value, running_total
+
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i * 37 % 1000, rng.choice(["a", "a", "b", None]), rng.choice([None, 1, 2, 5])) for i in range(400)], "o long, g string, v long")
+    w = Window.partitionBy("g").orderBy("o")
+    want = df.withColumn("p", F.lag("v").over(w)).withColumn("t", F.sum(F.coalesce("v", F.lit(0))).over(w)).collect()
+    got = running_total(previous_value(df, "g", "o", F.col("v"), "p", width=50), "g", "o", F.coalesce("v", F.lit(0)), "t", width=50).select("o", "g", "v", "p", "t").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
