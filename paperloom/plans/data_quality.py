@@ -98,7 +98,53 @@ _COPY_SQL = r"""
         WINDOW w AS (PARTITION BY header_id, txn_date, value_date, debit, credit, balance, bag, ref)
     )
 """
+_MONTH_NAMES = (
+    ("januari|january", "Jan"), ("februari|pebruari|february", "Feb"), ("maret|march|mar", "Mar"), ("april", "Apr"), ("mei|may", "May"), ("juni|june", "Jun"), ("juli|july", "Jul"),
+    ("agustus|august|agt|ags|agu", "Aug"), ("september|sept", "Sep"), ("oktober|october|okt", "Oct"), ("nopember|november|nop", "Nov"), ("desember|december|des", "Dec"),
+)
+
+
+def _english(column: str) -> str:
+    for names, short in _MONTH_NAMES:
+        column = f"regexp_replace({column}, '(?i)\\b({names})\\b', '{short}')"
+    return column
+
+
+_DATE_SQL = rf"""
+    WITH raw AS (
+        SELECT 'transaction_details' AS tab, detail_id AS rec_id, 'txn_date' AS field, txn_date AS v, zona FROM transaction_details
+        UNION ALL SELECT 'transaction_details', detail_id, 'value_date', value_date, zona FROM transaction_details
+        UNION ALL SELECT 'document_headers', header_id, 'doc_date', doc_date, NULL FROM document_headers
+    ), named AS (
+        SELECT DISTINCT tab, rec_id, field, v, regexp_replace(v, '^\s+|\s+$', '', 'g') AS x, coalesce(
+            CASE upper(trim(zona)) WHEN 'WIB' THEN 'Asia/Jakarta' WHEN 'WITA' THEN 'Asia/Makassar' WHEN 'WIT' THEN 'Asia/Jayapura' WHEN 'UTC' THEN 'UTC' END, CASE WHEN contains(zona, '/') THEN trim(zona) END, 'Asia/Jakarta') AS zone
+        FROM raw WHERE v IS NOT NULL
+    ), plain AS (
+        SELECT *, {_english(r"regexp_replace(regexp_replace(x, '(?i)^(?:senin|selasa|rabu|kamis|jumat|sabtu|minggu|mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +([0-9])', '\1'), '(?i),? *pukul', '')")} AS y FROM named
+    ), parts AS (
+        SELECT *, upper(regexp_extract(y, '[0-9M] ?(WIB|WITA|WIT|UTC|CET|CEST|EST|EDT|Z)$', 1)) AS abbr, regexp_extract(y, '[0-9]{{2}} ?(?:GMT)?([+-][0-9]{{1,2}}):?(?:[0-9]{{2}})?$', 1) AS off,
+            regexp_replace(regexp_replace(y, '([0-9M]) ?(WIB|WITA|WIT|UTC|CET|CEST|EST|EDT|Z)$', '\1'), '([:.][0-9]{{2}}(?:[.][0-9]+)?) ?(?:GMT)?[+-][0-9]{{1,2}}:?(?:[0-9]{{2}})?$', '\1') AS z FROM plain
+    ), bare AS (
+        SELECT *, regexp_full_match(x, '[0-9]+') AS digits, regexp_replace(z, '([:][0-9]{{2}})[.][0-9]+$', '\1') AS t FROM parts
+    ), told AS (
+        SELECT *, CASE WHEN digits THEN NULL ELSE coalesce(
+                CASE WHEN regexp_full_match(t, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(t[1:6] || '20' || t[7:8], '%d-%m-%Y') WHEN regexp_full_match(t, '[0-9]+ [A-Z][a-z]+ [0-9]{{2}}') THEN try_strptime(regexp_replace(t, '([0-9]{{2}})$', '20\1'), '%d %b %Y') END,
+                try_strptime(t, ['%Y-%m-%d', '%Y/%m/%d', '%Y.%m.%d', '%d/%m/%Y', '%d.%m.%Y', '%d-%m-%Y', '%d %b %Y', '%d-%b-%Y', '%b %d, %Y']), try_strptime(t, '%m/%d/%Y')) END AS day,
+            CASE WHEN digits THEN CASE WHEN length(x) = 14 THEN try_strptime(x, '%Y%m%d%H%M%S') END ELSE coalesce(
+                try_strptime(replace(t, 'T', ' '), ['%Y-%m-%d %H:%M:%S', '%d.%m.%Y %H.%M.%S', '%d/%m/%Y %H:%M', '%d %b %Y %H.%M', '%b %d, %Y %H:%M:%S', '%d %b %Y %I:%M %p', '%d-%b-%Y %I:%M %p', '%d %b %Y %H:%M:%S']),
+                try_strptime(t, '%Y%m%dT%H%M%S'), try_strptime(regexp_replace(t, '^([0-9]{{2}}-[A-Z][a-z]{{2}})-([0-9]{{2}}) ', '\1-20\2 '), '%d-%b-%Y %H:%M:%S'), try_strptime(t, '%m/%d/%Y %H:%M')) END AS wall FROM bare
+    ), placed AS (
+        SELECT *, CASE WHEN abbr <> '' THEN wall - to_minutes(CASE abbr WHEN 'WIB' THEN 420 WHEN 'WITA' THEN 480 WHEN 'WIT' THEN 540 WHEN 'CET' THEN 60 WHEN 'CEST' THEN 120 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 ELSE 0 END)
+            WHEN off <> '' THEN wall - to_hours(CAST(off AS INTEGER)) WHEN wall IS NOT NULL THEN timezone('UTC', timezone(zone, wall)) END AS utc FROM told
+    ), first AS (
+        SELECT *, CASE WHEN digits AND length(x) = 10 THEN epoch_ms(CAST(x AS BIGINT) * 1000) WHEN digits AND length(x) = 13 THEN epoch_ms(CAST(x AS BIGINT) // 1000 * 1000)
+            WHEN abbr = '' AND off = '' AND wall IS NOT NULL AND timezone(zone, timezone('UTC', utc - INTERVAL 1 HOUR)) = wall THEN utc - INTERVAL 1 HOUR ELSE utc END AS instant,
+            CASE WHEN digits AND length(x) = 8 THEN try_strptime(x, '%Y%m%d') WHEN digits AND length(x) = 5 THEN DATE '1899-12-30' + CAST(x AS INTEGER) ELSE day END AS d FROM placed
+    ), normal AS (SELECT tab, rec_id, field, v, coalesce(strftime(instant, '%Y-%m-%dT%H:%M:%SZ'), strftime(CAST(d AS DATE), '%Y-%m-%d')) AS norm_value FROM first)
+"""
+
 ORACLE = {
+    "p4_found": _DATE_SQL + "SELECT DISTINCT tab, rec_id, field, norm_value FROM normal WHERE norm_value IS NOT NULL AND norm_value <> v",
     "p2_found": _ORPHAN_SQL + "SELECT tab, ingest_month, rec_id FROM found WHERE reason IS NOT NULL",
     "p2_report": _ORPHAN_SQL + "SELECT tab, ingest_month, reason, count(*) AS n_rows, count(DISTINCT header_id) AS n_keys FROM found WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": _COPY_SQL + "SELECT first_id, detail_id AS copy_id FROM sets WHERE detail_id > first_id",
