@@ -94,7 +94,15 @@ QUERIES = {
     "p8_found": p8_found, "p8_composition": p8_composition,
 }
 
+_LEAK_SQL = r"""
+    WITH every AS (SELECT doc_id AS id, text, 'd' AS side FROM documents UNION ALL SELECT item_id, text, 'i' FROM eval_items),
+    worded AS (SELECT id, side, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '<!--(?:.|\n)*?-->', ' ', 'g'), '([\pL\pN])[-\x{ad}\x{2010}\x{2011}\x{ac}][ \t]*\r?\n\s*([\pL\pN])', '\1\2', 'g'), '[\pL\pN]+') AS w FROM every WHERE text IS NOT NULL),
+    grams AS (SELECT id, side, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM worded WHERE len(w) >= 12),
+    found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.side = 'd' AND i.side = 'i')
+"""
 ORACLE = {
+    "p6_found": _LEAK_SQL + "SELECT doc_id, item_id FROM found",
+    "p6_items": _LEAK_SQL + "SELECT item_id, count(*) AS n_documents FROM found GROUP BY item_id",
     "p3_found": f"""
         SELECT DISTINCT i.preview_id, i.chunk_id FROM chunk_items i LEFT JOIN chunking_previews p USING (preview_id)
         WHERE length(i.content) > coalesce(p.chunk_size, {DEFAULT_SIZE})""",
