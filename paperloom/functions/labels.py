@@ -26,12 +26,27 @@ REGION_KINDS_AFTER = {
 }
 # Names under which document styles are asked for.
 SPEC_ALIASES = {
-    "plain": "plain business_document business corporate company_document general generic standard document surat memo pengumuman text teks",
-    "markdown_hierarchy": "markdown_hierarchy structured_document structured hierarchy heading sop sk policy kebijakan peraturan perjanjian legal report laporan",
-    "bilingual_journal": "bilingual_journal multi_column_document multi_column multicolumn two_column 2_column two_col 2_col column kolom dua_kolom 2_kolom article artikel newsletter bulletin buletin journal academic bilingual",
-    "presentation_slides": "presentation_slides presentation slide slides ppt pptx deck sosialisasi training",
-    "chat_transcript": "chat_transcript chat whatsapp wa telegram line conversation percakapan chat_screenshot",
-    "signature_form": "signature_form signature tanda_tangan ttd paraf approval approve persetujuan form formulir",
+    "plain": (
+        "plain", "business_document", "business", "corporate", "company_document", "general", "generic", "standard", "document", "surat", "memo",
+        "pengumuman", "text", "teks",
+    ),
+    "markdown_hierarchy": (
+        "markdown_hierarchy", "structured_document", "structured", "hierarchy", "heading", "sop", "sk", "policy", "kebijakan", "peraturan",
+        "perjanjian", "legal", "report", "laporan",
+    ),
+    "bilingual_journal": (
+        "bilingual_journal", "multi_column_document", "multi_column", "multicolumn", "two_column", "2_column", "two_col", "2_col", "column", "kolom",
+        "dua_kolom", "2_kolom", "article", "artikel", "newsletter", "bulletin", "buletin", "journal", "academic", "bilingual",
+    ),
+    "presentation_slides": (
+        "presentation_slides", "presentation", "slide", "slides", "ppt", "pptx", "deck", "sosialisasi", "training",
+    ),
+    "chat_transcript": (
+        "chat_transcript", "chat", "whatsapp", "wa", "telegram", "line", "conversation", "percakapan", "chat_screenshot",
+    ),
+    "signature_form": (
+        "signature_form", "signature", "tanda_tangan", "ttd", "paraf", "approval", "approve", "persetujuan", "form", "formulir",
+    ),
 }
 # Diagram types, and the substrings that lead to one, in order.
 DIAGRAM_TYPES = (
@@ -97,7 +112,7 @@ def grounded_regions(raw: Column, width: Column, height: Column, scale: int = 10
 
 def normalize_specs(c: Column) -> Column:
     """Asked-for styles as an ordered array of canonical ones; plain if none is known."""
-    alias = F.create_map(*[F.lit(x) for spec, names in SPEC_ALIASES.items() for name in names.split() for x in (name, spec)])
+    alias = F.create_map(*[F.lit(x) for spec, names in SPEC_ALIASES.items() for name in names for x in (name, spec)])
     token = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9_]+", "_"), r"^_+|_+$", "")
     tokens = F.concat(F.array(token(F.trim(c))), F.transform(F.split(F.lower(F.trim(c)), r"[,;|+/\s]+"), token))
     found = F.array_distinct(F.filter(F.transform(tokens, lambda t: F.try_element_at(alias, t)), lambda s: s.isNotNull()))

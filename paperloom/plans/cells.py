@@ -212,7 +212,7 @@ QUERIES = {
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CLEAN = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '{_WS}+', ' ', 'g'), '^ +| +$', '', 'g'), '^[*_]+|[*_]+$', '', 'g'), '^ +| +$', '', 'g'), '', '')"
 _MON = C.PERIOD_MONTHS
-_ALIASES = ", ".join(f"('{a}', '{s}')" for s, names in L.SPEC_ALIASES.items() for a in names.split())
+_ALIASES = ", ".join(f"('{a}', '{s}')" for s, names in L.SPEC_ALIASES.items() for a in names)
 _MARK = r"(?i)<!--\s*(?:PAGE|SLIDE)\s*:?\s*(\d+)\s*-->"
 _TRIM = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
 
