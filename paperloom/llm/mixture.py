@@ -131,21 +131,33 @@ class Mixture:
         lo = F.greatest(F.col("at"), F.col("block_no") * width)
         hi = F.least(F.col("at") + F.col("tokens"), (F.col("block_no") + 1) * width)
         cutup = parts.select("key", "block_no", F.struct((lo - F.col("block_no") * width).alias("at"), "doc_id", (lo - F.col("at")).alias("from_token"), (hi - F.col("at")).alias("to_token")).alias("s"))
-        return cutup.groupBy("key", "block_no").agg(F.sum(F.col("s.to_token") - F.col("s.from_token")).alias("n_tokens"), F.array_sort(F.collect_list("s")).alias("slices"))
+        listed = cutup.groupBy("key", "block_no").agg(F.array_sort(F.collect_list("s")).alias("slices"))
+        held = F.aggregate("slices", F.lit(0).cast("long"), lambda n, s: n + s["to_token"] - s["from_token"])
+        return listed.select("key", "block_no", held.alias("n_tokens"), "slices")
 
     def mixed(self) -> DataFrame:
         """The filled slots with their blocks: shard, key, slot, epoch, block_no, n_tokens, slices."""
         return self.slots().where(F.col("block_no").isNotNull()).join(self.blocks(), ["key", "block_no"])
 
     def report(self) -> DataFrame:
-        """Per target source: its tokens, capacity, wanted tokens, what the mix holds, the share reached, repeats, and whether it falls short."""
-        drawn = self.mixed().groupBy("key").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("epoch").alias("last_epoch"))
-        filled = self.sources.join(drawn, "key", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+        """Per target source: its tokens, capacity, wanted tokens, what the mix holds, the share reached, repeats, and whether it falls short.
+
+        A source falls short if what the mix took from its blocks and what they could still give within
+        max_repeats stay below the wanted tokens; both are counted block by block over the slots drawn.
+        """
+        used = self.slots().where(F.col("block_no").isNotNull()).groupBy("key", "block_no").agg(F.count(F.lit(1)).alias("uses"), F.max("epoch").alias("last_epoch"))
+        each = self.blocks().select("key", "block_no", "n_tokens").join(used, ["key", "block_no"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        times = F.col("max_repeats")
+        within, spare = F.least("uses", times), F.greatest(times - F.col("uses"), F.lit(0))  # rows of one key may differ in max_repeats
+        drawn = each.join(F.broadcast(self.sources.select("key", "max_repeats").distinct()), "key").groupBy("key", "max_repeats").agg(
+            F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.max("last_epoch").alias("last_epoch"), F.sum(F.col("n_tokens") * (within + spare)).alias("reachable")
+        )
+        filled = self.sources.join(drawn, ["key", "max_repeats"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mixed_tokens", "reachable")})
         capacity = F.col("tokens") * F.col("max_repeats")
         wanted = F.col("target_share") * F.lit(self.total)
         whole = Window.partitionBy(F.lit(1))  # at most MAX_TARGETS rows
         return filled.withColumn("all_mixed", F.sum("mixed_tokens").over(whole)).select(
             "source", "target_share", "max_repeats", "tokens", capacity.alias("capacity"), wanted.alias("wanted"), "mixed_tokens",
             F.when(F.col("all_mixed") > 0, F.col("mixed_tokens") / F.col("all_mixed")).otherwise(0.0).alias("actual_share"),
-            F.coalesce(F.col("last_epoch") + 1, F.lit(0)).alias("repeats"), (capacity < wanted).alias("falls_short"),
+            F.coalesce(F.col("last_epoch") + 1, F.lit(0)).alias("repeats"), (F.col("reachable") < wanted).alias("falls_short"),
         )

@@ -60,3 +60,15 @@ def test_shares_are_reached_when_there_is_enough(spark):
 def test_empty(spark):
     assert mix(spark, [], [("a", 1.0, 1)]).report().first()["mixed_tokens"] == 0
     assert mix(spark, [(1, "x", "a")], []).report().count() == 0
+
+
+def test_short_sources_come_from_the_mix(spark, monkeypatch):
+    docs = [(i, "kata " * 50, "a" if i % 4 else "b") for i in range(200)]
+    short = lambda: mix(spark, docs, [("a", 0.6, 2), ("b", 0.4, 2), ("b", 0.4, 1)], block=32, shard_slots=8).report().where("falls_short").select("source", "max_repeats")
+    found = short()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") >= 2 and "collect_list" in plan
+    assert [tuple(r) for r in found.collect()] == [("b", 1)]
+    blocks = M.Mixture.blocks
+    monkeypatch.setattr(M.Mixture, "blocks", lambda self: blocks(self).where("key != 'a' or block_no % 8 = 0"))
+    assert sorted(tuple(r) for r in short().collect()) == [("a", 2), ("b", 1)]
