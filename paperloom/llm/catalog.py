@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.leakage import MIN_RUN, leaks
+from paperloom.llm.leakage import report as leak_report
 from paperloom.llm.mixture import Mixture
 from paperloom.llm.pieces import DEFAULT_SIZE, split_items
 from paperloom.llm.scans import decoded, repaired
@@ -62,6 +63,11 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items that they hold, word by word or reworded."""
+    return leak_report(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that cannot reach their share within their repeats."""
     mix = Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets"))
@@ -90,7 +96,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_text": p1_text,
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_report": p7_report,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_items": p6_items, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report,
     "p8_found": p8_found, "p8_composition": p8_composition,
 }
 

@@ -36,6 +36,8 @@ MIN_RUN, WINDOW, STRIDE = 12, 8, 5
 FEATURES, RANK, OVERSAMPLE, HASHED = 1 << 15, 16, 8, 8
 PASSAGE = 48
 COSINE = 0.95
+#: Of the report on paraphrases: the least cosine of a near window, the cells searched for it, and the least part of the item's words in order.
+PARAPHRASE_COSINE, PROBES, PARAPHRASE_SHARE = 0.8, 24, 0.6
 #: Items searched for at once, and the words they may have together; more items go in more blocks.
 ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 5_000, 2_000_000
 #: Tokens handled at a time inside a task.
@@ -224,14 +226,20 @@ class ItemIndex:
         close = near >= near.max(axis=1, keepdims=True) - 1e-3 if len(self.vectors) else near > 1
         self.cells = [np.nonzero(close[:, c])[0] for c in range(len(self.centroids))]
 
-    def search(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, item window number and cosine of every pair at or above ``least`` in the query's cell."""
-        own = np.argmax(queries @ self.centroids.T, axis=1)
+    def _nearest(self, queries: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest cells of each query."""
+        near = queries @ self.centroids.T
+        return np.argmax(near, axis=1)[:, None] if probes == 1 else np.argpartition(near, -probes, axis=1)[:, -probes:]
+
+    def search(self, queries: np.ndarray, least: float, probes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, item window number and cosine of every pair at or above ``least`` in the query's ``probes`` nearest cells."""
+        probes = min(probes, len(self.centroids))
+        own = np.concatenate([self._nearest(queries[k : k + 4096], probes) for k in range(0, max(1, len(queries)), 4096)]).ravel()
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(len(self.centroids) + 1))
         qs, ws, cs = [], [], []
         for c in np.nonzero(np.diff(edges))[0]:
-            rows, cell = order[edges[c] : edges[c + 1]], self.cells[c]
+            rows, cell = order[edges[c] : edges[c + 1]] // probes, self.cells[c]
             if not len(cell):
                 continue
             sims = queries[rows] @ self.vectors[cell].T
@@ -240,7 +248,13 @@ class ItemIndex:
             ws.append(cell[j])
             cs.append(sims[i, j])
         none = np.zeros(0, np.int64)
-        return (np.concatenate(qs), np.concatenate(ws), np.concatenate(cs)) if qs else (none, none, none.astype(np.float32))
+        if not qs:
+            return none, none, none.astype(np.float32)
+        q, w, c = np.concatenate(qs), np.concatenate(ws), np.concatenate(cs)
+        if probes > 1:  # an item's window may lie in several of the cells
+            once = np.unique(q * len(self.vectors) + w, return_index=True)[1]
+            q, w, c = q[once], w[once], c[once]
+        return q, w, c
 
 
 def longest_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
@@ -255,15 +269,19 @@ def longest_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence; one row of the table at a time."""
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for x in a:
-        hit = np.where(b == x, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], hit))
-    return int(row[-1])
-
-
-def _search(index, least: float, paraphrases: bool):
+    """Length of the longest common subsequence; one row of the table at a time, as the bits of a number."""
+    at: dict[int, int] = {}
+    for k, x in enumerate(b.tolist()):
+        at[x] = at.get(x, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a.tolist():
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
+
+
+def _search(index, least: float, paraphrases: bool, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: ItemIndex = index.value
         for batch in batches:
@@ -273,26 +291,36 @@ def _search(index, least: float, paraphrases: bool):
                 if not len(starts):
                     continue
                 queries = _windows(toks, starts, ix.idf, ix.basis)
-                q, w, c = ix.search(queries, least)
+                q, w, c = ix.search(queries, least, probes)
                 item = np.searchsorted(ix.offsets, ix.starts[w], side="right") - 1
                 doc = np.searchsorted(offsets, starts[q], side="right") - 1
                 equal = np.ones(len(q), dtype=bool)
                 for k in range(WINDOW):
                     equal &= toks[starts[q] + k] == ix.tokens[ix.starts[w] + k]
                 found: dict[tuple[int, int], list[float]] = {}
-                use = np.nonzero(equal)[0] if not paraphrases else np.arange(len(q))
-                for p in use:
+                for p in np.nonzero(equal)[0]:
                     d, t = int(doc[p]), int(item[p])
                     best = found.setdefault((d, t), [0, 0.0, 0.0])
                     best[1] = max(best[1], float(c[p]))
-                    if equal[p] and best[0] < MIN_RUN:
+                    if best[0] < MIN_RUN:
                         a, b = toks[offsets[d] : offsets[d + 1]], ix.tokens[ix.offsets[t] : ix.offsets[t + 1]]
                         best[0] = max(best[0], longest_run(a, int(starts[q[p]] - offsets[d]), b, int(ix.starts[w[p]] - ix.offsets[t])))
-                    if paraphrases and best[0] < MIN_RUN:
-                        b = ix.tokens[ix.offsets[t] : ix.offsets[t + 1]]
-                        lo = max(int(offsets[d]), int(starts[q[p]]) - PASSAGE)
-                        near = toks[lo : min(int(offsets[d + 1]), int(starts[q[p]]) + 2 * PASSAGE)]
-                        best[2] = max(best[2], common_subsequence(near, b) / len(b))
+                if paraphrases and len(q):
+                    # Near windows that put the item's beginning into the same PASSAGE words of a document are looked at together.
+                    begin = starts[q] - (ix.starts[w] - ix.offsets[item]) - offsets[doc]
+                    reach = int(max(np.abs(begin).max() // PASSAGE + 1, 1))
+                    place = (doc * len(ix.ids) + item) * (2 * reach + 1) + begin // PASSAGE + reach
+                    order = np.argsort(place, kind="stable")
+                    firsts = np.nonzero(np.r_[True, np.diff(place[order]) > 0])[0]
+                    for p, cosine in zip(order[firsts], np.maximum.reduceat(c[order], firsts)):
+                        d, t = int(doc[p]), int(item[p])
+                        best = found.setdefault((d, t), [0, 0.0, 0.0])
+                        best[1] = max(best[1], float(cosine))
+                        if best[0] < MIN_RUN and best[2] < 1:
+                            b = ix.tokens[ix.offsets[t] : ix.offsets[t + 1]]
+                            lo = int(begin[p] // PASSAGE) * PASSAGE
+                            a = toks[offsets[d] : offsets[d + 1]][max(0, lo - PASSAGE) : lo + 2 * PASSAGE + len(b)]
+                            best[2] = max(best[2], common_subsequence(a, b) / len(b))
                 for (d, t), (length, cosine, share) in found.items():
                     docs.append(int(ids[d]))
                     items.append(int(ix.ids[t]))
@@ -307,12 +335,12 @@ def _search(index, least: float, paraphrases: bool):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = COSINE, paraphrases: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = COSINE, paraphrases: bool = False, probes: int = 1) -> DataFrame:
     """doc_id, item_id, run_words, cosine, common_share of every pair with a shared window.
 
     ``run_words`` is the longest common run seen, up to MIN_RUN at least; a pair with MIN_RUN or more is a leak.
     With ``paraphrases`` near windows count too, and common_share is the part of the item's words
-    that the neighbourhood has in order.
+    that the neighbourhood has in order. Near windows are searched for in ``probes`` cells.
     """
     spark = docs.sparkSession
     wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -331,8 +359,17 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = COSINE, paraphrases:
             idf = np.log((1 + n) / (1 + df)) + 1.0
             latent = (idf, latent_words(tokens, idf))
         index = spark.sparkContext.broadcast(ItemIndex(listed, *latent))
-        part = tokens.mapInArrow(_search(index, least, paraphrases), "doc_id long, item_id long, run_words int, cosine double, common_share double")
+        part = tokens.mapInArrow(_search(index, least, paraphrases, probes), "doc_id long, item_id long, run_words int, cosine double, common_share double")
         result = part if result is None else result.unionByName(part)
     return result.groupBy("doc_id", "item_id").agg(
         F.max("run_words").alias("run_words"), F.max("cosine").alias("cosine"), F.max("common_share").alias("common_share")
     )
+
+
+def report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, kind (``exact`` or ``paraphrase``), run_words, cosine, common_share of every item that a document holds, word by word or reworded."""
+    found = leaks(docs, items, PARAPHRASE_COSINE, True, PROBES)
+    exact = F.col("run_words") >= MIN_RUN
+    return found.where(exact | (F.col("common_share") >= PARAPHRASE_SHARE)).select(
+        "doc_id", "item_id", F.when(exact, "exact").otherwise("paraphrase").alias("kind"), "run_words", "cosine", "common_share"
+    )

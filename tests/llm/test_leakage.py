@@ -86,3 +86,29 @@ def test_common_subsequence():
             for j in range(15):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert L.common_subsequence(a, b) == table[-1, -1]
+
+
+def test_report_of_paraphrases(spark):
+    from paperloom.llm.catalog import QUERIES
+
+    assert "p6_report" in QUERIES
+    rng = random.Random(4)
+    items = [(i, " ".join(f"istilah{rng.randrange(900)}" for _ in range(30 + 40 * i)), 1) for i in range(6)]
+    docs = [(i, "awal kata " * 30 + " ".join(w if k % 9 else "lain" for k, w in enumerate(items[i][1].split())) + " akhir" * 20, "", 0) for i in range(6)]
+    docs += [(100, items[2][1], "", 0), (101, " ".join(f"istilah{rng.randrange(900)}" for _ in range(400)), "", 0)]
+    rows = L.report(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in rows} == {(i, i, "paraphrase") for i in range(6)} | {(100, 2, "exact")}
+    assert all(r["common_share"] > 0.85 for r in rows if r["kind"] == "paraphrase")
+
+
+def test_recall_of_near_windows():
+    rng = np.random.default_rng(3)
+    idf, basis = np.ones(L.FEATURES), rng.standard_normal((L.FEATURES, L.RANK)).astype(np.float32)
+    items = [(i, rng.integers(0, 400, 60).astype(np.int32)) for i in range(60)]
+    ix = L.ItemIndex(items, idf, basis)
+    changed = ix.tokens.copy()
+    changed[::7] = rng.integers(0, 400, len(changed[::7]))
+    queries = L._windows(changed, ix.starts, idf, basis)
+    near = int((queries @ ix.vectors.T >= L.PARAPHRASE_COSINE).sum())
+    q, w, _ = ix.search(queries, L.PARAPHRASE_COSINE, L.PROBES)
+    assert len({*zip(q.tolist(), w.tolist())}) == len(q) and len(q) >= 0.9 * near > 1000
