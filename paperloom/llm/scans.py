@@ -50,7 +50,7 @@ FURNITURE_LABELS = ("header", "footer", "footnote", "paragraph_title", "unknown"
 NOISE_SHARE = 0.08
 #: How many times as frequent a word must be to explain another.
 LEAST_RATIO = 2
-#: How many of the most frequent words are sent to every task: they need no answer, and only they are made of two entries.
+#: How many of the most frequent words are sent to every task: they need no answer, and two entries may make one of them.
 CLEAN_WORDS = 20_000
 #: Both halves of a word run together must occur this often.
 SPLIT_COUNT = 50
@@ -326,6 +326,12 @@ def halves(parts: tuple[str, str]) -> tuple[str, str]:
     return parts[0].rstrip(HYPHENS).lstrip(PUNCTUATION), parts[1].rstrip(PUNCTUATION + HYPHENS)
 
 
+def apart(left: str, right: str) -> str | None:
+    """The word that two entries are if the blank between them is wrong."""
+    w, v = bare(left), bare(right)
+    return w + v if left.endswith(w) and right.startswith(v) else None
+
+
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64()), ("asked", pa.int64())])
 
 
@@ -402,13 +408,17 @@ def _asked_words(batches: Iterator[pa.RecordBatch], clean: frozenset[str]) -> It
     for rows in _some(batches):
         out = []
         for p in rows:
-            words = set()
+            words, last = set(), None
             for s in stream(p["body"], p["line_before"], p["line_after"]):
                 if len(s["parts"]) == 1:
                     words.add(bare(s["parts"][0]))
+                    if last and (joined := apart(last, s["parts"][0])) and not (bare(last) in clean and bare(s["parts"][0]) in clean):
+                        words.add(joined)
+                    last = s["parts"][0]
                 else:
                     a, b = halves(s["parts"])
                     words |= {a + b, f"{a}-{b}"}
+                    last = None
             out.extend({"doc": p["doc"], "page": p["page"], "word": w} for w in words if w and w not in clean)
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -426,7 +436,7 @@ def _cost(n: int) -> float:
 def readings(form: str, facts: dict[str, dict]) -> tuple[str, float, bool]:
     """The best reading of a form: text, cost, whether it was misread."""
     f = facts.get(form)
-    n = f["n"] if f else 1000
+    n = f["n"] if f and f.get("matters", True) else 1000
     if f and f["best"] and explains(f["best_n"], n) or (f and f["best"] and odd_characters(form)):
         return f["best"], min(_cost(f["best_n"]) + _EDIT, _cost(n)), True
     return form, _cost(n), odd_characters(form)
@@ -436,7 +446,7 @@ def decode(words: list[dict], facts: dict[str, dict], frequent: frozenset[str] =
     """Shortest path over the stream: for each step the text, its first and last entry, and what happened.
 
     ``facts`` knows only forms that are rare, misread or asked for; others are frequent words. Two
-    entries may be one word after a wrong blank if that word is in ``frequent`` and one of them is rare.
+    entries may be one word after a wrong blank if that word is in ``frequent`` or occurs SPLIT_COUNT times, and one of them is rare.
     """
     n = len(words)
     best: list[tuple[float, int, dict | None]] = [(0.0, -1, None)] + [(math.inf, -1, None)] * n
@@ -475,7 +485,8 @@ def decode(words: list[dict], facts: dict[str, dict], frequent: frozenset[str] =
         if i + 1 < n and len(words[i + 1]["parts"]) == 1:
             v = bare(words[i + 1]["parts"][0])
             rare = min(facts[z]["n"] if z in facts else 1000 for z in (w, v)) <= 2
-            if rare and w + v in frequent and t.endswith(w) and words[i + 1]["parts"][0].startswith(v):
+            joined = apart(t, words[i + 1]["parts"][0])
+            if rare and joined and (joined in frequent or joined in facts and facts[joined]["n"] >= SPLIT_COUNT):
                 offer(i, i + 2, _cost(SPLIT_COUNT) + _JOIN, {"text": t[:at] + w + words[i + 1]["parts"][0], "misread": False})
     path, j = [], n
     while j > 0:
@@ -616,12 +627,12 @@ def decoded(regions: DataFrame, per_task: int = 500_000) -> DataFrame:
     """region_id, line_no, kind, paragraph, text: marks (furniture, hyphen, misread) and repaired body lines."""
     pages = classified_pages(regions, per_task)
     every = cut(word_facts(pages).withColumn("matters", _matters()))
-    facts = every.where("matters").drop("matters")
-    # Frequent words that need no answer stay where they are; the list has a fixed size, the rest drop out of the join.
+    facts = every.where(F.col("matters") | (F.col("n") >= SPLIT_COUNT))
+    # Frequent words that need no answer stay where they are; the list has a fixed size. Others are asked for, as words and as what two entries make.
     frequent = every.where("NOT matters").orderBy(F.desc("n"), "word").limit(CLEAN_WORDS).select("word").collect()
     clean = regions.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in frequent))
     on_pages = salted_join(pages.mapInArrow(_page_words(clean), "doc string, page long, word string"), facts, ["word"], F.struct("doc", "page"), per_task=per_task)
-    per_page = on_pages.groupBy("doc", "page").agg(F.collect_list(F.struct("word", "n", "best", "best_n", "split")).alias("facts"))
+    per_page = on_pages.groupBy("doc", "page").agg(F.collect_list(F.struct("word", "n", "best", "best_n", "split", "matters")).alias("facts"))
     return pages.join(per_page, ["doc", "page"], "left").mapInArrow(_decode_pages(clean), "region_id long, line_no long, kind string, paragraph long, text string")
 
 

@@ -73,3 +73,12 @@ def test_splits_and_merges():
     facts = {f["word"]: f for f in (fact("arbi", 1), fact("tration", 1), fact("ofthe", 1, "of the"))}
     assert " ".join(s["text"] for s in S.decode(words, facts, frozenset({"arbitration"}))) == "the arbitration of the award."
     assert " ".join(s["text"] for s in S.decode(words, {}, frozenset())) == "the arbi tration ofthe award."
+
+
+def test_merges_into_words_that_were_cut_somewhere(spark, monkeypatch):
+    body = [f"perusahaan daerah nomor{k} itu" for k in range(60)] + ["kata perusa-", "haan lain", "oleh perusa haan daerah."]
+    rows = [(k, f"d{k // 10}", k % 10, 1, "text", None, [line for line in body[3 * k : 3 * k + 3]]) for k in range(21)]
+    text = lambda: " ".join(r["clean_text"] for r in S.repaired(S.decoded(regions(spark, rows))).collect())
+    assert "perusa haan" not in text()
+    monkeypatch.setattr(S, "CLEAN_WORDS", 1)
+    assert "perusa haan" not in text()
