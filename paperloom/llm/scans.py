@@ -148,6 +148,8 @@ def explains(true_n: int, seen_n: int) -> bool:
     return seen_n <= max(1, NOISE_SHARE * true_n) and true_n >= LEAST_RATIO * seen_n
 
 
+#: Characters of guesses sent on at once inside a task.
+GUESS_CHARS = 4_000_000
 #: Pages handled at once inside a task.
 PAGES_AT_ONCE = 512
 
@@ -355,27 +357,36 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _GUESSES = pa.schema([("word", pa.string()), ("n", pa.int64()), ("asked", pa.int64()), ("guess", pa.string()), ("edits", pa.int32()), ("rest", pa.string())])
 
 
+def _guesses(r: dict) -> Iterator[dict]:
+    w = r["word"]
+    row = {"word": w, "n": r["n"], "asked": r["asked"], "rest": None}
+    yield row | {"guess": w, "edits": 0}
+    if not any(c.isalpha() for c in w):
+        return
+    one = undone(w)
+    yield from (row | {"guess": v, "edits": 1} for v in one)
+    two = (v for u in one for v in undone(u) if v not in one and v != w)
+    yield from (row | {"guess": v, "edits": 2} for v in (set(two) if len(w) <= 64 else two))  # repeats do no harm
+    if r["n"] and w.isalpha() and w.islower() and len(w) >= 6:
+        yield from (row | {"guess": w[:i], "edits": 3, "rest": w[i:]} for i in range(3, len(w) - 2))
+
+
 def _guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a form may be: itself, a form with one or two confusions undone, or two words run together."""
     for rows in _some(batches):
-        out = []
+        out, size = [], 0
         for r in rows:
-            w = r["word"]
-            row = {"word": w, "n": r["n"], "asked": r["asked"], "rest": None}
-            out.append(row | {"guess": w, "edits": 0})
-            if len(w) > 64 or not any(c.isalpha() for c in w):
-                continue
-            one = undone(w)
-            two = {v for u in one for v in undone(u)} - one - {w} if len(one) <= 24 else set()
-            out.extend(row | {"guess": v, "edits": 1} for v in one)
-            out.extend(row | {"guess": v, "edits": 2} for v in two)
-            if r["n"] == 1 and w.isalpha() and w.islower() and len(w) >= 6:
-                out.extend(row | {"guess": w[:i], "edits": 3, "rest": w[i:]} for i in range(3, len(w) - 2))
+            for g in _guesses(r):
+                out.append(g)
+                size += len(g["word"]) + len(g["guess"])
+                if size > GUESS_CHARS:
+                    yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
+                    out, size = [], 0
         yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
 
 
 def word_facts(pages: DataFrame) -> DataFrame:
-    """word, n_rows (where it occurs or is asked for), n, best (what it was misread from, or null), best_n, split (two words or null)."""
+    """word, n_rows (where it occurs or is asked for), n, best (what it was misread from, or null), best_n, split (two words or null), split_n."""
     counts = cut(pages.mapInArrow(_count_words, "word string, n long, asked long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")))
     guesses = counts.mapInArrow(_guess, "word string, n long, asked long, guess string, edits int, rest string")
     lexicon = counts.where("n > 0").select(F.col("word").alias("guess"), F.col("n").alias("guess_n"))
@@ -385,12 +396,15 @@ def word_facts(pages: DataFrame) -> DataFrame:
     # One confusion undone comes before two: two only where no word with one occurs often enough.
     strong = F.when(F.col("edits") == 1, F.struct("guess_n", "guess"))
     weak = F.when((F.col("edits") == 2) & (F.col("guess_n") >= 3), F.struct("guess_n", "guess"))
-    parts = F.when((F.col("edits") == 3) & (F.col("guess_n") >= SPLIT_COUNT) & F.col("rest_n").isNotNull(), F.struct(F.least("guess_n", "rest_n").alias("guess_n"), F.concat_ws(" ", "guess", "rest").alias("guess")))
+    # Two words run together: both so much more frequent that they explain the form as noise.
+    rarer = F.least("guess_n", "rest_n")
+    run_together = (F.col("n") <= F.greatest(F.lit(1.0), NOISE_SHARE * rarer)) & (rarer >= LEAST_RATIO * F.col("n"))
+    parts = F.when((F.col("edits") == 3) & (F.col("guess_n") >= SPLIT_COUNT) & F.col("rest_n").isNotNull() & run_together, F.struct(rarer.alias("guess_n"), F.concat_ws(" ", "guess", "rest").alias("guess")))
     found = met.groupBy("word").agg(F.first("n").alias("n"), F.first("asked").alias("asked"), F.max(strong).alias("one"), F.max(weak).alias("two"), F.max(parts).alias("split"))
     floor = F.greatest(F.col("n"), F.lit(1)) * LEAST_RATIO
     best = F.when(F.col("one.guess_n") >= floor, F.col("one")).otherwise(F.greatest("one", "two"))
     return found.select(
-        "word", (F.col("n") + F.col("asked")).alias("n_rows"), "n", "asked", best["guess"].alias("best"), best["guess_n"].alias("best_n"), F.col("split.guess").alias("split")
+        "word", (F.col("n") + F.col("asked")).alias("n_rows"), "n", "asked", best["guess"].alias("best"), best["guess_n"].alias("best_n"), F.col("split.guess").alias("split"), F.col("split.guess_n").alias("split_n")
     )
 
 
@@ -481,7 +495,7 @@ def decode(words: list[dict], facts: dict[str, dict], frequent: frozenset[str] =
         f = facts.get(w)
         if f and f["split"] and not bad:
             x, y = f["split"].split(" ")
-            offer(i, i + 1, _cost(SPLIT_COUNT) + _JOIN - _UNKNOWN, {"text": t[:at] + f"{x} {y}" + t[at + len(w) :], "misread": False})
+            offer(i, i + 1, _cost(f.get("split_n") or SPLIT_COUNT) + _JOIN - _UNKNOWN, {"text": t[:at] + f"{x} {y}" + t[at + len(w) :], "misread": False})
         if i + 1 < n and len(words[i + 1]["parts"]) == 1:
             v = bare(words[i + 1]["parts"][0])
             rare = min(facts[z]["n"] if z in facts else 1000 for z in (w, v)) <= 2
@@ -632,7 +646,7 @@ def decoded(regions: DataFrame, per_task: int = 500_000) -> DataFrame:
     frequent = every.where("NOT matters").orderBy(F.desc("n"), "word").limit(CLEAN_WORDS).select("word").collect()
     clean = regions.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in frequent))
     on_pages = salted_join(pages.mapInArrow(_page_words(clean), "doc string, page long, word string"), facts, ["word"], F.struct("doc", "page"), per_task=per_task)
-    per_page = on_pages.groupBy("doc", "page").agg(F.collect_list(F.struct("word", "n", "best", "best_n", "split", "matters")).alias("facts"))
+    per_page = on_pages.groupBy("doc", "page").agg(F.collect_list(F.struct("word", "n", "best", "best_n", "split", "split_n", "matters")).alias("facts"))
     return pages.join(per_page, ["doc", "page"], "left").mapInArrow(_decode_pages(clean), "region_id long, line_no long, kind string, paragraph long, text string")
 
 

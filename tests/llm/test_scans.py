@@ -82,3 +82,13 @@ def test_merges_into_words_that_were_cut_somewhere(spark, monkeypatch):
     assert "perusa haan" not in text()
     monkeypatch.setattr(S, "CLEAN_WORDS", 1)
     assert "perusa haan" not in text()
+
+
+def test_splits_and_readings_without_limits(spark):
+    long, many = "x" * 70 + "ment", "tetetetetetetetetetetetete"
+    once = [long.replace("m", "rn").replace("t", "f"), many.replace("e", "c", 2)]
+    rows = [(k, f"d{k // 10}", k % 10, 1, "text", None, ["guna harga", f"{long} {many}"]) for k in range(60)]
+    rows += [(100 + k, "e", k, 1, "text", None, ["pada gunaharga itu"]) for k in range(3)] + [(200, "f", 1, 1, "text", None, [" ".join(once)])]
+    text = {r["region_id"]: r["clean_text"] for r in S.repaired(S.decoded(regions(spark, rows))).collect()}
+    assert text[200] == f"{long} {many}"
+    assert [text[100 + k] for k in range(3)] == ["pada guna harga itu"] * 3
