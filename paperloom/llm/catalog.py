@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.leakage import MIN_RUN, leaks
+from paperloom.llm.leakage import leaks
 from paperloom.llm.leakage import report as leak_report
 from paperloom.llm.mixture import Mixture
 from paperloom.llm.pieces import DEFAULT_SIZE, split_items
@@ -54,8 +54,7 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the test items of which they hold at least twelve consecutive words."""
-    found = leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
-    return found.where(F.col("run_words") >= MIN_RUN).select("doc_id", "item_id")
+    return leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:

@@ -1,20 +1,22 @@
-"""Evaluation passages that leaked into a corpus, by latent semantic retrieval and run checks.
+"""Evaluation passages that leaked into a corpus, by latent semantic retrieval and word checks.
 
 Documents become lists of hashed words. Inverse document frequencies cover all documents; a
 randomised SVD of the TF-IDF passages (one pass that sums A'A applied to a random matrix over
-partitions, then a Nystrom solve of bounded size) gives every word a latent vector, completed
-by a few hashed dimensions so that rare words count too. Windows of the corpus are searched for
-by cosine among the windows of the test items with an inverted-file index, and what is near is
-checked word by word for its longest common run and, in the report, longest common subsequence.
-
-Windows have WINDOW words and begin every STRIDE words, the items' at every word; with
-WINDOW + STRIDE - 1 <= MIN_RUN every shared run of MIN_RUN words holds a corpus window equal to
-an item's, whose cosine is 1: no exact leak can be missed.
+partitions, then a Nystrom solve of bounded size) gives every word a latent vector. Candidates
+come only from a cosine search in that space, in an inverted-file index over the items:
+
+* windows of WINDOW words, the corpus's beginning every STRIDE words and the items' at every
+  word. On the diagonal of each near pair the longest common run is measured; MIN_RUN equal words
+  are a leak. With WINDOW + STRIDE - 1 <= MIN_RUN every such run holds a corpus window equal to an
+  item's, whose cosine is 1, so the search misses no exact leak;
+* passages of PASSAGE words for reworded items. Of each near pair the longest common subsequence
+  with the neighbourhood must hold PARAPHRASE_SHARE of the passage, and the answer check must
+  pass: the item's answer occurs there, or, where items have none, at least ANSWER_SHARE of the
+  passage's rarest words, which are what a question about it would ask for.
 
 Words are runs of letters and digits without case; comments such as page markers and tags between
-them do not count. A word cut by a hyphen at a line end is whole, unless only its two halves occur
-in the items. Null and empty texts have no words. Documents or items shorter than MIN_RUN words
-cannot match. Repeated documents each count.
+them do not count. A word cut by a hyphen at a line end is whole. Null and empty texts have no
+words. Documents or items shorter than MIN_RUN words cannot match. Repeated documents each count.
 """
 
 from __future__ import annotations
@@ -33,11 +35,15 @@ from pyspark.sql import functions as F
 from paperloom.session import cut
 
 MIN_RUN, WINDOW, STRIDE = 12, 8, 5
-FEATURES, RANK, OVERSAMPLE, HASHED = 1 << 15, 16, 8, 8
-PASSAGE = 48
-COSINE = 0.95
-#: Of the report on paraphrases: the least cosine of a near window, the cells searched for it, and the least part of the item's words in order.
-PARAPHRASE_COSINE, PROBES, PARAPHRASE_SHARE = 0.8, 24, 0.6
+FEATURES, RANK, OVERSAMPLE = 1 << 15, 40, 8
+#: Words of a passage, in the decomposition and in the search for reworded items; of the latter one begins every PASSAGE_STRIDE words, the items' every ITEM_STRIDE.
+PASSAGE, PASSAGE_STRIDE, ITEM_STRIDE = 32, 16, 4
+#: The least cosine of a near window, and of a near passage.
+COSINE, PASSAGE_COSINE = 0.95, 0.85
+#: Cells searched for a window and for a passage. An equal window always lies in the nearest one.
+WINDOW_PROBES, PASSAGE_PROBES = 1, 16
+#: The least part of a passage's words that a reworded copy has in order, and of its rarest quarter that it has at all.
+PARAPHRASE_SHARE, ANSWER_SHARE = 0.75, 0.5
 #: Items searched for at once, and the words they may have together; more items go in more blocks.
 ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 5_000, 2_000_000
 #: Tokens handled at a time inside a task.
@@ -46,7 +52,7 @@ SEED = 11
 
 _NOISE = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>\n]{0,200}>", re.S)
 _WORD = re.compile(r"[^\W_]+")
-_CUT = re.compile(r"([^\W_]+)[-­‐‑¬][ \t]*\r?\n\s*([^\W_]+)")
+_CUT = re.compile(r"(?<=[^\W_])[-­‐‑¬][ \t]*\r?\n\s*(?=[^\W_])")
 _CUT_HERE = re.compile(r"[-­‐‑¬][ \t]*\r?\n")
 
 
@@ -59,8 +65,8 @@ class _Hashes(dict):
         return value
 
 
-def words_of(text: str | None, known: set[str] | frozenset[str] = frozenset()) -> list[str]:
-    """The words of a text; ``known`` decides between a cut word and a compound at a line end."""
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; a word cut by a hyphen at a line end is one word."""
     if not text:
         return []
     if not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -69,16 +75,11 @@ def words_of(text: str | None, known: set[str] | frozenset[str] = frozenset()) -
     if "<" in text:
         text = _NOISE.sub(" ", text)
     if _CUT_HERE.search(text):
-
-        def whole(m: re.Match) -> str:
-            a, b = m.group(1), m.group(2)
-            return f"{a} {b}" if a + b not in known and a in known and b in known else a + b
-
-        text = _CUT.sub(whole, text)
+        text = _CUT.sub("", text)
     return _WORD.findall(text)
 
 
-def tokenised(docs: DataFrame, doc_id: str, text: str, known: frozenset[str]) -> DataFrame:
+def tokenised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and the hashed words of each document that has at least MIN_RUN words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, known: frozenset[str]) ->
         for batch in batches:
             ids, tokens = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words_of(t, known)
+                w = words_of(t)
                 if len(w) >= MIN_RUN:
                     ids.append(i)
                     tokens.append(np.fromiter(map(get, w), dtype=np.int32, count=len(w)))
@@ -185,37 +186,47 @@ def latent_words(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
     return out * np.sqrt(np.float32(FEATURES))
 
 
-def _word_vectors(tokens: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Latent vectors of words: their share of the subspace, completed by hashed signs."""
-    f = _feature(tokens)
-    bits = (tokens.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(40) + np.arange(HASHED, dtype=np.uint64))[None, :]
-    signs = ((bits & np.uint64(1)).astype(np.float32) * 2 - 1)
-    return (np.concatenate([basis[f], signs], axis=1) * idf[f][:, None]).astype(np.float32)
-
-
-def _windows(tokens: np.ndarray, starts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Unit vectors of the windows that begin at ``starts``; the words of a window are added in order."""
+def _vectors(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of the spans of at most ``width`` words that begin at ``starts``; words are added in order. A span without any latent word is zero."""
     distinct, back = np.unique(tokens, return_inverse=True)
-    table = _word_vectors(distinct, idf, basis)
+    f = _feature(distinct)
+    table = np.concatenate([(basis[f] * idf[f][:, None]).astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
+    back = np.append(back, len(distinct))  # positions past the end add nothing
     out = table[back[starts]]
-    for k in range(1, WINDOW):
-        out = out + table[back[starts + k]]
+    for k in range(1, width):
+        at = starts + k
+        out = out + table[back[np.where(at < ends, at, len(tokens))]]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _spans(offsets: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of spans every ``step`` words of each text, the last one flush with its end, and the ends of their texts. A text shorter than ``width`` is one span."""
+    starts, ends = [], []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        own = np.arange(a, max(a, b - width) + 1, step)
+        if b - width > own[-1]:
+            own = np.append(own, b - width)
+        starts.append(own)
+        ends.append(np.full(len(own), b))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (none, none)
+
+
 class ItemIndex:
-    """The windows of the test items in cells around centroids; an item's window lies in each cell about as near as its nearest."""
+    """Spans of the test items in cells around centroids; a span lies in each cell about as near as its nearest."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
-        self.idf, self.basis = idf.astype(np.float32), basis
+    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, basis: np.ndarray, width: int = WINDOW, step: int = 1, answers: dict[int, set[int]] | None = None):
+        self.idf, self.basis, self.width = idf.astype(np.float32), basis, width
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.offsets = np.r_[0, np.cumsum([len(t) for _, t in items])].astype(np.int64)
         self.tokens = np.concatenate([t for _, t in items]) if items else np.zeros(0, np.int32)
-        self.starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.offsets[:-1], self.offsets[1:])]) if items else np.zeros(0, np.int64)
-        self.vectors = _windows(self.tokens, self.starts, self.idf, basis) if len(self.starts) else np.zeros((0, RANK + HASHED), np.float32)
+        self.starts, self.ends = _spans(self.offsets, width, step)
+        self.item = np.searchsorted(self.offsets, self.starts, side="right") - 1
+        rank = basis.shape[1]
+        self.vectors = _vectors(self.tokens, self.starts, self.ends, width, self.idf, basis) if len(self.starts) else np.zeros((0, rank), np.float32)
         n = int(max(1, min(1024, np.sqrt(len(self.starts)))))
         rng = np.random.default_rng(SEED)
-        self.centroids = self.vectors[rng.choice(len(self.vectors), n, replace=False)] if len(self.vectors) else np.zeros((1, RANK + HASHED), np.float32)
+        self.centroids = self.vectors[rng.choice(len(self.vectors), n, replace=False)] if len(self.vectors) else np.zeros((1, rank), np.float32)
         for _ in range(5):
             own = np.argmax(self.vectors @ self.centroids.T, axis=1) if len(self.vectors) else np.zeros(0, int)
             sums = np.zeros_like(self.centroids)
@@ -225,6 +236,7 @@ class ItemIndex:
         near = self.vectors @ self.centroids.T
         close = near >= near.max(axis=1, keepdims=True) - 1e-3 if len(self.vectors) else near > 1
         self.cells = [np.nonzero(close[:, c])[0] for c in range(len(self.centroids))]
+        self.answers = answers or {}
 
     def _nearest(self, queries: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest cells of each query."""
@@ -232,7 +244,7 @@ class ItemIndex:
         return np.argmax(near, axis=1)[:, None] if probes == 1 else np.argpartition(near, -probes, axis=1)[:, -probes:]
 
     def search(self, queries: np.ndarray, least: float, probes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, item window number and cosine of every pair at or above ``least`` in the query's ``probes`` nearest cells."""
+        """Query number, item span number and cosine of every pair at or above ``least`` in the query's ``probes`` nearest cells."""
         probes = min(probes, len(self.centroids))
         own = np.concatenate([self._nearest(queries[k : k + 4096], probes) for k in range(0, max(1, len(queries)), 4096)]).ravel()
         order = np.argsort(own, kind="stable")
@@ -251,125 +263,167 @@ class ItemIndex:
         if not qs:
             return none, none, none.astype(np.float32)
         q, w, c = np.concatenate(qs), np.concatenate(ws), np.concatenate(cs)
-        if probes > 1:  # an item's window may lie in several of the cells
+        if probes > 1:  # an item's span may lie in several of the cells
             once = np.unique(q * len(self.vectors) + w, return_index=True)[1]
             q, w, c = q[once], w[once], c[once]
         return q, w, c
 
 
-def longest_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """Length of the common run of a and b through a[i] == b[j]."""
-    left = 0
-    while i - left > 0 and j - left > 0 and a[i - left - 1] == b[j - left - 1]:
-        left += 1
-    right = 0
-    while i + right < len(a) and j + right < len(b) and a[i + right] == b[j + right]:
-        right += 1
-    return left + right
+def runs_through(a: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, b: np.ndarray, bt: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+    """Longest run of equal words on the diagonal of each near pair, looked at MIN_RUN - 1 words beyond the window on both sides."""
+    best = np.zeros(len(at), np.int32)
+    # A run of MIN_RUN words in that reach goes through the window's first or last word.
+    hit = (a[at] == b[bt]) | (a[at + WINDOW - 1] == b[bt + WINDOW - 1])
+    at, lo, hi, bt, blo, bhi = (x[hit] for x in (at, lo, hi, bt, blo, bhi))
+    most, run = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+    for k in range(1 - MIN_RUN, WINDOW + MIN_RUN - 1):
+        i, j = at + k, bt + k
+        inside = (i >= lo) & (i < hi) & (j >= blo) & (j < bhi)
+        run = (run + 1) * (inside & (a[np.where(inside, i, 0)] == b[np.where(inside, j, 0)]))
+        np.maximum(most, run, out=most)
+    best[hit] = most
+    return best
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence; one row of the table at a time, as the bits of a number."""
     at: dict[int, int] = {}
-    for k, x in enumerate(b.tolist()):
+    for k, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << k
     whole = (1 << len(b)) - 1
     row = whole
-    for x in a.tolist():
-        hit = row & at.get(x, 0)
-        row = (row + hit | row - hit) & whole
+    for x in a:
+        if hits := at.get(x):
+            hit = row & hits
+            row = (row + hit | row - hit) & whole
     return len(b) - row.bit_count()
 
 
-def _search(index, least: float, paraphrases: bool, probes: int):
+_EXACT = "doc_id long, item_id long, run_words int, cosine double"
+_REWORDED = "doc_id long, item_id long, common_share double, answer_share double, cosine double"
+
+
+def _exact(index, least: float, probes: int):
+    """Pairs of near windows whose diagonal has a run of MIN_RUN words, once per document and item of a part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: ItemIndex = index.value
         for batch in batches:
-            docs, items, runs, cosines, shares = [], [], [], [], []
+            out = []
             for ids, offsets, toks in _flat(batch):
                 starts = np.concatenate([np.arange(a, b - WINDOW + 1, STRIDE) for a, b in zip(offsets[:-1], offsets[1:])])
-                if not len(starts):
+                if not len(starts) or not len(ix.starts):
                     continue
-                queries = _windows(toks, starts, ix.idf, ix.basis)
+                doc = np.searchsorted(offsets, starts, side="right") - 1
+                queries = _vectors(toks, starts, offsets[doc + 1], WINDOW, ix.idf, ix.basis)
                 q, w, c = ix.search(queries, least, probes)
-                item = np.searchsorted(ix.offsets, ix.starts[w], side="right") - 1
-                doc = np.searchsorted(offsets, starts[q], side="right") - 1
-                equal = np.ones(len(q), dtype=bool)
-                for k in range(WINDOW):
-                    equal &= toks[starts[q] + k] == ix.tokens[ix.starts[w] + k]
-                found: dict[tuple[int, int], list[float]] = {}
-                for p in np.nonzero(equal)[0]:
-                    d, t = int(doc[p]), int(item[p])
-                    best = found.setdefault((d, t), [0, 0.0, 0.0])
-                    best[1] = max(best[1], float(c[p]))
-                    if best[0] < MIN_RUN:
-                        a, b = toks[offsets[d] : offsets[d + 1]], ix.tokens[ix.offsets[t] : ix.offsets[t + 1]]
-                        best[0] = max(best[0], longest_run(a, int(starts[q[p]] - offsets[d]), b, int(ix.starts[w[p]] - ix.offsets[t])))
-                if paraphrases and len(q):
-                    # Near windows that put the item's beginning into the same PASSAGE words of a document are looked at together.
-                    begin = starts[q] - (ix.starts[w] - ix.offsets[item]) - offsets[doc]
-                    reach = int(max(np.abs(begin).max() // PASSAGE + 1, 1))
-                    place = (doc * len(ix.ids) + item) * (2 * reach + 1) + begin // PASSAGE + reach
-                    order = np.argsort(place, kind="stable")
-                    firsts = np.nonzero(np.r_[True, np.diff(place[order]) > 0])[0]
-                    for p, cosine in zip(order[firsts], np.maximum.reduceat(c[order], firsts)):
-                        d, t = int(doc[p]), int(item[p])
-                        best = found.setdefault((d, t), [0, 0.0, 0.0])
-                        best[1] = max(best[1], float(cosine))
-                        if best[0] < MIN_RUN and best[2] < 1:
-                            b = ix.tokens[ix.offsets[t] : ix.offsets[t + 1]]
-                            lo = int(begin[p] // PASSAGE) * PASSAGE
-                            a = toks[offsets[d] : offsets[d + 1]][max(0, lo - PASSAGE) : lo + 2 * PASSAGE + len(b)]
-                            best[2] = max(best[2], common_subsequence(a, b) / len(b))
-                for (d, t), (length, cosine, share) in found.items():
-                    docs.append(int(ids[d]))
-                    items.append(int(ix.ids[t]))
-                    runs.append(int(length))
-                    cosines.append(cosine)
-                    shares.append(share)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(runs, pa.int32()), pa.array(cosines, pa.float64()), pa.array(shares, pa.float64())],
-                names=["doc_id", "item_id", "run_words", "cosine", "common_share"],
-            )
+                d, t = doc[q], ix.item[w]
+                length = runs_through(toks, starts[q], offsets[d], offsets[d + 1], ix.tokens, ix.starts[w], ix.offsets[t], ix.offsets[t + 1])
+                ok = length >= MIN_RUN
+                out.append(pd.DataFrame({"doc_id": ids[d[ok]], "item_id": ix.ids[t[ok]], "run_words": length[ok], "cosine": c[ok].astype(float)}).groupby(["doc_id", "item_id"], as_index=False).max())
+            every = pd.concat(out) if out else pd.DataFrame({"doc_id": [], "item_id": [], "run_words": [], "cosine": []})
+            yield pa.RecordBatch.from_pandas(every.astype({"doc_id": "int64", "item_id": "int64", "run_words": "int32", "cosine": "float64"}), preserve_index=False)
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = COSINE, paraphrases: bool = False, probes: int = 1) -> DataFrame:
-    """doc_id, item_id, run_words, cosine, common_share of every pair with a shared window.
+def _rare(words: list[int], idf: np.ndarray) -> set[int]:
+    """The rarest quarter of the words of a passage."""
+    distinct = np.unique(np.array(words, dtype=np.int32))
+    rarest = np.argsort(-idf[_feature(distinct)], kind="stable")[: max(1, len(distinct) // 4)]
+    return set(distinct[rarest].tolist())
 
-    ``run_words`` is the longest common run seen, up to MIN_RUN at least; a pair with MIN_RUN or more is a leak.
-    With ``paraphrases`` near windows count too, and common_share is the part of the item's words
-    that the neighbourhood has in order. Near windows are searched for in ``probes`` cells.
+
+def _reworded(index, least: float, probes: int):
+    """Pairs of near passages that pass the checks on the longest common subsequence and the answer, the best of each document and item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: ItemIndex = index.value
+        passages = [ix.tokens[a : min(a + ix.width, b)].tolist() for a, b in zip(ix.starts, ix.ends)]
+        asked = [ix.answers.get(int(ix.ids[t])) or _rare(p, ix.idf) for p, t in zip(passages, ix.item)]
+        for batch in batches:
+            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for ids, offsets, toks in _flat(batch):
+                starts, ends = _spans(offsets, ix.width, PASSAGE_STRIDE)
+                if not len(starts) or not len(ix.starts):
+                    continue
+                doc = np.searchsorted(offsets, starts, side="right") - 1
+                q, w, c = ix.search(_vectors(toks, starts, ends, ix.width, ix.idf, ix.basis), least, probes)
+                order, last = np.argsort(q, kind="stable"), -1
+                for p in order.tolist():
+                    if q[p] != last:
+                        last = int(q[p])
+                        region = toks[max(offsets[doc[last]], starts[last] - PASSAGE_STRIDE) : min(ends[last], starts[last] + ix.width + PASSAGE_STRIDE)].tolist()
+                        there = set(region)
+                    passage = passages[w[p]]
+                    need = PARAPHRASE_SHARE * len(passage)
+                    if sum(map(there.__contains__, passage)) < need:
+                        continue
+                    answer = asked[w[p]]
+                    answered = len(answer & there) / len(answer)
+                    if answered < ANSWER_SHARE:
+                        continue
+                    common = common_subsequence(region, passage)
+                    if common >= need:
+                        key = (int(ids[doc[last]]), int(ix.ids[ix.item[w[p]]]))
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (common / len(passage), answered, float(c[p])))
+            cols = [[k[0] for k in best], [k[1] for k in best], *[[v[n] for v in best.values()] for n in range(3)]]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["doc_id", "item_id", "common_share", "answer_share", "cosine"])
+
+    return run
+
+
+class Leakage:
+    """The searches of a corpus for leaked items; ``exact()`` and ``reworded()`` share the words, the frequencies and the latent space.
+
+    ``docs`` needs doc_id and text, ``items`` item_id, text and, if there are any, ``answer``.
+    More than ITEMS_PER_BLOCK items are searched for in several blocks over the same words.
     """
-    spark = docs.sparkSession
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_items, n_chars = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    n_blocks = max(1, -(-n_items // ITEMS_PER_BLOCK), -(-n_chars // (4 * WORDS_PER_BLOCK)))
-    result, latent = None, None
-    for block in range(n_blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()
-        texts = [(r["item_id"], words_of(r["text"])) for r in rows]
-        known = frozenset(w for _, ws in texts for w in ws)
-        hashes = _Hashes()
-        listed = [(i, np.array([hashes[w] for w in ws], dtype=np.int32)) for i, ws in sorted(texts) if len(ws) >= MIN_RUN]
-        tokens = cut(tokenised(docs, "doc_id", "text", known))
-        if latent is None:
-            df, n = document_frequencies(tokens)
-            idf = np.log((1 + n) / (1 + df)) + 1.0
-            latent = (idf, latent_words(tokens, idf))
-        index = spark.sparkContext.broadcast(ItemIndex(listed, *latent))
-        part = tokens.mapInArrow(_search(index, least, paraphrases, probes), "doc_id long, item_id long, run_words int, cosine double, common_share double")
-        result = part if result is None else result.unionByName(part)
-    return result.groupBy("doc_id", "item_id").agg(
-        F.max("run_words").alias("run_words"), F.max("cosine").alias("cosine"), F.max("common_share").alias("common_share")
-    )
+
+    def __init__(self, docs: DataFrame, items: DataFrame):
+        self.spark = docs.sparkSession
+        answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
+        self.items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
+        self.tokens = cut(tokenised(docs, "doc_id", "text"))
+        df, n = document_frequencies(self.tokens)
+        self.idf = np.log((1 + n) / (1 + df)) + 1.0
+        self.basis = latent_words(self.tokens, self.idf)
+
+    def _each_block(self, width: int, step: int, search, schema: str) -> DataFrame:
+        n_items, n_chars = self.items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        n_blocks = max(1, -(-n_items // ITEMS_PER_BLOCK), -(-n_chars // (4 * WORDS_PER_BLOCK)))
+        result = None
+        for block in range(n_blocks):
+            rows = self.items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()
+            hashes = _Hashes()
+            listed = sorted(((r["item_id"], np.array([hashes[w] for w in words_of(r["text"])], dtype=np.int32)) for r in rows), key=lambda x: x[0])
+            answers = {r["item_id"]: {hashes[w] for w in words_of(r["answer"])} for r in rows if r["answer"]}
+            index = self.spark.sparkContext.broadcast(ItemIndex([(i, t) for i, t in listed if len(t) >= MIN_RUN], self.idf, self.basis, width, step, answers))
+            part = self.tokens.mapInArrow(search(index), schema)
+            result = part if result is None else result.unionByName(part)
+        return result
+
+    def exact(self, least: float = COSINE, probes: int = WINDOW_PROBES) -> DataFrame:
+        """doc_id, item_id, run_words, cosine of every document that holds MIN_RUN consecutive words of an item. ``run_words`` is the longest run seen through a near window, at most WINDOW + 2 * MIN_RUN - 2."""
+        found = self._each_block(WINDOW, 1, lambda index: _exact(index, least, probes), _EXACT)
+        return found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("cosine").alias("cosine"))
+
+    def reworded(self, least: float = PASSAGE_COSINE, probes: int = PASSAGE_PROBES) -> DataFrame:
+        """doc_id, item_id, common_share, answer_share, cosine of every document with a passage that says an item's in the same order, word by word or not."""
+        found = self._each_block(PASSAGE, ITEM_STRIDE, lambda index: _reworded(index, least, probes), _REWORDED)
+        return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("common_share", "answer_share", "cosine")).alias("best")).select("doc_id", "item_id", "best.*")
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, run_words, cosine of every exact leak."""
+    return Leakage(docs, items).exact()
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, kind (``exact`` or ``paraphrase``), run_words, cosine, common_share of every item that a document holds, word by word or reworded."""
-    found = leaks(docs, items, PARAPHRASE_COSINE, True, PROBES)
-    exact = F.col("run_words") >= MIN_RUN
-    return found.where(exact | (F.col("common_share") >= PARAPHRASE_SHARE)).select(
-        "doc_id", "item_id", F.when(exact, "exact").otherwise("paraphrase").alias("kind"), "run_words", "cosine", "common_share"
+    """doc_id, item_id, kind (``exact`` or ``paraphrase``), run_words, common_share, answer_share of every item that a document holds, word by word or reworded."""
+    both = Leakage(docs, items)
+    exact, reworded = both.exact().drop("cosine"), both.reworded().drop("cosine")
+    return exact.join(reworded, ["doc_id", "item_id"], "full").select(
+        "doc_id", "item_id", F.when(F.col("run_words").isNotNull(), "exact").otherwise("paraphrase").alias("kind"), "run_words", "common_share", "answer_share"
     )
