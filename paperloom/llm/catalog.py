@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.copies import collapse_copies, copy_links
 from paperloom.llm.leakage import leaks
 from paperloom.llm.leakage import report as leak_report
 from paperloom.llm.mixture import Mixture
@@ -15,6 +16,9 @@ from paperloom.operators.skew import salted_join
 from paperloom.session import cut, load
 
 
+COPY_KEYS = ["header_id", "txn_date", "value_date", "debit", "credit", "balance"]
+
+
 def _scans(spark: SparkSession, d: str) -> DataFrame:
     return decoded(load(spark, d, "ocr_regions"))
 
@@ -52,6 +56,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True).where("n_pieces > 1")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of bookings, each with the smallest id of its set."""
+    return copy_links(load(spark, d, "transaction_details"), "detail_id", COPY_KEYS, "description", "ref_no")
+
+
+def p5_bookings(spark: SparkSession, d: str) -> DataFrame:
+    """One row per booking with its number of copies."""
+    details = load(spark, d, "transaction_details")
+    links = copy_links(details, "detail_id", COPY_KEYS, "description", "ref_no")
+    return collapse_copies(details.select("detail_id", *COPY_KEYS, "description", "ref_no"), links, "detail_id").select(
+        "detail_id", "header_id", "description", "ref_no", "n_copies"
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the test items of which they hold at least twelve consecutive words."""
     return leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -78,6 +96,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).report()
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: which tokens of which documents stand in which slot of which shard."""
+    return Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).contents()
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     docs, names = load(spark, d, "documents"), subjects_of(load(spark, d, "subject_areas"))
     return assigned(docs, train(docs, load(spark, d, "subject_labels"), names), names)
@@ -95,7 +118,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_text": p1_text,
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_items": p6_items, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_bookings": p5_bookings, "p6_found": p6_found, "p6_items": p6_items, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix,
     "p8_found": p8_found, "p8_composition": p8_composition,
 }
 
@@ -105,7 +128,21 @@ _LEAK_SQL = r"""
     grams AS (SELECT id, side, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM worded WHERE len(w) >= 12),
     found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.side = 'd' AND i.side = 'i')
 """
+# The words of a description in order of the alphabet: what does not change with the order of segments.
+_COPY_SQL = r"""
+    WITH canon AS (
+        SELECT detail_id, header_id, txn_date, value_date, debit, credit, balance, description, ref_no,
+            list_sort(regexp_extract_all(lower(regexp_replace(description, '[^\pL\pN\s\pZ/|:;,·–-]', '', 'g')), '\pL+|\pN+')) AS words,
+            lower(regexp_replace(ref_no, '[^\pL\pN]', '', 'g')) AS ref
+        FROM transaction_details
+    ), sets AS (
+        SELECT *, min(detail_id) OVER w AS first_id, count(*) OVER w AS n_copies FROM canon
+        WINDOW w AS (PARTITION BY header_id, txn_date, value_date, debit, credit, balance, words, ref)
+    )
+"""
 ORACLE = {
+    "p5_found": _COPY_SQL + "SELECT first_id, detail_id AS copy_id FROM sets WHERE detail_id > first_id",
+    "p5_bookings": _COPY_SQL + "SELECT detail_id, header_id, description, ref_no, n_copies FROM sets WHERE detail_id = first_id",
     "p6_found": _LEAK_SQL + "SELECT doc_id, item_id FROM found",
     "p6_items": _LEAK_SQL + "SELECT item_id, count(*) AS n_documents FROM found GROUP BY item_id",
     "p3_found": f"""

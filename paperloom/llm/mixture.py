@@ -139,25 +139,35 @@ class Mixture:
         """The filled slots with their blocks: shard, key, slot, epoch, block_no, n_tokens, slices."""
         return self.slots().where(F.col("block_no").isNotNull()).join(self.blocks(), ["key", "block_no"])
 
+    def contents(self) -> DataFrame:
+        """The mix itself, one row per slice of a filled slot: shard, key, slot, epoch, block_no, doc_id, from_token, to_token."""
+        each = self.mixed().select("shard", "key", "slot", "epoch", "block_no", F.explode("slices").alias("s"))
+        return each.select("shard", "key", "slot", "epoch", "block_no", "s.doc_id", "s.from_token", "s.to_token")
+
     def report(self) -> DataFrame:
         """Per target source: its tokens, capacity, wanted tokens, what the mix holds, the share reached, repeats, and whether it falls short.
 
-        A source falls short if what the mix took from its blocks and what they could still give within
-        max_repeats stay below the wanted tokens; both are counted block by block over the slots drawn.
+        Candidates for falling short come from the draw: sources whose drawn slots, give or take
+        six standard deviations, reach the slots that their blocks offer within max_repeats. (A
+        source that falls short has no more blocks than its expected slots and max_repeats ask
+        for; the draw misses that bound with a chance below 2e-8.) Of a candidate the tokens of
+        its packed blocks times max_repeats are held against the wanted tokens.
         """
-        used = self.slots().where(F.col("block_no").isNotNull()).groupBy("key", "block_no").agg(F.count(F.lit(1)).alias("uses"), F.max("epoch").alias("last_epoch"))
-        each = self.blocks().select("key", "block_no", "n_tokens").join(used, ["key", "block_no"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
-        times = F.col("max_repeats")
-        within, spare = F.least("uses", times), F.greatest(times - F.col("uses"), F.lit(0))  # rows of one key may differ in max_repeats
-        drawn = each.join(F.broadcast(self.sources.select("key", "max_repeats").distinct()), "key").groupBy("key", "max_repeats").agg(
-            F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.max("last_epoch").alias("last_epoch"), F.sum(F.col("n_tokens") * (within + spare)).alias("reachable")
-        )
-        filled = self.sources.join(drawn, ["key", "max_repeats"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mixed_tokens", "reachable")})
-        capacity = F.col("tokens") * F.col("max_repeats")
-        wanted = F.col("target_share") * F.lit(self.total)
+        used = self.slots().groupBy("key", "block_no").agg(F.count(F.lit(1)).alias("uses"), F.max("epoch").alias("last_epoch"))
+        slots = F.col("block_no").isNotNull()
+        each = used.join(self.blocks().select("key", "block_no", "n_tokens"), ["key", "block_no"], "full")
+        per_key = each.groupBy("key").agg(
+            F.coalesce(F.sum("uses"), F.lit(0)).alias("drawn"), F.coalesce(F.sum(F.when(slots, F.col("n_tokens") * F.col("uses"))), F.lit(0)).alias("mixed_tokens"),
+            F.max(F.when(slots, F.col("last_epoch"))).alias("last_epoch"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("packed"), F.count("n_tokens").alias("offered"),
+        )
+        numbers = ("drawn", "mixed_tokens", "packed", "offered")
+        filled = self.sources.join(per_key, "key", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+        times, wanted = F.col("max_repeats"), F.col("target_share") * F.lit(self.total)
+        most = F.col("drawn") + 6 * F.sqrt(F.col("drawn") + 9) + 18  # expected slots are at most this
+        near = most + times + 1 >= F.col("offered") * times
         whole = Window.partitionBy(F.lit(1))  # at most MAX_TARGETS rows
         return filled.withColumn("all_mixed", F.sum("mixed_tokens").over(whole)).select(
-            "source", "target_share", "max_repeats", "tokens", capacity.alias("capacity"), wanted.alias("wanted"), "mixed_tokens",
+            "source", "target_share", "max_repeats", "tokens", (F.col("tokens") * times).alias("capacity"), wanted.alias("wanted"), "mixed_tokens",
             F.when(F.col("all_mixed") > 0, F.col("mixed_tokens") / F.col("all_mixed")).otherwise(0.0).alias("actual_share"),
-            F.coalesce(F.col("last_epoch") + 1, F.lit(0)).alias("repeats"), (F.col("reachable") < wanted).alias("falls_short"),
+            F.coalesce(F.col("last_epoch") + 1, F.lit(0)).alias("repeats"), (near & (F.col("packed") * times < wanted)).alias("falls_short"),
         )

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import mixture as M
 from paperloom.llm.tokens import count_tokens
+from paperloom.session import load
 
 DOC, TARGET = "doc_id long, text string, source string, key string, tokens int", "source string, target_share double, max_repeats int, key string"
 
@@ -69,6 +70,28 @@ def test_short_sources_come_from_the_mix(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") >= 2 and "collect_list" in plan
     assert [tuple(r) for r in found.collect()] == [("b", 1)]
-    blocks = M.Mixture.blocks
+    blocks, slots = M.Mixture.blocks, M.Mixture.slots
     monkeypatch.setattr(M.Mixture, "blocks", lambda self: blocks(self).where("key != 'a' or block_no % 8 = 0"))
     assert sorted(tuple(r) for r in short().collect()) == [("a", 2), ("b", 1)]
+    monkeypatch.setattr(M.Mixture, "blocks", blocks)
+    monkeypatch.setattr(M.Mixture, "slots", lambda self: slots(self).where("key != 'b'"))  # what the draw never reaches is no candidate
+    assert short().count() == 0
+
+
+def test_contents_and_tokens(spark, data):
+    """The mix uses every token of a source once before any twice; tokens, capacity and wanted tokens against a plain count."""
+    docs, targets = load(spark, data, "documents"), load(spark, data, "mix_targets")
+    m = M.Mixture(docs, targets)
+    rows, tokens = docs.collect(), {}
+    for r in rows:
+        key = r["source"].strip().lower() if r["source"] else None
+        tokens[key] = tokens.get(key, 0) + count_tokens(r["text"])
+    total = sum(tokens.values())
+    for r in m.report().collect():
+        n = tokens.get(r["source"].strip().lower(), 0)
+        assert r["tokens"] == n and r["capacity"] == n * r["max_repeats"] and abs(r["wanted"] - r["target_share"] * total) < 1e-6
+        assert r["falls_short"] == (r["capacity"] < r["wanted"])
+    used = m.contents().withColumn("n", F.col("to_token") - F.col("from_token"))
+    held = {r["key"]: r["n"] for r in used.groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    assert held == {r["source"].strip().lower(): r["mixed_tokens"] for r in m.report().where("mixed_tokens > 0").collect()}
+    assert used.groupBy("key", "epoch", "doc_id", "from_token").count().where("count > 1").count() == 0
