@@ -1,4 +1,4 @@
-"""Queries of the general training-data problems: orphans, timestamps, copies."""
+"""Queries of the general training-data problems: orphans and timestamps."""
 
 from __future__ import annotations
 
@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.instants import normalised
-from paperloom.operators.copies import collapse_copies, copy_links
 from paperloom.operators.orphans import orphan_report, orphan_rows
 from paperloom.session import load
 
-COPY_KEYS = ["header_id", "txn_date", "value_date", "debit", "credit", "balance"]
-
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     refs = {
@@ -54,21 +51,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of bookings, each with the smallest id of its set."""
-    return copy_links(load(spark, d, "transaction_details"), "detail_id", COPY_KEYS, "description", "ref_no")
-
-
-def p5_bookings(spark: SparkSession, d: str) -> DataFrame:
-    """One row per booking with its number of copies."""
-    details = load(spark, d, "transaction_details")
-    links = copy_links(details, "detail_id", COPY_KEYS, "description", "ref_no")
-    return collapse_copies(details.select("detail_id", *COPY_KEYS, "description", "ref_no"), links, "detail_id").select(
-        "detail_id", "header_id", "description", "ref_no", "n_copies"
-    )
-
-
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_bookings": p5_bookings}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_report": p4_report}
 
 _ORPHAN_SQL = """
     WITH refs AS (
@@ -87,17 +70,6 @@ _ORPHAN_SQL = """
         WHERE r.header_id IS NOT NULL
     )
 """
-_COPY_SQL = r"""
-    WITH canon AS (
-        SELECT detail_id, header_id, txn_date, value_date, debit, credit, balance, description, ref_no,
-            list_sort(string_split(lower(regexp_replace(description, '[^\pL\pN]', '', 'g')), '')) AS bag,
-            lower(regexp_replace(ref_no, '[^\pL\pN]', '', 'g')) AS ref
-        FROM transaction_details
-    ), sets AS (
-        SELECT *, min(detail_id) OVER w AS first_id, count(*) OVER w AS n_copies FROM canon
-        WINDOW w AS (PARTITION BY header_id, txn_date, value_date, debit, credit, balance, bag, ref)
-    )
-"""
 _MONTH_NAMES = (
     ("januari|january", "Jan"), ("februari|pebruari|february", "Feb"), ("maret|march|mar", "Mar"), ("april", "Apr"), ("mei|may", "May"), ("juni|june", "Jun"), ("juli|july", "Jul"),
     ("agustus|august|agt|ags|agu", "Aug"), ("september|sept", "Sep"), ("oktober|october|okt", "Oct"), ("nopember|november|nop", "Nov"), ("desember|december|des", "Dec"),
@@ -147,6 +119,4 @@ ORACLE = {
     "p4_found": _DATE_SQL + "SELECT DISTINCT tab, rec_id, field, norm_value FROM normal WHERE norm_value IS NOT NULL AND norm_value <> v",
     "p2_found": _ORPHAN_SQL + "SELECT tab, ingest_month, rec_id FROM found WHERE reason IS NOT NULL",
     "p2_report": _ORPHAN_SQL + "SELECT tab, ingest_month, reason, count(*) AS n_rows, count(DISTINCT header_id) AS n_keys FROM found WHERE reason IS NOT NULL GROUP BY ALL",
-    "p5_found": _COPY_SQL + "SELECT first_id, detail_id AS copy_id FROM sets WHERE detail_id > first_id",
-    "p5_bookings": _COPY_SQL + "SELECT detail_id, header_id, description, ref_no, n_copies FROM sets WHERE detail_id = first_id",
 }

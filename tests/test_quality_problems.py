@@ -1,14 +1,12 @@
-"""Orphans, timestamps and copies: brute force, hot keys, nulls, empty tables, clashing columns."""
+"""Orphans and timestamps: brute force, hot keys, nulls, empty tables, clashing columns."""
 
 import random
-import re
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
 from paperloom.functions.instants import civil_from_days, days_from_civil, with_norm
-from paperloom.operators import copies as K
 from paperloom.operators.orphans import orphan_report, orphan_rows
 from paperloom.operators.skew import prefix_sum, salted_join
 
@@ -117,59 +115,6 @@ def test_instants_edges(spark):
     assert with_norm(extra, "v", None).first().asDict() == {"v": "2024-1-2", "_p": "a", "_y": 1, "norm": 2, "norm_value": "2024-01-02"}
 
 
-def brute_copies(rows, keys):
-    first, out = {}, set()
-    squeeze = lambda s: None if s is None else "".join(c for c in s.lower() if c.isalnum())
-    parts = lambda s: None if s is None else tuple(sorted(squeeze(p) for p in re.split(r"[/|:;,·]| - ", s) if squeeze(p)))
-    for r in sorted(rows, key=lambda r: r["id"]):
-        k = (*(r[c] for c in keys), parts(r["d"]), squeeze(r["ref"]))
-        if k in first:
-            out.add((first[k], r["id"]))
-        else:
-            first[k] = r["id"]
-    return out
-
-
-def test_copies_against_brute_force(spark):
-    rng = random.Random(7)
-    base = [["Sewa gedung", "PT Maju", "No A-12"], ["gedung Sewa", "Maju PT", "No A-12"], ["Gaji", "UD X"], ["Gaji", "UD Y"], ["Gaji", "UD X", "koreksi"]]
-    rows = []
-    for i in range(1, 700):
-        p = list(rng.choice(base if rng.random() < 0.5 else base[:1]))
-        if rng.random() < 0.4:
-            rng.shuffle(p)
-        s = rng.choice([" / ", " | ", " : ", ", ", "; ", " · ", " // ", " - "]).join(f"({x})" if rng.random() < 0.1 else x for x in p)
-        s = rng.choice([s, s.upper(), s.replace(" ", "  "), s + ".", s.replace("PT", "P.T."), s.swapcase()])
-        rows.append({"id": i, "h": rng.choice([1, 1, 1, 2, None]), "amt": rng.choice([1.0, None]), "d": s if rng.random() > 0.03 else None, "ref": rng.choice(["FT-1-2", "ft 1 2", "#FT/1/2", None, "FT-2-1"])})
-    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, h int, amt double, d string, ref string")
-    want = brute_copies(rows, ["h", "amt"])
-    for per_task in (20, 10**6):
-        got = {(r["first_id"], r["copy_id"]) for r in K.copy_links(df, "id", ["h", "amt"], "d", "ref", per_task=per_task).collect()}
-        assert got == want
-    kept = K.collapse_copies(df.withColumn("first_id", F.lit(0)), K.copy_links(df, "id", ["h", "amt"], "d", "ref"), "id")
-    assert kept.count() == len(rows) - len(want) and kept.agg(F.sum("n_copies")).first()[0] == len(rows)
-
-
-def test_copies_edges(spark):
-    schema = "id long, h int, d string, ref string, k1 long, first_id long"
-    assert K.copy_links(spark.createDataFrame([], schema), "id", ["h"], "d", "ref").count() == 0
-    long = "kata / " * 20_000
-    rows = [(1, None, None, None, 0, 0), (2, None, None, None, 0, 0), (3, None, "", None, 0, 0), (4, None, " . ", None, 0, 0), (5, 1, long, "a", 0, 0), (6, 1, long.upper(), "A", 0, 0), (None, 1, "x", "y", 0, 0)]
-    got = {(r["first_id"], r["copy_id"]) for r in K.copy_links(spark.createDataFrame(rows, schema), "id", ["h"], "d", "ref").collect()}
-    assert got == {(1, 2), (3, 4), (5, 6)}
-
-
-def test_hash_collisions_are_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(K, "_keys", lambda exact: (F.lit(1).cast("long"), F.lit(2).cast("long")))
-    df = spark.createDataFrame([(1, "a b", "r"), (2, "A/B", "r"), (3, "c", "r"), (4, "C.", "R"), (5, "d", None)], "id long, d string, ref string")
-    assert {(r["first_id"], r["copy_id"]) for r in K.copy_links(df, "id", [], "d", "ref").collect()} == {(1, 2), (3, 4)}
-
-
-def test_segments():
-    assert K.same_segments("a / b / c", "c b a") and K.same_segments("b a", "a, b") and not K.same_segments("ab / c", "a b d")
-    assert not K.same_segments(None, "") and K.same_segments(None, None) and K.same_written("No B–4405", "no b-4405")
-
-
 def test_ranges_of_an_order(spark):
     from pyspark.sql.window import Window
 
