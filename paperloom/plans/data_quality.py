@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.instants import normalised
-from paperloom.operators.orphans import orphan_report, orphan_rows
+from paperloom.operators.orphans import existence_deltas, fold_deltas, instant, orphan_report, orphan_rows, orphans_of, reference_deltas
 from paperloom.session import load
 
 
@@ -28,6 +28,23 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
+def p2_state(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys after two batches of changes folded one into the other: what happened before a moment, and after it."""
+    moment = F.lit("2024-07-01T00:00:00Z").cast("timestamp")
+    details, signatories = load(spark, d, "transaction_details"), load(spark, d, "document_signatories")
+    rows = details.select("header_id", "_ingested_at").unionByName(signatories.select("header_id", "_ingested_at")).select(F.col("header_id").alias("key"), instant(F.col("_ingested_at")).alias("at"))
+    headers, deletions = load(spark, d, "document_headers"), load(spark, d, "header_deletions")
+    early = lambda c: F.coalesce(c < moment, F.lit(False))
+    made, undone = early(instant(F.col("created_at"))), F.when(early(F.col("restored_at")), F.col("restored_at"))
+    first = fold_deltas(
+        reference_deltas(rows.where(early(F.col("at")))),
+        existence_deltas(headers.where(made), deletions.where(early(F.col("deleted_at"))).withColumn("restored_at", undone)),
+    )
+    changed = deletions.where(~early(F.col("deleted_at")) | ~early(F.coalesce("restored_at", F.col("deleted_at"))))
+    later = existence_deltas(headers.where(~made), changed)
+    return orphans_of(fold_deltas(first, reference_deltas(rows.where(~early(F.col("at")))), later))
+
+
 def _normal_dates(spark: SparkSession, d: str) -> DataFrame:
     details = normalised(load(spark, d, "transaction_details"), "transaction_details", "detail_id", ["txn_date", "value_date"], "zona")
     headers = normalised(load(spark, d, "document_headers"), "document_headers", "header_id", ["doc_date"])
@@ -51,7 +68,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_state": p2_state, "p4_found": p4_found, "p4_report": p4_report}
 
 _ORPHAN_SQL = """
     WITH refs AS (
@@ -62,7 +79,7 @@ _ORPHAN_SQL = """
         SELECT header_id, min(CAST(created_at AS TIMESTAMPTZ)) AS created FROM document_headers GROUP BY header_id
     ), dead AS (
         SELECT header_id FROM header_deletions GROUP BY header_id
-        HAVING bool_or(restored_at IS NULL AND deleted_at = (SELECT max(x.deleted_at) FROM header_deletions x WHERE x.header_id = header_deletions.header_id))
+        HAVING arg_max(restored_at IS NULL, deleted_at)
     ), found AS (
         SELECT r.tab, strftime(r.at AT TIME ZONE 'UTC', '%Y-%m') AS ingest_month, r.rec_id, r.header_id,
             CASE WHEN b.header_id IS NULL THEN 'missing' WHEN d.header_id IS NOT NULL THEN 'deleted' WHEN b.created > r.at THEN 'later' END AS reason
@@ -118,5 +135,8 @@ _DATE_SQL = rf"""
 ORACLE = {
     "p4_found": _DATE_SQL + "SELECT DISTINCT tab, rec_id, field, norm_value FROM normal WHERE norm_value IS NOT NULL AND norm_value <> v",
     "p2_found": _ORPHAN_SQL + "SELECT tab, ingest_month, rec_id FROM found WHERE reason IS NOT NULL",
+    "p2_state": _ORPHAN_SQL + """, per_key AS (SELECT header_id, count(*) AS n_rows FROM refs WHERE header_id IS NOT NULL GROUP BY header_id)
+        SELECT p.header_id AS key, p.n_rows, CASE WHEN b.header_id IS NULL THEN 'missing' ELSE 'deleted' END AS reason
+        FROM per_key p LEFT JOIN born b USING (header_id) LEFT JOIN dead d USING (header_id) WHERE b.header_id IS NULL OR d.header_id IS NOT NULL""",
     "p2_report": _ORPHAN_SQL + "SELECT tab, ingest_month, reason, count(*) AS n_rows, count(DISTINCT header_id) AS n_keys FROM found WHERE reason IS NOT NULL GROUP BY ALL",
 }

@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import functions as F
 
 from paperloom.functions.instants import civil_from_days, days_from_civil, with_norm
-from paperloom.operators.orphans import orphan_report, orphan_rows
+from paperloom.operators.orphans import existence_deltas, fold_deltas, instant, orphan_report, orphan_rows, orphans_of, reference_deltas
 from paperloom.operators.skew import prefix_sum, salted_join
 
 HEADER = "header_id long, created_at string, key string, n_rows int"
@@ -37,6 +37,40 @@ def test_orphans(spark):
     assert report.agg(F.sum("n_rows")).first()[0] == 5
 
 
+def batch(spark, refs, headers, deletions):
+    rows = spark.createDataFrame(refs, "key long, t string").select("key", instant(F.col("t")).alias("at"))
+    return reference_deltas(rows), existence_deltas(spark.createDataFrame([(h, "2024-01-01T00:00:00Z", None, 1) for h in headers], HEADER), spark.createDataFrame(deletions, DELETION))
+
+
+def test_batches_fold_like_one(spark):
+    t = lambda d: datetime(2024, 1, d)
+    refs = lambda *ks: [(k, "2024-01-02T00:00:00Z") for k in ks]
+    one = ([*refs(1, 2, 3, None)], [1, 2], [(2, t(2), None, None)])
+    # Header 1 is delivered again and deleted, header 2 restored, header 3 delivered at last, 4 only referenced.
+    two = ([*refs(1, 4)], [1, 3], [(1, t(3), None, None), (2, t(2), t(4), None)])
+    first = fold_deltas(*batch(spark, *one))
+    assert {(r["key"], r["existence"], r["transition"]) for r in first.collect()} == {(1, 1, 1), (2, 0, 0), (3, 0, 0)}
+    second = fold_deltas(first, *batch(spark, *two))
+    assert {(r["key"], r["existence"], r["transition"]) for r in second.collect()} == {(1, 0, -1), (2, 1, 1), (3, 1, 1), (4, 0, 0)}
+    assert {tuple(r) for r in orphans_of(second).collect()} == {(1, 2, "deleted"), (4, 1, "missing")}
+    again = fold_deltas(second, *batch(spark, [], [1, 2, 3], two[2]))  # nothing new
+    assert again.where("transition != 0").count() == 0
+
+
+def test_any_batches_fold_like_one(spark):
+    rng = random.Random(12)
+    refs = [(rng.randint(1, 20), "2024-01-02T00:00:00Z") for _ in range(60)]
+    headers = [rng.randint(1, 20) for _ in range(20)]
+    deletions = [(rng.randint(1, 20), datetime(2024, 1, rng.randint(1, 9)), rng.choice([None, datetime(2024, 2, 1)]), None) for _ in range(30)]
+    whole = fold_deltas(*batch(spark, refs, headers, deletions))
+    state = None
+    for k in range(4):
+        part = batch(spark, refs[k::4], headers[k::4], deletions[k::4])
+        state = fold_deltas(*([state] if state is not None else []), *part)
+    columns = [c for c in whole.columns if c != "transition"]
+    assert sorted(map(str, state.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+
+
 def test_salted_join_is_a_join(spark):
     rng = random.Random(1)
     rows = [(i, 0 if rng.random() < 0.5 else rng.randint(1, 30)) for i in range(2000)] + [(5000, None)]
