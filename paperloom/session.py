@@ -53,6 +53,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a query wrote for itself into the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder; it survives the loss of executors."""
     shared_folder(df.sparkSession)
