@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from paperloom.llm.copies import collapse_copies, copy_links
 from paperloom.llm.leakage import leaks
 from paperloom.llm.leakage import report as leak_report
 from paperloom.llm.mixture import Mixture
-from paperloom.llm.pieces import DEFAULT_SIZE, split_items
+from paperloom.llm.pieces import DEFAULT_OVERLAP, DEFAULT_SIZE, split_files, split_items
 from paperloom.llm.scans import decoded, repaired
 from paperloom.llm.subjects import assigned, subjects_of, train
 from paperloom.operators.skew import salted_join
-from paperloom.session import cut, load
+from paperloom.session import cut, drop_folder, load, shared_folder
 
 
+FILE_PIECE, FILE_OVERLAP, FILE_RANGE = 2000, 100, 1 << 20
 COPY_KEYS = ["header_id", "txn_date", "value_date", "debit", "credit", "balance"]
 
 
@@ -56,6 +59,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True).where("n_pieces > 1")
 
 
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each source written as text files, cut by byte ranges: characters covered, and whether pieces keep the limits and join up."""
+    folder = f"{shared_folder(spark)}/paperloom-files-{uuid.uuid4().hex}"
+    key = F.coalesce(F.lower(F.trim("source")), F.lit("none"))
+    load(spark, d, "documents").select(key.alias("source"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(folder)
+    try:
+        pieces = split_files(spark, folder, FILE_PIECE, FILE_OVERLAP, "*.txt", FILE_RANGE)
+        source, length = F.regexp_extract("path", "source=([^/]*)", 1), F.col("end_char") - F.col("start_char")
+        fresh = length - F.when(F.col("piece_no") > 1, FILE_OVERLAP).otherwise(0)
+        held = (length == F.length("piece")) & (length <= FILE_PIECE) & (F.col("piece_no") <= F.col("n_pieces"))
+        return cut(pieces.groupBy(source.alias("source")).agg(F.sum(fresh).alias("n_chars"), F.min(held.cast("int")).alias("kept")))
+    finally:
+        drop_folder(spark, folder)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Copies of bookings, each with the smallest id of its set."""
     return copy_links(load(spark, d, "transaction_details"), "detail_id", COPY_KEYS, "description", "ref_no")
@@ -118,7 +136,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_text": p1_text,
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_bookings": p5_bookings, "p6_found": p6_found, "p6_items": p6_items, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p5_found": p5_found, "p5_bookings": p5_bookings, "p6_found": p6_found, "p6_items": p6_items, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix,
     "p8_found": p8_found, "p8_composition": p8_composition,
 }
 
@@ -140,7 +158,29 @@ _COPY_SQL = r"""
         WINDOW w AS (PARTITION BY header_id, txn_date, value_date, debit, credit, balance, words, ref)
     )
 """
+_SPACE = r"\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}"
+_LAST_BOUNDARY = ", ".join(
+    f"length(regexp_extract(w, '(?s)^(.*{kind})', 1))"
+    for kind in (rf"\n[ \t\r]*\n[{_SPACE}]*)([^{_SPACE}]", "\\n)(.", rf"[.!?…。][)\]\x22''”’]*[{_SPACE}]+)([^{_SPACE}]", rf"[,;:][{_SPACE}]+)([^{_SPACE}]", rf"[{_SPACE}])([^{_SPACE}]")
+)
+# Piece after piece of every item: the last boundary of the strongest kind in the second half of what fits, then of any, then before what belongs to no earlier character.
+_PIECE_SQL = rf"""
+    WITH RECURSIVE sized AS (
+        SELECT DISTINCT i.preview_id, i.chunk_id, i.content AS c, greatest(coalesce(p.chunk_size, {DEFAULT_SIZE}), 1) AS size, least(greatest(coalesce(p.chunk_overlap, {DEFAULT_OVERLAP}), 0), size - 1) AS lap
+        FROM chunk_items i LEFT JOIN chunking_previews p USING (preview_id) WHERE length(i.content) > greatest(coalesce(p.chunk_size, {DEFAULT_SIZE}), 1)
+    ), walk AS (
+        SELECT *, CAST(0 AS BIGINT) AS no, CAST(NULL AS BIGINT) AS s, CAST(lap AS BIGINT) AS e FROM sized
+        UNION ALL
+        SELECT preview_id, chunk_id, c, size, lap, no + 1, s2, CASE WHEN length(c) - s2 <= size THEN length(c) ELSE s2 + coalesce(
+            list_filter(ends, lambda x: x >= greatest(lap + 1, size // 2))[1], list_filter(ends, lambda x: x >= lap + 1)[1], CASE WHEN hard >= lap + 1 THEN hard END, size) END
+        FROM (SELECT *, [{_LAST_BOUNDARY}] AS ends, length(regexp_extract(w, '(?s)^(.*)[^\p{{Mn}}\x{{200d}}\x{{fe0e}}\x{{fe0f}}\x{{20e3}}\x{{1f3fb}}-\x{{1f3ff}}]', 1)) AS hard
+            FROM (SELECT *, e - lap AS s2, substring(c, e - lap + 1, size + 1) AS w FROM walk WHERE no = 0 OR e < length(c)))
+    )
+    SELECT preview_id, chunk_id, no AS piece_no, max(no) OVER (PARTITION BY preview_id, chunk_id) AS n_pieces, s AS start_char, e AS end_char, substring(c, s + 1, e - s) AS piece FROM walk WHERE no > 0
+"""
 ORACLE = {
+    "p3_pieces": _PIECE_SQL,
+    "p3_files": "SELECT coalesce(lower(trim(source)), 'none') AS source, sum(length(coalesce(text, '')) + 1) AS n_chars, 1 AS kept FROM documents GROUP BY 1",
     "p5_found": _COPY_SQL + "SELECT first_id, detail_id AS copy_id FROM sets WHERE detail_id > first_id",
     "p5_bookings": _COPY_SQL + "SELECT detail_id, header_id, description, ref_no, n_copies FROM sets WHERE detail_id = first_id",
     "p6_found": _LEAK_SQL + "SELECT doc_id, item_id FROM found",

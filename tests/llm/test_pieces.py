@@ -45,22 +45,46 @@ def test_round_trip(spark):
 
 def test_ranges_of_a_giant(spark):
     rng = random.Random(4)
-    text = "".join(rng.choice(["kata ", "kalimat. ", "\n\n", "x", "é"]) for _ in range(30_000))
-    rows = [(1, 1, text, 300, 40), (2, 1, "z" * 40_000, 300, 40), (3, 7, "short", 300, 40)]
-    out = cut_items(spark, rows, range_chars=5_000).collect()
-    ends = {(r["preview_id"], r["chunk_id"]): 0 for r in out}
-    for r in out:
-        ends[r["preview_id"], r["chunk_id"]] = max(ends[r["preview_id"], r["chunk_id"]], r["end_char"])
-    assert ends == {(1, 1): len(text), (2, 1): 40_000, (3, 7): 5}
+    text = "".join(rng.choice(["kata ", "kalimat. ", "\n\n", "x", "é", "👍"]) for _ in range(30_000))
+    rows = [(1, 1, text, 300, 40), (2, 1, "z" * 40_000, 300, 40), (3, 7, "short", 300, 40), (None, 2, text[:9000], 200, 30), (4, 1, "z" * 9_000 + text[:9_000], 250, 249), (5, 1, "a b" * 3000, 1, 0)]
+    out = cut_items(spark, rows + rows[:2], range_bytes=5_000).collect()
     check(rows, out)
+    # The pieces are those of the whole read at once.
+    pieces = {}
+    for r in out:
+        pieces.setdefault((r["preview_id"], r["chunk_id"]), []).append((r["start_char"], r["end_char"]))
+    for i, k, content, size, overlap in rows:
+        assert sorted(pieces[i, k]) == P.cut_positions(content, size, overlap)
+
+
+def test_ranges_are_spread(spark, monkeypatch):
+    """A giant's ranges lie in several tasks, each with no more than its range and halos."""
+    text = "kata lain. " * 60_000
+    df = spark.createDataFrame([(1, 1, text, 300, 40, "x", "y")], SCHEMA)
+    slim = df.select(F.col("preview_id").alias("k"), F.col("content").alias("_c"), F.col("chunk_size").alias("_size"), F.col("chunk_overlap").alias("_overlap"), F.octet_length("content").alias("_n"), F.lit(20_000).cast("long").alias("_step"))
+    ranges = P._item_ranges(slim, ["k"])
+    assert ranges.count() == 33 and ranges.select(F.spark_partition_id()).distinct().count() >= 4
+    assert ranges.agg(F.max(F.length("_data"))).first()[0] <= 20_000 + sum(P._halos(300))
+
+
+def test_table_follows_every_entry():
+    rng = random.Random(9)
+    for glue in (" ", "", ". "):
+        text = "".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) + glue for _ in range(400))
+        data = text.encode()
+        r = P.Range(data[:1500], 0, 0, 1000, len(data), 40, 7)
+        for entry in range(40):
+            t = [x for x in r.table() if x[0] <= entry][-1]
+            chain = r.chain(entry)
+            assert t[2] == len(chain) and t[1] + t[3] * (entry - t[0]) == chain[-1][1] - 7 - r.n_chars
 
 
 def test_natural_boundaries():
     text = "Satu dua. " * 12 + "\n\n" + "Tiga empat. " * 12
-    first = P.cut_positions(text, 0, len(text), 150, 0)[0]
+    first = P.cut_positions(text, 150, 0)[0]
     assert text[first[0] : first[1]].endswith("\n\n")
-    marks = "e" + "́" * 300
-    assert P.cut_positions(marks, 0, len(marks), 10, 0)[-1][1] == len(marks)
+    marks = "e" + "\u0301" * 300
+    assert P.cut_positions(marks, 10, 0)[-1][1] == len(marks)
 
 
 def test_empty(spark):
@@ -80,6 +104,7 @@ def test_files(spark, tmp_path):
         assert r["piece"] == text[r["start_char"] : r["end_char"]] and len(r["piece"]) <= 500
     for p, q in zip(a, a[1:]):
         assert q["start_char"] == p["end_char"] - 30 and q["piece_no"] == p["piece_no"] + 1
+    assert [(r["start_char"], r["end_char"]) for r in a] == P.cut_positions(text, 500, 30)
     assert [r["piece"] for r in out if r["path"].endswith("b.txt")] == ["pendek"]
     assert P.file_ranges(spark, tmp_path.as_uri(), "*.txt").select("path").distinct().count() == 2
 
