@@ -1,21 +1,22 @@
 """Subject areas of documents.
 
 Words get averaged embeddings of the word and its subwords (character n-grams), both hashed; a
-sentence is the mean of its known words, and each subject has an independent logistic output.
-Known are words that at least MIN_DOCS documents of the fitting sample have, so that names seen
-once or twice carry no subject; headings are no sentences. Training
-is synchronous: every partition computes the gradient of its labelled sentences, the gradients
-are summed by feature, the driver takes one Adam step on a model of fixed size. In the second
-half of the rounds a labelled document's sentences are relabelled by the model itself, which
-frees them from labels that are wrong, missing, or true of another part of the document. Where
-fewer than MAX_FIT documents have labels, unlabelled ones join the sample in that half; of their
-sentences only those that the model is sure about count.
-
-Every sentence of every document is then scored; a subject is assigned where at least
-``MIN_SENTENCES`` sentences treat it. Null and empty texts have no sentences and no subject.
-Labels are read without case and outer blanks; null labels, labels of unknown documents and of
-unknown subjects are left out. A repeated label counts once. Without any usable label no
-document gets a subject. Long texts are read whole.
+sentence is the mean of its words, and each subject has an independent logistic output. Words that
+at least MIN_DOCS documents of the fitting sample have are its vocabulary. Any other word, in the
+sample or not, is scored by those of its subwords that the vocabulary has, and counts for as much
+as their share of its subwords: an inflected form almost wholly, a name that shares nothing not at
+all. Headings are no sentences. Training is synchronous: every partition computes the gradient of
+its labelled sentences, the gradients are summed by word, the driver takes one Adam step on a
+model of fixed size. In the second half of the rounds a labelled document's sentences are relabelled
+by the model itself, which frees them from labels that are wrong, missing, or true of another part
+of the document; of the sample's unlabelled documents those sentences count that it is sure about.
+
+The sample has at most MAX_LABELLED documents with labels and at most MAX_UNLABELLED without,
+chosen alike at every size. Every sentence of every document is then scored; a subject is
+assigned where at least ``MIN_SENTENCES`` sentences treat it. Null and empty texts have no
+sentences and no subject. Labels are read without case and outer blanks; null labels, labels of
+unknown documents and of unknown subjects are left out. A repeated label counts once. Without any
+usable label no document gets a subject. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ from pyspark.sql import functions as F
 from paperloom.session import cut
 
 MIN_SENTENCES = 3
-#: Documents used for fitting at most: labelled ones first, each group in the order of a hash of the ids.
-MAX_FIT = 6_000
-#: Words that fewer documents of the sample have are unknown words.
+#: Documents with and without labels used for fitting at most, in the order of a hash of the ids.
+MAX_LABELLED, MAX_UNLABELLED = 4_500, 1_500
+#: Tasks that share the sample, which is bounded.
+MAX_TASKS = 16
+#: Words that fewer documents of the sample have are not in the vocabulary.
 MIN_DOCS = 3
 BUCKETS, DIM, SUBWORD = 1 << 14, 16, 5
 ROUNDS, RATE, SEED = 24, 0.15, 5
+#: The least weight of a sentence's words together that counts as having words.
+LEAST_WEIGHT = 0.5
 #: A sentence treats a subject if its output is at least this.
 THRESHOLD = 0.5
 
@@ -46,18 +51,17 @@ _CUT = re.compile(r"([^\W_])[-­‐‑¬][ \t]*\r?\n[ \t]*([^\W_])")
 _BREAK = re.compile(r"\n[ \t]*\n|\n(?=[ \t]*(?:[-*+•#|>]|\(?\d{1,3}[.)]|\[|[A-Z][^\n:]{0,40}:))|(?<=[.!?…;])[\"')\]”’*_]*\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.M)
-_NAME = re.compile(r"\([A-Z][a-z]+\)")
 
 
 def sentences_of(text: str | None) -> list[list[str]]:
-    """The words of each sentence of a text; numbers and names in brackets are left out."""
+    """The words of each sentence of a text; numbers are left out."""
     if not text:
         return []
     if "<" in text:
         text = _NOISE.sub(" ", text)
     if "\n" in text:
         text = _CUT.sub(r"\1\2", text)
-    text = _NAME.sub(" ", _HEADING.sub("\n\n", text))
+    text = _HEADING.sub("\n\n", text)
     out = []
     for part in _BREAK.split(text):
         words = _WORD.findall(part.lower())
@@ -66,11 +70,19 @@ def sentences_of(text: str | None) -> list[list[str]]:
     return out
 
 
+def grams_of(word: str) -> list[str]:
+    """A word and its subwords."""
+    marked = f"<{word}>"
+    return sorted({marked} | {marked[i : i + SUBWORD] for i in range(len(marked) - SUBWORD + 1)})
+
+
+def _bucket(gram: str) -> int:
+    return crc32(gram.encode("utf-8", "replace")) % BUCKETS
+
+
 def features_of(word: str) -> list[int]:
     """The hashed word and its hashed subwords."""
-    marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + SUBWORD] for i in range(len(marked) - SUBWORD + 1)}
-    return sorted({crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
+    return sorted({_bucket(g) for g in grams_of(word)})
 
 
 def _word_table(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,25 +106,66 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Scorer(dict):
+    """Word to its row of a table of outputs and weights; words outside the vocabulary are added as they are met.
+
+    The table is emptied to the vocabulary when it holds LIMIT words, which changes time but no result.
+    """
+
+    LIMIT = 500_000
+
+    def __init__(self, model: dict):
+        self.model, vocabulary = model, list(model["words"])
+        flat, starts, counts = _word_table(vocabulary)
+        rows = (np.add.reduceat(model["emb"][flat], starts, axis=0) / counts[:, None]) @ model["out"]
+        self.known = {g for w in vocabulary for g in grams_of(w)}
+        self.base, self.n_known = rows, len(vocabulary)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.update(self.model["words"])
+        self.outputs, self.weights = list(self.base), [1.0] * self.n_known
+
+    def __missing__(self, word: str) -> int:
+        grams = grams_of(word)
+        shared = [_bucket(g) for g in grams if g in self.known]
+        at = len(self.outputs)
+        self.outputs.append((self.model["emb"][shared].mean(axis=0) if shared else np.zeros(DIM, np.float32)) @ self.model["out"])
+        self.weights.append(len(shared) / len(grams))
+        self[word] = at
+        return at
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The document number and the subject outputs of every sentence of the texts that has a word with some weight."""
+        if len(self.outputs) > self.LIMIT:
+            self._reset()
+        words, sizes, docs = [], [], []
+        for d, text in enumerate(texts):
+            for sentence in sentences_of(text):
+                words += sentence
+                sizes.append(len(sentence))
+                docs.append(d)
+        if not sizes:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.model["bias"])))
+        distinct = {w: self[w] for w in set(words)}
+        used = np.unique(np.fromiter(distinct.values(), np.int64, len(distinct)))
+        place = {w: k for w, k in zip(distinct, np.searchsorted(used, np.fromiter(distinct.values(), np.int64, len(distinct))).tolist())}
+        table = np.array([self.outputs[k] for k in used.tolist()])
+        weight = np.array([self.weights[k] for k in used.tolist()])
+        ids = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        begin = np.r_[0, np.cumsum(sizes)[:-1]]
+        total = np.add.reduceat(weight[ids], begin)
+        logits = np.add.reduceat((table * weight[:, None])[ids], begin, axis=0) / np.maximum(total, 1e-9)[:, None] + self.model["bias"]
+        some = total >= LEAST_WEIGHT
+        return np.array(docs)[some], _sigmoid(logits[some])
+
+
 def sentence_scores(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The document number and the subject outputs of every sentence of the texts that has a known word."""
-    get = model["words"].get
-    ids, sizes, docs = [], [], []
-    for d, text in enumerate(texts):
-        for words in sentences_of(text):
-            known = [i for i in map(get, words) if i is not None]
-            if known:
-                ids.extend(known)
-                sizes.append(len(known))
-                docs.append(d)
-    if not sizes:
-        return np.zeros(0, np.int64), np.zeros((0, len(model["bias"])))
-    if "per_word" not in model:
-        flat, starts, counts = _word_table(list(model["words"]))
-        model["per_word"] = (np.add.reduceat(model["emb"][flat], starts, axis=0) / counts[:, None]) @ model["out"]
-    begin = np.r_[0, np.cumsum(sizes)[:-1]]
-    logits = np.add.reduceat(model["per_word"][np.array(ids)], begin, axis=0) / np.array(sizes)[:, None] + model["bias"]
-    return np.array(docs), _sigmoid(logits)
+    if "scorer" not in model:
+        model["scorer"] = Scorer(model)
+    return model["scorer"].scores(texts)
 
 
 def _targets(p: np.ndarray, y: np.ndarray, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +177,7 @@ def _targets(p: np.ndarray, y: np.ndarray, labelled: np.ndarray) -> tuple[np.nda
 
 
 def _gradient(shared, own_labels: bool, n_subjects: int):
-    """Sums of gradients per feature row, and of the outputs, for one partition's sentences."""
+    """Sums of gradients per word, and of the outputs, for one partition's sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -152,29 +205,29 @@ def _gradient(shared, own_labels: bool, n_subjects: int):
             order = np.argsort(words, kind="stable")
             runs = np.nonzero(np.r_[True, np.diff(words[order]) > 0])[0]
             per_word[words[order][runs]] += np.add.reduceat(np.repeat(back, sizes, axis=0)[order], runs, axis=0)
-        g_emb = np.zeros((BUCKETS, DIM))
-        np.add.at(g_emb, flat, np.repeat(per_word / counts[:, None], counts, axis=0))
-        rows = np.nonzero(np.any(g_emb, axis=1))[0]
+        rows = np.nonzero(np.any(per_word, axis=1))[0]
         width = max(DIM, n_subjects)
         table = np.zeros((len(rows) + DIM + 2, width))
-        table[: len(rows), :DIM] = g_emb[rows]
+        table[: len(rows), :DIM] = per_word[rows]
         rest = table[len(rows) :]
         rest[:DIM, :n_subjects], rest[DIM, :n_subjects], rest[DIM + 1, 0] = g_out, g_bias, n
-        keys = np.r_[rows, BUCKETS + np.arange(DIM + 2)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(width)]], names=["row", *[f"g{k}" for k in range(width)]])
+        keys = np.r_[rows, len(counts) + np.arange(DIM + 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(table[:, k].astype(np.float32)) for k in range(width)]], names=["row", *[f"g{k}" for k in range(width)]])
 
     return run
 
 
-def _fitting_sample(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str, text: str, max_fit: int) -> DataFrame:
-    """words (a list per sentence) and y (null without label) of at most ``max_fit`` documents."""
+def _fitting_sample(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str, text: str, max_labelled: int, max_unlabelled: int) -> DataFrame:
+    """words (a list per sentence) and y (null without label) of a bounded number of documents with and without labels."""
     number = F.create_map(*[F.lit(x) for k, s in enumerate(subjects) for x in (s, k)])
     clean = labels.where(F.col(doc_id).isNotNull() & F.col("subject").isNotNull()).select(
         F.col(doc_id).cast("long").alias("id"), F.try_element_at(number, F.lower(F.trim("subject"))).alias("k")
     )
     known = clean.where(F.col("k").isNotNull()).groupBy("id").agg(F.collect_set("k").alias("ks"))
     ids = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"))
-    chosen = ids.join(known, "id", "left").orderBy(F.col("ks").isNull(), F.xxhash64("id")).limit(max_fit)
+    told = ids.join(known, "id", "left")
+    first = lambda part, n: part.orderBy(F.xxhash64("id"), "id").limit(n)
+    chosen = first(told.where(F.col("ks").isNotNull()), max_labelled).unionByName(first(told.where(F.col("ks").isNull()), max_unlabelled))
     hot = F.transform(F.sequence(F.lit(0), F.lit(len(subjects) - 1)), lambda k: F.array_contains("ks", k).cast("double"))
     joined = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").select("t", F.when(F.col("ks").isNotNull(), hot).alias("y"))
 
@@ -186,12 +239,12 @@ def _fitting_sample(docs: DataFrame, labels: DataFrame, subjects: list[str], doc
     return joined.mapInArrow(split, "words array<array<string>>, y array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, max_fit: int = MAX_FIT) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> dict | None:
     """Fit the model by synchronous rounds over the fitting sample; None without labels."""
     spark, n_subjects = docs.sparkSession, len(subjects)
     if not n_subjects:
         return None
-    sample = cut(_fitting_sample(docs, labels, subjects, doc_id, text, max_fit))
+    sample = cut(_fitting_sample(docs, labels, subjects, doc_id, text, max_labelled, max_unlabelled))
     common = sample.select(F.explode(F.array_distinct(F.flatten("words"))).alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS)
     words = {w: i for i, w in enumerate(sorted(r["w"] for r in common.select("w").collect()))}
     if not words:
@@ -211,8 +264,9 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str =
                         labelled.append(y is not None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.float64())), pa.array(labelled, pa.bool_())], names=["ids", "y", "labelled"])
 
-    sentences = cut(sample.repartition(6).mapInArrow(numbered, "ids array<int>, y array<double>, labelled boolean"))
+    sentences = cut(sample.repartition(max(1, min(MAX_TASKS, spark.sparkContext.defaultParallelism))).mapInArrow(numbered, "ids array<int>, y array<double>, labelled boolean"))
     model = new_model(n_subjects) | {"words": words}
+    flat, _, counts = _word_table(list(words))
     weights = ("emb", "out", "bias")
     width = max(DIM, n_subjects)
     names = [f"g{k}" for k in range(width)]
@@ -220,15 +274,17 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str =
     second = {k: np.zeros_like(model[k], dtype=np.float64) for k in weights}
     for t in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast(model)
-        parts = sentences.mapInArrow(_gradient(shared, t > rounds // 2, n_subjects), "row long, " + ", ".join(f"{n} double" for n in names))
+        parts = sentences.mapInArrow(_gradient(shared, t > rounds // 2, n_subjects), "row long, " + ", ".join(f"{n} float" for n in names))
         summed = parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
         shared.unpersist()
-        table = np.zeros((BUCKETS + DIM + 2, width))
+        table = np.zeros((len(words) + DIM + 2, width))
         table[summed["row"].to_numpy(dtype=np.int64)] = summed[names].to_numpy()
-        n = table[BUCKETS + DIM + 1, 0]
+        n = table[-1, 0]
         if not n:
             return None
-        grads = {"emb": table[:BUCKETS, :DIM] / n, "out": table[BUCKETS : BUCKETS + DIM, :n_subjects] / n, "bias": table[BUCKETS + DIM, :n_subjects] / n}
+        g_emb, g_rest = np.zeros((BUCKETS, DIM)), table[len(words) :, :n_subjects]
+        np.add.at(g_emb, flat, np.repeat(table[: len(words), :DIM] / counts[:, None], counts, axis=0))
+        grads = {"emb": g_emb / n, "out": g_rest[:DIM] / n, "bias": g_rest[DIM] / n}
         model = dict(model)
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g

@@ -9,7 +9,7 @@ DOC, LABEL = "doc_id long, text string, id string, y string", "doc_id long, subj
 def test_sentences():
     t = "# Judul panjang\nSatu dua tiga. Empat\nlima enam!\n\n- **[08:04] Nama:** Tujuh (Glumsa) delapan."
     words = S.sentences_of(t)
-    assert words[0] == ["satu", "dua", "tiga"] and words[1] == ["empat", "lima", "enam"] and words[-1][-2:] == ["tujuh", "delapan"]
+    assert words[0] == ["satu", "dua", "tiga"] and words[1] == ["empat", "lima", "enam"] and words[-1][-3:] == ["tujuh", "glumsa", "delapan"]
     assert S.sentences_of(None) == [] and S.sentences_of("") == [] and S.sentences_of("12 34") == []
 
 
@@ -38,3 +38,26 @@ def test_edges(spark):
     assert S.assigned(d, S.train(d, none, names), names).count() == 0
     empty = spark.createDataFrame([], DOC)
     assert S.assigned(empty, S.train(empty, la, names), names).count() == 0
+
+
+def test_unseen_words_are_scored_by_their_subwords(spark):
+    docs = [(i, "Bola menendang gawang lapangan. " * 3 if i % 2 else "Obat pasien klinik perawatan. " * 4, "x", "y") for i in range(40)]
+    labels = [(i, "sport" if i % 2 else "health", None) for i in range(40)]
+    model = S.train(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), ["health", "sport"])
+    _, p = S.sentence_scores(model, ["menendangnya gawangnya lapangannya"])
+    assert p[0].argmax() == 1 and p[0, 1] > 0.5
+    _, q = S.sentence_scores(model, ["perawatannya pasiennya"])
+    assert q[0].argmax() == 0 and q[0, 0] > 0.5
+    assert not len(S.sentence_scores(model, ["Zxqv Wkrj"])[0])  # nothing shared: no weight
+    few = S.Scorer(model)
+    few.LIMIT = 1
+    a, b = few.scores(["menendangnya gawang"]), few.scores(["menendangnya gawang"])
+    assert np.allclose(a[1], b[1])
+
+
+def test_the_same_rule_at_every_size(spark):
+    docs = spark.createDataFrame([(i, "Bola gol. " * 3, "x", "y") for i in range(60)], DOC)
+    labels = spark.createDataFrame([(i, "sport", None) for i in range(40)], LABEL)
+    count = lambda a, b: S._fitting_sample(docs, labels, ["sport"], "doc_id", "text", a, b).groupBy((S.F.col("y").isNull()).alias("n")).count().collect()
+    assert {(r["n"], r["count"]) for r in count(30, 10)} == {(False, 30), (True, 10)}
+    assert {(r["n"], r["count"]) for r in count(300, 100)} == {(False, 40), (True, 20)}
