@@ -3,16 +3,24 @@
 Regions are grouped by page, a bounded unit; evidence from the whole document (running titles
 on two or more pages, the distance between printed and real page numbers) and from the whole
 corpus (how often each word occurs) comes by joins on keys, so a document of any size is worked
-on by many tasks. Page furniture is marked first. What is left of a page is one character stream
-without line ends, decoded by a shortest path over its words: a word may stand as it is, be
-read through character confusions, be two words run together, go on after a wrong blank, or go on
-in the next line after a hyphen that either belongs to it or came from the cut. Paragraph
-boundaries are chosen by dynamic programming over line ends.
+on by many tasks. Page furniture is marked first. What is left of a page is one stream of
+characters in which line ends are blanks. It is decoded by a shortest path over places in that
+stream: an edge is a word from one place to another, which may
 
-A word is taken as misread if it holds characters that words do not have, or if undoing at most
-two confusions gives a word that is so much more frequent in the corpus that the rare form is
-explained by noise. Words are counted over all pages. The neighbouring page is the one with the
-next page number; across a missing page nothing is joined.
+* stand as it is, or be read through one or two character confusions, each reading an edge of its own;
+* end inside a run of characters, so that two words come out of what was run together;
+* go on after a wrong blank;
+* go on in the next line after a hyphen, which either came from the cut or belongs to the word,
+  again with every reading of both.
+
+Costs are negative logarithms of shares of the corpus and of the channel: a reading competes with
+the form as it stands, whose own occurrence is left out of its count. There are no least counts.
+Where nothing but the plain word can be meant all paths meet, so the path is sought only in the
+stretches between such places; it is the shortest over the whole page. Paragraph boundaries are
+chosen by dynamic programming over line ends.
+
+Words are counted over all pages. The neighbouring page is the one with the next page number;
+across a missing page nothing is joined.
 
 A region delivered again unchanged counts once. Where lines is null or empty, text split at
 newlines holds the lines; a region with neither has none. Blank lines end a paragraph. Rows
@@ -27,7 +35,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.skew import salted_join
@@ -43,17 +51,16 @@ CONFUSIONS = (
 )
 PAGE_WORDS = ("page", "hal", "hal.", "halaman", "hlm", "hlm.", "p.", "pg.", "p")
 OF_WORDS = ("of", "dari", "/")
-HEADING_WORDS = "pasal bab butir bagian section chapter article part ayat rp lampiran angka huruf no no. nomor".split()
+HEADING_WORDS = ("pasal", "bab", "butir", "bagian", "section", "chapter", "article", "part", "ayat", "rp", "lampiran", "angka", "huruf", "no", "no.", "nomor")
 FURNITURE_LABELS = ("header", "footer", "footnote", "paragraph_title", "unknown", "number", "page_number", "header_image", "footer_image")
 
-#: A rare form is noise if it occurs at most once, or in at most this share of the frequent word's occurrences.
-NOISE_SHARE = 0.08
-#: How many times as frequent a word must be to explain another.
-LEAST_RATIO = 2
-#: How many of the most frequent words are sent to every task: they need no answer, and two entries may make one of them.
-CLEAN_WORDS = 20_000
-#: Both halves of a word run together must occur this often.
-SPLIT_COUNT = 50
+#: Costs of reading through one and two confusions, of a blank that is missing, of one too many, and of keeping a hyphen at a line end.
+EDIT_COSTS = (2.5, 4.0)
+SPLIT_COST, MERGE_COST, COMPOUND_COST = 4.0, 3.0, 0.5
+#: How often a word counts to occur besides its occurrences.
+UNSEEN = 0.15
+#: A word with at least this share of all words, and three occurrences, is common. At most 1/COMMON words are: a list of bounded size.
+COMMON = 1e-5
 
 _NUMBER = re.compile(r"[0-9lIiOoSsBbgZz|]{1,4}|[ivxlcdmIVXLCDM1]{1,7}")
 _ROMAN = re.compile(r"[ivxlcdm1]+|[IVXLCDM1]+")
@@ -142,12 +149,6 @@ def odd_characters(word: str) -> bool:
     return letters >= 2 and word.isalnum() and any(c.isdigit() for c in word)
 
 
-def explains(true_n: int, seen_n: int) -> bool:
-    """Whether a word that occurs ``true_n`` times explains a form that occurs ``seen_n`` times as noise."""
-    seen_n = max(seen_n, 1)
-    return seen_n <= max(1, NOISE_SHARE * true_n) and true_n >= LEAST_RATIO * seen_n
-
-
 #: Characters of guesses sent on at once inside a task.
 GUESS_CHARS = 4_000_000
 #: Pages handled at once inside a task.
@@ -295,35 +296,6 @@ def bare(token: str) -> str:
     return token.strip(PUNCTUATION)
 
 
-def stream(body: list[dict], before: str | None, after: str | None) -> list[dict]:
-    """The words of a page as one stream: each with its line, and the hyphen at which it was cut.
-
-    A word cut at a line end is one entry with two parts. Of a word cut at the page's edge the
-    part on the other page comes from the neighbouring line, numbered -1 or one past the end.
-    """
-    out: list[dict] = []
-    carried = None
-    if before and body and ends_cut(before):
-        carried = {"left": before.split()[-1], "line": -1}
-    for k, x in enumerate(body):
-        tokens = x["text"].split()
-        for j, t in enumerate(tokens):
-            if carried is not None:
-                out.append({"parts": (carried["left"], t), "lines": (carried["line"], k)})
-                carried = None
-                continue
-            if j == len(tokens) - 1 and ends_cut(x["text"]):
-                carried = {"left": t, "line": k}
-                continue
-            out.append({"parts": (t,), "lines": (k,)})
-    if carried is not None:
-        if after and after.split():
-            out.append({"parts": (carried["left"], after.split()[0]), "lines": (carried["line"], len(body))})
-        else:
-            out.append({"parts": (carried["left"],), "lines": (carried["line"],)})
-    return out
-
-
 def halves(parts: tuple[str, str]) -> tuple[str, str]:
     return parts[0].rstrip(HYPHENS).lstrip(PUNCTUATION), parts[1].rstrip(PUNCTUATION + HYPHENS)
 
@@ -334,23 +306,48 @@ def apart(left: str, right: str) -> str | None:
     return w + v if left.endswith(w) and right.startswith(v) else None
 
 
+def cut_words(body: list[dict], before: str | None, after: str | None) -> tuple[list[tuple[str, str, int, int]], list[list[str]]]:
+    """The words cut at line ends, and the other words of each line.
+
+    A cut word is (left part, right part, its line, the line it goes on in). Of one cut at the page's
+    edge the part on the other page comes from the neighbouring line, numbered -1 or one past the
+    end; without such a line the right part is empty.
+    """
+    lines = [x["text"].split() for x in body]
+    cuts = []
+    open_left = (before.split()[-1], -1) if before and body and ends_cut(before) else None
+    for k, (x, tokens) in enumerate(zip(body, lines)):
+        if open_left is not None and tokens:
+            cuts.append((open_left[0], tokens.pop(0), open_left[1], k))
+            open_left = None
+        if tokens and ends_cut(x["text"]):
+            open_left = (tokens.pop(), k)
+    if open_left is not None:
+        right = after.split()[0] if after and after.split() else ""
+        cuts.append((open_left[0], right, open_left[1], len(body)))
+    return cuts, lines
+
+
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64()), ("asked", pa.int64())])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and how often they stand whole; forms that only decoding asks for are counted apart."""
+    """Words and how often they stand whole; forms that only a cut word asks for are counted apart."""
     for rows in _some(batches):
-        n, asked = Counter(), Counter()
+        tokens, asked = Counter(), Counter()
         for p in rows:
-            for s in stream(p["body"], p["line_before"], p["line_after"]):
-                if len(s["parts"]) == 1:
-                    w = bare(s["parts"][0])
-                    if w:
-                        n[w] += 1
-                else:
-                    a, b = halves(s["parts"])
+            cuts, lines = cut_words(p["body"], p["line_before"], p["line_after"])
+            for line in lines:
+                tokens.update(line)
+            for left, right, *_ in cuts:
+                if right:
+                    a, b = halves((left, right))
                     asked[a + b] += 1
                     asked[f"{a}-{b}"] += 1
+        n = Counter()
+        for t, k in tokens.items():
+            if w := bare(t):
+                n[w] += k
         yield pa.RecordBatch.from_pylist([{"word": w, "n": n[w], "asked": asked[w]} for w in {*n, *asked}], schema=_COUNTS)
 
 
@@ -360,169 +357,273 @@ _GUESSES = pa.schema([("word", pa.string()), ("n", pa.int64()), ("asked", pa.int
 def _guesses(r: dict) -> Iterator[dict]:
     w = r["word"]
     row = {"word": w, "n": r["n"], "asked": r["asked"], "rest": None}
-    yield row | {"guess": w, "edits": 0}
+    yield row | {"guess": None, "edits": 0}
     if not any(c.isalpha() for c in w):
         return
     one = undone(w)
     yield from (row | {"guess": v, "edits": 1} for v in one)
     two = (v for u in one for v in undone(u) if v not in one and v != w)
     yield from (row | {"guess": v, "edits": 2} for v in (set(two) if len(w) <= 64 else two))  # repeats do no harm
-    if r["n"] and w.isalpha() and w.islower() and len(w) >= 6:
-        yield from (row | {"guess": w[:i], "edits": 3, "rest": w[i:]} for i in range(3, len(w) - 2))
+    if r["n"] and w.isalpha() and w.islower() and len(w) >= 5:
+        yield from (row | {"guess": w[:i], "edits": 3, "rest": w[i:]} for i in range(2, len(w) - 1))
 
 
 def _guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a form may be: itself, a form with one or two confusions undone, or two words run together."""
+    """What a form may be besides itself: a form with one or two confusions undone, or two words run together."""
     for rows in _some(batches):
         out, size = [], 0
         for r in rows:
             for g in _guesses(r):
                 out.append(g)
-                size += len(g["word"]) + len(g["guess"])
+                size += len(g["word"]) + len(g["guess"] or "")
                 if size > GUESS_CHARS:
                     yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
                     out, size = [], 0
         yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
 
 
-def word_facts(pages: DataFrame) -> DataFrame:
-    """word, n_rows (where it occurs or is asked for), n, best (what it was misread from, or null), best_n, split (two words or null), split_n."""
+def word_facts(pages: DataFrame) -> tuple[DataFrame, int]:
+    """word, n, n_rows (where it occurs or is asked for), readings, splits, common; and how many words there are.
+
+    Readings are the words it may be misread from, with their counts and confusions; only those that
+    cost less than the form as it stands, since no other can lie on a shortest path, but all of a
+    form with odd characters. Splits are the places where both parts are words, with their counts.
+    """
     counts = cut(pages.mapInArrow(_count_words, "word string, n long, asked long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
     guesses = counts.mapInArrow(_guess, "word string, n long, asked long, guess string, edits int, rest string")
     lexicon = counts.where("n > 0").select(F.col("word").alias("guess"), F.col("n").alias("guess_n"))
-    met = guesses.join(lexicon, "guess", "left")
-    rest = counts.where(F.col("n") >= SPLIT_COUNT).select(F.col("word").alias("rest"), F.col("n").alias("rest_n"))
-    met = met.where("edits = 0 OR guess_n > 0").join(rest, "rest", "left")
-    # One confusion undone comes before two: two only where no word with one occurs often enough.
-    strong = F.when(F.col("edits") == 1, F.struct("guess_n", "guess"))
-    weak = F.when((F.col("edits") == 2) & (F.col("guess_n") >= 3), F.struct("guess_n", "guess"))
-    # Two words run together: both so much more frequent that they explain the form as noise.
-    rarer = F.least("guess_n", "rest_n")
-    run_together = (F.col("n") <= F.greatest(F.lit(1.0), NOISE_SHARE * rarer)) & (rarer >= LEAST_RATIO * F.col("n"))
-    parts = F.when((F.col("edits") == 3) & (F.col("guess_n") >= SPLIT_COUNT) & F.col("rest_n").isNotNull() & run_together, F.struct(rarer.alias("guess_n"), F.concat_ws(" ", "guess", "rest").alias("guess")))
-    found = met.groupBy("word").agg(F.first("n").alias("n"), F.first("asked").alias("asked"), F.max(strong).alias("one"), F.max(weak).alias("two"), F.max(parts).alias("split"))
-    floor = F.greatest(F.col("n"), F.lit(1)) * LEAST_RATIO
-    best = F.when(F.col("one.guess_n") >= floor, F.col("one")).otherwise(F.greatest("one", "two"))
-    return found.select(
-        "word", (F.col("n") + F.col("asked")).alias("n_rows"), "n", "asked", best["guess"].alias("best"), best["guess_n"].alias("best_n"), F.col("split.guess").alias("split"), F.col("split.guess_n").alias("split_n")
+    met = guesses.join(lexicon, "guess", "left").where("edits = 0 OR guess_n > 0")
+    met = met.join(lexicon.select(F.col("guess").alias("rest"), F.col("guess_n").alias("rest_n")), "rest", "left")
+    own = F.greatest(F.col("n") - 1, F.lit(0)) + UNSEEN
+    channel = F.when(F.col("edits") == 1, math.exp(-EDIT_COSTS[0])).otherwise(math.exp(-EDIT_COSTS[1]))
+    misread = F.col("edits").isin(1, 2) & ((F.col("guess_n") * channel > own) | F.col("word").rlike("[@$þﬁ0-9]"))
+    parted = (F.col("edits") == 3) & (F.col("guess_n") * (F.col("rest_n") / total) * math.exp(-SPLIT_COST) > own)
+    found = met.groupBy("word").agg(
+        F.first("n").alias("n"), F.first("asked").alias("asked"),
+        F.collect_set(F.when(misread, F.struct("guess", "guess_n", "edits"))).alias("readings"),
+        F.collect_list(F.when(parted, F.struct(F.length("guess").alias("at"), "guess_n", "rest_n"))).alias("splits"),
     )
+    plain = (F.size("readings") == 0) & (F.size("splits") == 0) & (F.col("asked") == 0)
+    common = plain & (F.col("n") >= F.greatest(F.lit(3.0), F.lit(COMMON * total)))
+    return found.select("word", "n", (F.col("n") + F.col("asked")).alias("n_rows"), "readings", "splits", common.alias("common")), total
 
 
-def _page_words(clean):
-    """The distinct forms of each page that decoding may ask about; words in ``clean`` need no answer."""
+def _page_words(common):
+    """The distinct forms of each page that decoding may ask about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _asked_words(batches, clean.value)
+        yield from _asked_words(batches, common.value)
 
     return run
 
 
-def _asked_words(batches: Iterator[pa.RecordBatch], clean: frozenset[str]) -> Iterator[pa.RecordBatch]:
+def _asked_words(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc", pa.string()), ("page", pa.int64()), ("word", pa.string())])
+    plain: dict[str, bool] = {}
     for rows in _some(batches):
-        out = []
+        docs, pages, out = [], [], []
         for p in rows:
-            words, last = set(), None
-            for s in stream(p["body"], p["line_before"], p["line_after"]):
-                if len(s["parts"]) == 1:
-                    words.add(bare(s["parts"][0]))
-                    if last and (joined := apart(last, s["parts"][0])) and not (bare(last) in clean and bare(s["parts"][0]) in clean):
-                        words.add(joined)
-                    last = s["parts"][0]
-                else:
-                    a, b = halves(s["parts"])
+            words = set()
+            cuts, lines = cut_words(p["body"], p["line_before"], p["line_after"])
+            tokens = [t for line in lines for t in line]
+            for k, t in enumerate(tokens):
+                if not _plain(t, common, plain):
+                    words.add(bare(t))
+                    words.update(j for a, b in zip(tokens[max(0, k - 1) : k + 1], tokens[max(1, k) : k + 2]) if (j := apart(a, b)))
+            for left, right, *_ in cuts:
+                if right:
+                    a, b = halves((left, right))
                     words |= {a + b, f"{a}-{b}"}
-                    last = None
-            out.extend({"doc": p["doc"], "page": p["page"], "word": w} for w in words if w and w not in clean)
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-
-# ---- decoding ----------------------------------------------------------------------------------
-
-_EDIT, _JOIN, _UNKNOWN, _LOG_N = 4.6, 3.0, 1.0, math.log(1e7)
+            words = {w for w in words if w and w not in common}
+            docs += [p["doc"]] * len(words)
+            pages += [p["page"]] * len(words)
+            out += words
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(pages, pa.int64()), pa.array(out, pa.string())], schema=schema)
 
 
-def _cost(n: int) -> float:
-    """Negative logarithm of a word's share of a large corpus; an unseen word counts as less than once."""
-    return _LOG_N - math.log(n if n > 0 else 0.25)
+def _plain(token: str, common: dict[str, int], known: dict[str, bool]) -> bool:
+    """Whether a token can be nothing but the word it is; remembered, a bounded number of them."""
+    answer = known.get(token)
+    if answer is None:
+        if len(known) > 500_000:
+            known.clear()
+        w = bare(token)
+        answer = known[token] = w in common or not w
+    return answer
 
 
-def readings(form: str, facts: dict[str, dict]) -> tuple[str, float, bool]:
-    """The best reading of a form: text, cost, whether it was misread."""
-    f = facts.get(form)
-    n = f["n"] if f and f.get("matters", True) else 1000
-    if f and f["best"] and explains(f["best_n"], n) or (f and f["best"] and odd_characters(form)):
-        return f["best"], min(_cost(f["best_n"]) + _EDIT, _cost(n)), True
-    return form, _cost(n), odd_characters(form)
+# ---- decoding ----------------------------------------------------------------------------------
 
 
-def decode(words: list[dict], facts: dict[str, dict], frequent: frozenset[str] = frozenset()) -> list[dict]:
-    """Shortest path over the stream: for each step the text, its first and last entry, and what happened.
+class Decoder:
+    """The shortest path over a page's stream of characters.
 
-    ``facts`` knows only forms that are rare, misread or asked for; others are frequent words. Two
-    entries may be one word after a wrong blank if that word is in ``frequent`` or occurs SPLIT_COUNT times, and one of them is rare.
+    ``facts`` knows the forms of the page that are not ``common``: their counts, readings and splits.
+    A form that neither knows occurs nowhere.
     """
-    n = len(words)
-    best: list[tuple[float, int, dict | None]] = [(0.0, -1, None)] + [(math.inf, -1, None)] * n
-
-    def offer(i: int, j: int, cost: float, step: dict) -> None:
-        if best[i][0] + cost < best[j][0] - 1e-9:
-            best[j] = (best[i][0] + cost, i, step)
-
-    for i, s in enumerate(words):
-        if len(s["parts"]) == 2:
-            a, b = halves(s["parts"])
-            tail = s["parts"][1][len(s["parts"][1].rstrip(PUNCTUATION)) :]
-            head = s["parts"][0][: len(s["parts"][0]) - len(s["parts"][0].lstrip(PUNCTUATION))]
-            plain = s["parts"][0].rstrip()[-1:] == "-"
-            whole, whole_cost, whole_bad = readings(a + b, facts)
-            comp, comp_cost, comp_bad = readings(f"{a}-{b}", facts)
-            whole_n, comp_n = (facts.get(x, {"n": 0})["n"] for x in (a + b, f"{a}-{b}"))
-            known_comp = comp_n > 0 or comp_bad or (whole_n == 0 and not whole_bad and a.lower() == b.lower())
-            if not plain or not known_comp:
-                comp_cost = math.inf
-            elif whole_n == 0 and not whole_bad:
-                comp_cost = whole_cost - 1
-            offer(i, i + 1, whole_cost, {"text": head + whole + tail, "cut": True, "misread": whole_bad, "seen": a + b, "read": whole, "at": len(a)})
-            if comp_cost < math.inf:
-                offer(i, i + 1, comp_cost, {"text": head + comp + tail, "cut": False, "misread": comp_bad, "seen": f"{a}-{b}", "read": comp, "at": len(a)})
-            continue
-        t = s["parts"][0]
+
+    def __init__(self, facts: dict[str, dict], common: dict[str, int], total: int):
+        self.facts, self.common, self.log_total = facts, common, math.log(max(total, 2))
+
+    def cost(self, n: float) -> float:
+        return self.log_total - math.log(n)
+
+    def count(self, form: str) -> int:
+        f = self.facts.get(form)
+        return f["n"] if f else self.common.get(form, 0)
+
+    def readings(self, form: str, own: bool) -> list[tuple[str, float, bool]]:
+        """Everything a form may be: the word, its cost, and whether the form was misread. ``own`` says that the form's count holds this occurrence."""
+        n = self.count(form)
+        odd = odd_characters(form)
+        out = [(form, self.cost(max(n - own, 0) + UNSEEN) + (EDIT_COSTS[1] if odd else 0.0), odd)]
+        if f := self.facts.get(form):
+            out += [(r["guess"], self.cost(r["guess_n"]) + EDIT_COSTS[r["edits"] - 1], True) for r in f["readings"] or []]
+            if odd and len(out) > 1:  # no word has such characters, so what stands there is no rival
+                out.pop(0)
+        return out
+
+    def edges(self, tokens: list[str], starts: list[int], k: int) -> Iterator[tuple[int, int, float, dict]]:
+        """(from, to, cost, step) of the words that begin in token k; places are counted in characters."""
+        t, a = tokens[k], starts[k]
         w = bare(t)
         at = t.find(w) if w else 0
-        read, cost, bad = readings(w, facts) if w else (w, 0.0, False)
-        offer(i, i + 1, cost, {"text": t[:at] + read + t[at + len(w) :], "misread": bad})
-        f = facts.get(w)
-        if f and f["split"] and not bad:
-            x, y = f["split"].split(" ")
-            offer(i, i + 1, _cost(f.get("split_n") or SPLIT_COUNT) + _JOIN - _UNKNOWN, {"text": t[:at] + f"{x} {y}" + t[at + len(w) :], "misread": False})
-        if i + 1 < n and len(words[i + 1]["parts"]) == 1:
-            v = bare(words[i + 1]["parts"][0])
-            rare = min(facts[z]["n"] if z in facts else 1000 for z in (w, v)) <= 2
-            joined = apart(t, words[i + 1]["parts"][0])
-            if rare and joined and (joined in frequent or joined in facts and facts[joined]["n"] >= SPLIT_COUNT):
-                offer(i, i + 2, _cost(SPLIT_COUNT) + _JOIN, {"text": t[:at] + w + words[i + 1]["parts"][0], "misread": False})
-    path, j = [], n
-    while j > 0:
-        _, i, step = best[j]
-        path.append(step | {"first": i, "last": j - 1})
-        j = i
-    return path[::-1]
-
-
-def _misread_lines(step: dict, entry: dict) -> set[int]:
-    """On which of its lines the wrong characters of a decoded word stand."""
+        end = a + len(t)
+        if not w:
+            yield a, end, 0.0, {"text": t, "misread": False}
+            return
+        for text, cost, bad in self.readings(w, True):
+            yield a, end, cost, {"text": t[:at] + text + t[at + len(w) :], "misread": bad}
+        f = self.facts.get(w)
+        for x in (f["splits"] if f else None) or []:
+            middle = a + at + x["at"]
+            yield a, middle, self.cost(x["guess_n"]) + SPLIT_COST, {"text": t[: at + x["at"]], "misread": False}
+            yield middle, end, self.cost(x["rest_n"]), {"text": t[at + x["at"] :], "misread": False}
+        if k + 1 < len(tokens) and (joined := apart(t, tokens[k + 1])):
+            following = tokens[k + 1]
+            v = bare(following)
+            if self.count(joined) and not (w in self.common and v in self.common):
+                head, tail = t[:at], following[following.find(v) + len(v) :]
+                for text, cost, bad in self.readings(joined, False):
+                    yield a, starts[k + 1] + len(following), cost + MERGE_COST, {"text": head + text + tail, "misread": bad}
+
+    def path(self, tokens: list[str]) -> list[dict]:
+        """The words of a stretch of tokens: for each its text, the token it begins in, whether it was misread."""
+        starts, at = [], 0
+        for t in tokens:
+            starts.append(at)
+            at += len(t) + 1
+        best: dict[int, tuple[float, int, dict | None]] = {0: (0.0, -1, None)}
+        for k, t in enumerate(tokens):
+            for i, j, cost, step in self.edges(tokens, starts, k):
+                if i in best:
+                    if j >= starts[k] + len(t):
+                        j += 1  # the blank after a word belongs to it
+                    reached = best[i][0] + cost
+                    if j not in best or reached < best[j][0] - 1e-9:
+                        best[j] = (reached, i, step | {"token": k})
+        out, j = [], at
+        while j > 0:
+            _, i, step = best[j]
+            out.append(step)
+            j = i
+        return out[::-1]
+
+    def cut_word(self, left: str, right: str) -> dict:
+        """What a word cut at a line end is: whole or a compound, in any reading."""
+        a, b = halves((left, right))
+        tail = right[len(right.rstrip(PUNCTUATION)) :]
+        head = left[: len(left) - len(left.lstrip(PUNCTUATION))]
+        offers = [(cost, {"text": head + text + tail, "cut": True, "misread": bad, "seen": a + b, "read": text, "at": len(a)}) for text, cost, bad in self.readings(a + b, False)]
+        if left.rstrip()[-1:] == "-":
+            twice = 2 * COMPOUND_COST if a.lower() == b.lower() else 0.0
+            form = f"{a}-{b}"
+            offers += [(cost + COMPOUND_COST - twice, {"text": head + text + tail, "cut": False, "misread": bad, "seen": form, "read": text, "at": len(a)}) for text, cost, bad in self.readings(form, False)]
+        return min(offers, key=lambda o: o[0])[1]
+
+
+def _misread_lines(step: dict, left: str, right: str, lines: tuple[int, int]) -> set[int]:
+    """On which of its lines the wrong characters of a cut word stand."""
     if not step["misread"]:
         return set()
-    if len(entry["parts"]) == 1:
-        return {entry["lines"][0]}
-    a, b = halves(entry["parts"])
+    a, b = halves((left, right))
     if odd_characters(a) or odd_characters(b):
-        return {line for part, line in zip((a, b), entry["lines"]) if odd_characters(part)}
+        return {line for part, line in zip((a, b), lines) if odd_characters(part)}
     seen, read, same = step["seen"], step["read"], 0
     while same < min(len(seen), len(read)) and seen[same] == read[same]:
         same += 1
-    return {entry["lines"][0] if same < step["at"] else entry["lines"][1]}
+    return {lines[0] if same < step["at"] else lines[1]}
+
+
+def stretches(plain: list[bool]) -> Iterator[tuple[int, int]]:
+    """The runs of tokens, each with a neighbour on both sides, outside of which every token is plain."""
+    n, k = len(plain), 0
+    while k < n:
+        if plain[k]:
+            k += 1
+            continue
+        first = max(0, k - 1)
+        while k < n and (not plain[k] or (k + 1 < n and not plain[k + 1])):
+            k += 1
+        yield first, min(n, k + 1)
+        k += 1
+
+
+def decode_page(body: list[dict], before: str | None, after: str | None, decoder: Decoder, plain: dict[str, bool]) -> tuple[set[tuple[int, str]], list[str]]:
+    """Marks (line, kind) and the repaired text of each line; a cut word belongs to where it begins."""
+    n = len(body)
+    cuts, lines = cut_words(body, before, after)
+    marks: set[tuple[int, str]] = set()
+    # A word that goes on elsewhere is a wall: nothing merges across it.
+    broken_before = {z for *_, z in cuts} | {a + 1 for *_, a, _ in cuts}
+    tokens, line_of, texts = [], [], [[] for _ in range(n)]
+
+    def settle() -> None:
+        flags = [_plain(t, decoder.common, plain) for t in tokens]
+        done = 0
+        for first, end in stretches(flags):
+            for k in range(done, first):
+                texts[line_of[k]].append(tokens[k])
+            first = max(first, done)
+            for step in decoder.path(tokens[first:end]):
+                line = line_of[first + step["token"]]
+                texts[line].append(step["text"])
+                if step["misread"]:
+                    marks.add((line, "misread"))
+            done = end
+        for k in range(done, len(tokens)):
+            texts[line_of[k]].append(tokens[k])
+        tokens.clear()
+        line_of.clear()
+
+    heads: list[list[str]] = [[] for _ in range(n)]
+    tails: list[list[str]] = [[] for _ in range(n)]
+    for left, right, a, z in cuts:
+        if not right:
+            tails[a].append(left)
+            continue
+        step = decoder.cut_word(left, right)
+        if step["cut"] and 0 <= a:
+            marks.add((a, "hyphen"))
+        marks |= {(k, "misread") for k in _misread_lines(step, left, right, (a, z)) if 0 <= k < n}
+        here, there = a >= 0, z < n
+        apart_regions = not here or not there or body[a]["region_id"] != body[z]["region_id"]
+        if apart_regions and not step["cut"]:  # a compound parts at its own hyphen
+            at = step["text"].find("-") + 1
+            if here:
+                tails[a].append(step["text"][:at])
+            if there:
+                heads[z].append(step["text"][at:])
+        elif here:
+            tails[a].append(step["text"])
+    for k, line in enumerate(lines):
+        if k in broken_before:
+            settle()
+        tokens += line
+        line_of += [k] * len(line)
+    settle()
+    return marks, [" ".join(heads[k] + texts[k] + tails[k]) for k in range(n)]
 
 
 def _stands_alone(line: str) -> bool:
@@ -578,76 +679,58 @@ def paragraph_breaks(body: list[dict]) -> list[bool]:
 _DECODED = pa.schema([("region_id", pa.int64()), ("line_no", pa.int64()), ("kind", pa.string()), ("paragraph", pa.int64()), ("text", pa.string())])
 
 
-def _decode_pages(clean):
+def _decode_pages(common, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _decoded(batches, clean.value)
+        plain: dict[str, bool] = {}
+        for rows in _some(batches):
+            yield _decoded(rows, common.value, total, plain)
 
     return run
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iterator[pa.RecordBatch]:
+def _decoded(rows: list[dict], common: dict[str, int], total: int, plain: dict[str, bool]) -> pa.RecordBatch:
     """Marks of lines (kind) and the repaired text of lines with the number of their paragraph in the region."""
-    for rows in _some(batches):
-        out = []
-        for p in rows:
-            body = p["body"]
-            for x in p["furniture"]:
-                out.append({"region_id": x["region_id"], "line_no": x["line_no"], "kind": "furniture", "paragraph": None, "text": None})
-            if not body:
-                continue
-            facts = {f["word"]: f for f in p["facts"] or []}
-            words = stream(body, p["line_before"], p["line_after"])
-            marks, texts = set(), [[] for _ in body]
-            for step in decode(words, facts, frequent):
-                entry = words[step["first"]]
-                if step.get("cut") and 0 <= entry["lines"][0] < len(body):
-                    marks.add((entry["lines"][0], "hyphen"))
-                for k in _misread_lines(step, entry):
-                    if 0 <= k < len(body):
-                        marks.add((k, "misread"))
-                if len(entry["lines"]) == 2:
-                    first, second = (k if 0 <= k < len(body) else None for k in entry["lines"])
-                    apart = first is None or second is None or body[first]["region_id"] != body[second]["region_id"]
-                    if apart and not step["cut"]:  # a compound parts at its own hyphen
-                        at = step["text"].find("-") + 1
-                        for k, part in ((first, step["text"][:at]), (second, step["text"][at:])):
-                            if k is not None:
-                                texts[k].append(part)
-                    elif first is not None:  # a cut word belongs to where it begins
-                        texts[first].append(step["text"])
-                    continue
-                texts[entry["lines"][0]].append(step["text"])
-            for k, kind in marks:
-                out.append({"region_id": body[k]["region_id"], "line_no": body[k]["line_no"], "kind": kind, "paragraph": None, "text": None})
-            number, region = 0, None
-            for k, new in enumerate(paragraph_breaks(body)):
-                if body[k]["region_id"] != region:
-                    number, region = 1, body[k]["region_id"]
-                elif new:
-                    number += 1
-                out.append({"region_id": region, "line_no": body[k]["line_no"], "kind": "body", "paragraph": number, "text": " ".join(texts[k])})
-        yield pa.RecordBatch.from_pylist(out, schema=_DECODED)
-
-
-def _matters() -> Column:
-    """Whether decoding needs to know a form: noise of a frequent one, odd, rare, asked for, or two words run together."""
-    n = F.greatest(F.col("n"), F.lit(1))
-    noise = (F.col("best_n") >= LEAST_RATIO * n) & (n <= F.greatest(F.lit(1.0), NOISE_SHARE * F.col("best_n")))
-    odd = F.col("best").isNotNull() & F.col("word").rlike("[@$þﬁ0-9]")
-    return F.coalesce(noise, F.lit(False)) | odd | (F.col("asked") > 0) | (F.col("n") <= 2) | F.col("split").isNotNull()
+    regions, numbers, kinds, paragraphs, texts = [], [], [], [], []
+
+    def put(line: dict, kind: str, paragraph: int | None = None, text: str | None = None) -> None:
+        regions.append(line["region_id"])
+        numbers.append(line["line_no"])
+        kinds.append(kind)
+        paragraphs.append(paragraph)
+        texts.append(text)
+
+    for p in rows:
+        body = p["body"]
+        for x in p["furniture"]:
+            put(x, "furniture")
+        if not body:
+            continue
+        decoder = Decoder({f["word"]: f for f in p["facts"] or []}, common, total)
+        marks, repaired_lines = decode_page(body, p["line_before"], p["line_after"], decoder, plain)
+        for k, kind in marks:
+            put(body[k], kind)
+        number, region = 0, None
+        for k, new in enumerate(paragraph_breaks(body)):
+            if body[k]["region_id"] != region:
+                number, region = 1, body[k]["region_id"]
+            elif new:
+                number += 1
+            put(body[k], "body", number, repaired_lines[k])
+    columns = [pa.array(x, f.type) for x, f in zip((regions, numbers, kinds, paragraphs, texts), _DECODED)]
+    return pa.RecordBatch.from_arrays(columns, schema=_DECODED)
 
 
 def decoded(regions: DataFrame, per_task: int = 500_000) -> DataFrame:
     """region_id, line_no, kind, paragraph, text: marks (furniture, hyphen, misread) and repaired body lines."""
     pages = classified_pages(regions, per_task)
-    every = cut(word_facts(pages).withColumn("matters", _matters()))
-    facts = every.where(F.col("matters") | (F.col("n") >= SPLIT_COUNT))
-    # Frequent words that need no answer stay where they are; the list has a fixed size. Others are asked for, as words and as what two entries make.
-    frequent = every.where("NOT matters").orderBy(F.desc("n"), "word").limit(CLEAN_WORDS).select("word").collect()
-    clean = regions.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in frequent))
-    on_pages = salted_join(pages.mapInArrow(_page_words(clean), "doc string, page long, word string"), facts, ["word"], F.struct("doc", "page"), per_task=per_task)
-    per_page = on_pages.groupBy("doc", "page").agg(F.collect_list(F.struct("word", "n", "best", "best_n", "split", "split_n", "matters")).alias("facts"))
-    return pages.join(per_page, ["doc", "page"], "left").mapInArrow(_decode_pages(clean), "region_id long, line_no long, kind string, paragraph long, text string")
+    facts, total = word_facts(pages)
+    facts = cut(facts)
+    # At most 1/COMMON words, whatever the size of the corpus; all others are asked for by a join on the word.
+    rows = facts.where("common").select("word", "n").collect()
+    common = regions.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in rows})
+    on_pages = salted_join(pages.mapInArrow(_page_words(common), "doc string, page long, word string"), facts.where("NOT common").drop("common"), ["word"], F.struct("doc", "page"), per_task=per_task)
+    per_page = on_pages.groupBy("doc", "page").agg(F.collect_list(F.struct("word", "n", "readings", "splits")).alias("facts"))
+    return pages.join(per_page, ["doc", "page"], "left").mapInArrow(_decode_pages(common, total), "region_id long, line_no long, kind string, paragraph long, text string")
 
 
 def repaired(lines: DataFrame) -> DataFrame:
