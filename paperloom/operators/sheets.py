@@ -188,6 +188,14 @@ def external_references(references: DataFrame, region: DataFrame, keys: list[str
     return x.where(~F.coalesce(own, F.lit(False))).drop("_r0", "_r1", "_c0", "_c1")
 
 
+def native_artefacts(cells: DataFrame, region: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_cells, n_formulas, n_tables, n_other: what each sheet holds, counted before the two sides meet."""
+    full = F.col("text").isNotNull() & (F.trim("text") != "")
+    a = cells.groupBy(*keys).agg(F.count_if(full | F.col("formula").isNotNull()).alias("n_cells"), F.count("formula").alias("n_formulas"))
+    b = region.groupBy(*keys).agg(F.count_if(F.col("kind") == "table").alias("n_tables"), F.count_if(F.col("kind") != "table").alias("n_other"))
+    return a.join(b, keys, "left").select(*keys, "n_cells", "n_formulas", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tables", "n_other")])
+
+
 def sheet_roles(sheets: DataFrame) -> DataFrame:
     """role, role_confidence of each sheet from has_charts, visible, n_formulas, n_cells, n_dependencies, feeds_dashboard and its largest table (rows, cols, cells)."""
     ratio = F.col("n_formulas") / F.greatest(F.lit(1), F.col("n_cells"))
