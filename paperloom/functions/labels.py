@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.cells import let
+from paperloom.functions.cells import let, strip
 
 # Layout labels by kind.
 REGION_KINDS = {
@@ -104,8 +104,8 @@ def grounded_regions(raw: Column, width: Column, height: Column, scale: int = 10
     def read(h: Column) -> Column:
         part = lambda k: F.regexp_extract(h, _GROUNDING, k)
         box = F.array(*[part(k).try_cast("double") for k in (2, 3, 4, 5)])
-        label = F.coalesce(F.nullif(F.trim(part(1)), F.lit("")), F.lit("unknown"))
-        return F.struct(label.alias("label"), F.trim(part(6)).alias("text"), box.alias("bbox_model"), scaled_box(box, width, height, scale).alias("bbox_pixels"))
+        label = F.coalesce(F.nullif(strip(part(1)), F.lit("")), F.lit("unknown"))
+        return F.struct(label.alias("label"), strip(part(6)).alias("text"), box.alias("bbox_model"), scaled_box(box, width, height, scale).alias("bbox_pixels"))
 
     return F.filter(F.transform(hits, read), lambda r: r["bbox_pixels"].isNotNull())
 

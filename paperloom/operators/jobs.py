@@ -82,6 +82,14 @@ def batch_rollup(jobs: DataFrame, batch: str, status: str) -> DataFrame:
     ).withColumn("state", batch_state(F.col("n_active") > 0, F.col("n_failed") > 0, F.col("n_jobs")))
 
 
+STATES = ("queued", "running", "paused", "completed", "failed", "canceled")
+
+
+def status_counts(jobs: DataFrame, key: str, status: str) -> DataFrame:
+    """key and a column per state: how many jobs are in it, 0 where none is. The states are known, so one pass does."""
+    return jobs.groupBy(key).pivot(status, list(STATES)).count().na.fill(0, list(STATES))
+
+
 def run_summary(results: DataFrame, ok: Column) -> DataFrame:
     """total, n_success, n_error, status of a run."""
     x = results.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("n_success")).withColumn("n_error", F.col("total") - F.col("n_success"))

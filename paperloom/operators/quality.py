@@ -93,6 +93,31 @@ def reflow_status(kinds: Column, specs: Column, source: Column, output: Column,
     )
 
 
+# Styles whose pages are reflowed, styles that never are, kinds of regions that cannot be.
+REFLOWED, NEVER_REFLOWED, NOT_TEXT = ("plain", "markdown_hierarchy", "bilingual_journal"), ("presentation_slides", "chat_transcript", "signature_form"), ("table", "figure", "formula")
+_OPENERS = {"title": "# ", "section": "## ", "list": "- "}
+
+
+def reflow_regions(regions: DataFrame, page: list[str], order: list[str], kind: str, text: str, specs: Column) -> DataFrame:
+    """page, status, text: the regions of each page as paragraphs in reading order, if the page may be reflowed.
+
+    The lines of a region become one, a word cut by a hyphen before a small letter becomes whole;
+    titles and sections become headings, list items bullets, footnotes stay last. Regions without text are
+    left out. ``status`` says why a page keeps its first text; its text is null then.
+    """
+    whole = F.regexp_replace(F.col(text), r"([\p{L}\p{N}])[-‐‑¬\u00ad][ \t]*\n[ \t]*(\p{Ll})", "$1$2")
+    flat = strip(F.regexp_replace(whole, r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
+    opener = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _OPENERS.items() for x in kv]), F.col(kind)), F.lit(""))
+    block = F.struct((F.col(kind) == "footnote").alias("last"), *order, F.when(flat != "", F.concat(opener, flat)).alias("b"))
+    g = regions.select(*page, block.alias("x"), F.coalesce(text, F.lit("")).alias("t"), kind, specs.alias("s")).groupBy(*page).agg(
+        F.array_sort(F.collect_list("x")).alias("x"), F.array_join(F.collect_list("t"), " ").alias("source"), F.collect_set(kind).alias("kinds"), F.first("s").alias("specs")
+    )
+    out = F.array_join(F.array_compact(F.col("x.b")), "\n\n")
+    done = g.select(*page, "kinds", "specs", "source", out.alias("text"))
+    status = reflow_status(F.col("kinds"), F.col("specs"), F.col("source"), F.col("text"), REFLOWED, NEVER_REFLOWED, NOT_TEXT)
+    return done.withColumn("status", status).select(*page, "status", F.when(F.col("status") == "applied", F.col("text")).alias("text"))
+
+
 def style_consensus(pages: DataFrame, key: str, order: str, spec: str) -> DataFrame:
     """key, spec: the first style of a document's pages that is not plain, else plain."""
     telling = F.when(F.col(spec) != "plain", F.struct(order, spec))

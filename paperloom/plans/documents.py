@@ -275,10 +275,10 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "sheets_regions": sheet_regions, "sheets_headers": sheet_headers, "sheets_row_roles": sheet_row_roles, "sheets_types": sheet_types, "sheets_native": sheet_native,
     "sheets_coverage": sheet_coverage, "sheets_roles": sheet_roles, "sheets_tiles": sheet_tiles, "charts_story": chart_story, "charts_checks": chart_checks, "charts_table": chart_table,
-    "clauses_parents": clause_parents, "clauses_audit": clause_audit, "clauses_open": clause_open, "clauses_text": clause_text, "clauses_amounts": amounts_crossed,
+    "clauses_parents": clause_parents, "clauses_audit": clause_audit, "clauses_open": clause_open, "clauses_amounts": amounts_crossed,
     "learning_latest": latest_headers, "learning_classes": text_classes, "learning_split": split_by_hash, "learning_tail": split_tail, "learning_scores": ocr_scores,
     "jobs_folders": folders, "jobs_selected": selected, "jobs_sampled": sampled, "jobs_batches": batches, "jobs_progress": progress_log, "jobs_unreferenced": orphans_on_disk,
-    "jobs_queue": queue, "jobs_names": upload_names, "survey_islands": event_islands, "survey_inherited": grid_carried, "survey_spans": page_spans, "survey_batches": page_batches,
+    "jobs_queue": queue, "jobs_names": upload_names, "survey_islands": event_islands, "survey_inherited": grid_carried, 
     "vectors_nearest": nearest_vectors,
 }
 
