@@ -143,6 +143,8 @@ def undone(word: str) -> set[str]:
 
 def odd_characters(word: str) -> bool:
     """Whether a word holds characters that no word has: signs or digits among letters."""
+    if word.isascii() and word.isalpha():
+        return False
     letters = sum(c.isalpha() for c in word)
     if any(c in "@$þﬁ" for c in word) and letters:
         return True
@@ -159,7 +161,23 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of the batches as dicts, a bounded number at a time."""
     for batch in batches:
         for start in range(0, max(1, batch.num_rows), PAGES_AT_ONCE):
-            yield batch.slice(start, PAGES_AT_ONCE).to_pylist()
+            part = batch.slice(start, PAGES_AT_ONCE)
+            columns = [_values(c) for c in part.columns]
+            yield [dict(zip(part.schema.names, v)) for v in zip(*columns)]
+
+
+def _values(a: pa.Array) -> list:
+    """The values of an array as Python objects, whole columns of nested ones at a time."""
+    if pa.types.is_list(a.type):
+        edges = a.offsets.to_pylist()
+        inner = _values(a.values.slice(edges[0], edges[-1] - edges[0])) if edges else []
+        out = [inner[i - edges[0] : j - edges[0]] for i, j in zip(edges, edges[1:])]
+    elif pa.types.is_struct(a.type):
+        names = [f.name for f in a.type]
+        out = [dict(zip(names, v)) for v in zip(*map(_values, a.flatten()))]
+    else:
+        return a.to_pylist()
+    return out if not a.null_count else [v if ok else None for v, ok in zip(out, a.is_valid().to_pylist())]
 
 
 # ---- pages -------------------------------------------------------------------------------------
@@ -354,7 +372,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _GUESSES = pa.schema([("word", pa.string()), ("n", pa.int64()), ("asked", pa.int64()), ("guess", pa.string()), ("edits", pa.int32()), ("rest", pa.string())])
 
 
-def _guesses(r: dict) -> Iterator[dict]:
+def _guesses(r: dict, halves_of: frozenset[str]) -> Iterator[dict]:
     w = r["word"]
     row = {"word": w, "n": r["n"], "asked": r["asked"], "rest": None}
     yield row | {"guess": None, "edits": 0}
@@ -365,21 +383,25 @@ def _guesses(r: dict) -> Iterator[dict]:
     two = (v for u in one for v in undone(u) if v not in one and v != w)
     yield from (row | {"guess": v, "edits": 2} for v in (set(two) if len(w) <= 64 else two))  # repeats do no harm
     if r["n"] and w.isalpha() and w.islower() and len(w) >= 5:
-        yield from (row | {"guess": w[:i], "edits": 3, "rest": w[i:]} for i in range(2, len(w) - 1))
+        yield from (row | {"guess": w[:i], "edits": 3, "rest": w[i:]} for i in range(2, len(w) - 1) if w[:i] in halves_of or w[i:] in halves_of)
 
 
-def _guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _guess(halves_of):
     """What a form may be besides itself: a form with one or two confusions undone, or two words run together."""
-    for rows in _some(batches):
-        out, size = [], 0
-        for r in rows:
-            for g in _guesses(r):
-                out.append(g)
-                size += len(g["word"]) + len(g["guess"] or "")
-                if size > GUESS_CHARS:
-                    yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
-                    out, size = [], 0
-        yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _some(batches):
+            out, size = [], 0
+            for r in rows:
+                for g in _guesses(r, halves_of.value):
+                    out.append(g)
+                    size += len(g["word"]) + len(g["guess"] or "")
+                    if size > GUESS_CHARS:
+                        yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
+                        out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema=_GUESSES)
+
+    return run
 
 
 def word_facts(pages: DataFrame) -> tuple[DataFrame, int]:
@@ -391,7 +413,11 @@ def word_facts(pages: DataFrame) -> tuple[DataFrame, int]:
     """
     counts = cut(pages.mapInArrow(_count_words, "word string, n long, asked long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    guesses = counts.mapInArrow(_guess, "word string, n long, asked long, guess string, edits int, rest string")
+    # Of two words run together the product of the counts is at least this bound's square, so one is in a list of at most sqrt(total) words.
+    bound = math.sqrt(UNSEEN * math.exp(SPLIT_COST) * total)
+    frequent = counts.where(F.col("n") >= bound).select("word").collect()
+    halves_of = pages.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in frequent))
+    guesses = counts.mapInArrow(_guess(halves_of), "word string, n long, asked long, guess string, edits int, rest string")
     lexicon = counts.where("n > 0").select(F.col("word").alias("guess"), F.col("n").alias("guess_n"))
     met = guesses.join(lexicon, "guess", "left").where("edits = 0 OR guess_n > 0")
     met = met.join(lexicon.select(F.col("guess").alias("rest"), F.col("guess_n").alias("rest_n")), "rest", "left")
@@ -488,6 +514,9 @@ class Decoder:
         """(from, to, cost, step) of the words that begin in token k; places are counted in characters."""
         t, a = tokens[k], starts[k]
         w = bare(t)
+        if w in self.common and k + 1 < len(tokens) and bare(tokens[k + 1]) in self.common:
+            yield a, a + len(t), self.cost(max(self.common[w] - 1, 0) + UNSEEN), {"text": t, "misread": False}
+            return
         at = t.find(w) if w else 0
         end = a + len(t)
         if not w:
