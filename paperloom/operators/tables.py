@@ -235,6 +235,16 @@ def tag_tables(text: str, names: list[str | None]) -> str:
     return "\n".join(lines)
 
 
+def tagged(docs: DataFrame, key: str, text: str, names: str) -> DataFrame:
+    """key, text: each text with its tables tagged by an array of names in their order; a null name, or none, leaves a table as it is. Null texts stay null."""
+
+    @F.pandas_udf("string")
+    def tag(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([tag_tables(x, [] if y is None else list(y)) if isinstance(x, str) else None for x, y in zip(t, n)])
+
+    return docs.select(key, tag(text, names).alias(text))
+
+
 TABLE_SCHEMA = "table_no int, headers array<string>, rows array<array<string>>, context string, hint string, line_start int, line_end int"
 
 

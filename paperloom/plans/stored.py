@@ -61,21 +61,6 @@ def classified_tables(spark: SparkSession, d: str) -> DataFrame:
     return T.classify_tables(_text_cells(spark, d), ["tab"]).select("tab", "table_type", "numeric_density", "date_density", "keyword_ratio")
 
 
-_VARIANTS = (
-    ("ledger", "Tanggal Transaksi|Uraian|No. Ref|Debet|Kredit|Saldo Akhir|Channel Pembayaran"),
-    ("statement", "Posting Date|Value Date|Description|Ref No|Debit|Credit|Balance"), ("signatures", "Pihak|Nama|Jabatan|Tanda Tangan"), ("stock", "Produk|Qty|Harga"),
-)
-
-
-def mapped_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Which canonical column each header of known layouts takes, and where such tables are stored."""
-    rows = spark.createDataFrame(list(_VARIANTS), "layout string, names string")
-    h = F.split("names", r"\|")
-    m = T.canonical_columns(h, T.TRANSACTION_ALIASES)
-    x = rows.select("layout", T.route(h, F.lit(None).cast("string"), F.lit(False)).alias("stored_in"), F.explode_outer(m).alias("canonical", "col"))
-    return x.select("layout", F.coalesce("stored_in", F.lit("none")).alias("stored_in"), "canonical", "col")
-
-
 def matched_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables of the data matched with each other by their column names."""
     names = ["document_headers", "transaction_details", "document_signatories", "customer", "supplier", "orders", "lineitem", "events", "ocr_regions", "documents"]
@@ -230,7 +215,7 @@ def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "tables_markdown_ledgers": markdown_ledgers, "tables_in_chunks": document_tables, "tables_types": inferred_types, "tables_classes": classified_tables,
-    "tables_mapped": mapped_columns, "tables_matched": matched_tables, "tables_header_records": header_records, "ledger_sums": numeric_sums, "ledger_running": running,
+    "tables_matched": matched_tables, "tables_header_records": header_records, "ledger_sums": numeric_sums, "ledger_running": running,
     "ledger_continuity": continuity, "ledger_verified": verified, "ledger_counts": count_diffs, "ledger_values": value_diffs, "ledger_audit": audited,
     "ledger_header_detail": header_detail, "store_hash_inserts": hash_inserts, "store_upsert": upserted_headers, "store_merge": merged_duplicates, "store_merge_counts": merge_counts,
     "store_reparent": reparented, "store_replace_pages": replaced_pages, "store_prune_pages": pruned_pages, "store_evolve": evolved, "store_summary": summary,

@@ -30,11 +30,14 @@ def unchanged(files: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def read_extractions(spark: SparkSession, root: str) -> DataFrame:
-    """doc, text, meta of every extracted document: the Markdown file and the JSON beside it."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(root).select(stem.alias("doc"), F.col("value").alias("text"))
-    metas = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(root).select(stem.alias("doc"), F.col("value").alias("meta"))
-    return texts.join(metas, "doc", "left")
+    """folder, doc, text, meta of every extracted document: the Markdown file and the JSON beside it in the same folder, null if there is none."""
+
+    def files(pattern: str, name: str) -> DataFrame:
+        found = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root)
+        place = r"^(.*)/([^/]*)\.[^./]*$"
+        return found.select(F.regexp_extract("_metadata.file_path", place, 1).alias("folder"), F.regexp_extract("_metadata.file_path", place, 2).alias("doc"), F.col("value").alias(name))
+
+    return files("*.md", "text").join(files("*.json", "meta"), ["folder", "doc"], "left")
 
 
 def visible_columns(df: DataFrame, internal: bool = False) -> DataFrame:
@@ -86,14 +89,22 @@ def zip_tables(tables: dict[str, DataFrame], max_rows: int = 1_000_000) -> bytes
     return buffer.getvalue()
 
 
-def manifest(path: str, data: dict) -> None:
-    """A small JSON file on a local disk, written whole or not at all."""
-    import os
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file on any storage, written beside the target and moved there whole."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, part = make(path), make(path + ".part")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"could not move {path}.part")
+
 
-    part = path + ".part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(data, f, ensure_ascii=False, indent=1)
-    os.replace(part, path)
+def manifest(spark: SparkSession, path: str, data: dict) -> None:
+    """A small JSON file, written whole or not at all."""
+    write_file(spark, path, json.dumps(data, ensure_ascii=False, indent=1).encode())
 
 
 def join_path(*parts: str) -> str:

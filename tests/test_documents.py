@@ -213,11 +213,15 @@ def test_sinks(spark, tmp_path):
     files.write_json_lines(df, str(tmp_path / "j"))
     files.write_json_lines(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 1
-    files.manifest(str(tmp_path / "m.json"), {"a": 1})
+    files.manifest(spark, (tmp_path / "m.json").as_uri(), {"a": 1})
+    assert (tmp_path / "m.json").read_text() == '{\n "a": 1\n}'
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "doc.md").write_text("# T")
     (tmp_path / "x" / "doc.json").write_text("{}")
-    assert tuple(files.read_extractions(spark, (tmp_path / "x").as_uri()).first()) == ("doc", "# T", "{}")
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "doc.md").write_text("# U")
+    found = {(r["folder"].rpartition("/")[2], r["doc"], r["text"], r["meta"]) for r in files.read_extractions(spark, tmp_path.as_uri()).collect()}
+    assert found == {("x", "doc", "# T", "{}"), ("y", "doc", "# U", None)}
 
 
 def test_sql_surface(spark):
