@@ -430,7 +430,7 @@ def word_facts(pages: DataFrame) -> tuple[DataFrame, int]:
         F.collect_set(F.when(misread, F.struct("guess", "guess_n", "edits"))).alias("readings"),
         F.collect_list(F.when(parted, F.struct(F.length("guess").alias("at"), "guess_n", "rest_n"))).alias("splits"),
     )
-    plain = (F.size("readings") == 0) & (F.size("splits") == 0) & (F.col("asked") == 0)
+    plain = (F.size("readings") == 0) & (F.size("splits") == 0)
     common = plain & (F.col("n") >= F.greatest(F.lit(3.0), F.lit(COMMON * total)))
     return found.select("word", "n", (F.col("n") + F.col("asked")).alias("n_rows"), "readings", "splits", common.alias("common")), total
 
