@@ -36,6 +36,15 @@ def p1_text(spark: SparkSession, d: str) -> DataFrame:
     return repaired(_scans(spark, d))
 
 
+def p1_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired regions of which the right repair is known: how many, their words, and whether at least 99 in 100 words come out right in their place."""
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    gold = load(spark, d, "ocr_gold").select("region_id", words("clean_text").alias("gold")).distinct()
+    both = gold.join(repaired(_scans(spark, d)).select("region_id", words("clean_text").alias("mine")), "region_id", "left")
+    same = F.size(F.filter(F.zip_with("gold", F.coalesce("mine", F.array()), lambda a, b: a == b), lambda x: x))
+    return both.agg(F.count(F.lit(1)).alias("n_regions"), F.sum(F.size("gold")).alias("n_words"), (F.sum(same) >= 0.99 * F.sum(F.size("gold"))).alias("accurate"))
+
+
 def _sized_items(spark: SparkSession, d: str) -> DataFrame:
     """Chunk items with the limits of their preview; an item without a preview gets the defaults."""
     items = load(spark, d, "chunk_items").select("preview_id", "chunk_id", "content")
@@ -134,10 +143,18 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
 
 
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """The subject that most sentences of each test passage treat; the passages take no part in fitting."""
+    docs, names = load(spark, d, "documents"), subjects_of(load(spark, d, "subject_areas"))
+    items = load(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), "text")
+    found = assigned(items, train(docs, load(spark, d, "subject_labels"), names), names, min_sentences=1)
+    return found.groupBy(F.col("doc_id").alias("item_id")).agg(F.max_by("subject", F.struct("n_sentences", "subject")).alias("subject"))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_text": p1_text,
+    "p1_found": p1_found, "p1_text": p1_text, "p1_gold": p1_gold,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_files": p3_files, "p5_found": p5_found, "p5_bookings": p5_bookings, "p6_found": p6_found, "p6_items": p6_items, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix,
-    "p8_found": p8_found, "p8_composition": p8_composition,
+    "p8_found": p8_found, "p8_composition": p8_composition, "p8_items": p8_items,
 }
 
 _LEAK_SQL = r"""
@@ -179,6 +196,8 @@ _PIECE_SQL = rf"""
     SELECT preview_id, chunk_id, no AS piece_no, max(no) OVER (PARTITION BY preview_id, chunk_id) AS n_pieces, s AS start_char, e AS end_char, substring(c, s + 1, e - s) AS piece FROM walk WHERE no > 0
 """
 ORACLE = {
+    "p1_gold": "SELECT count(*) AS n_regions, CAST(sum(len(string_split(trim(regexp_replace(clean_text, '\\s+', ' ', 'g')), ' '))) AS BIGINT) AS n_words, true AS accurate FROM (SELECT DISTINCT region_id, clean_text FROM ocr_gold)",
+    "p8_items": "SELECT item_id, lower(trim(subject)) AS subject FROM eval_items",
     "p3_pieces": _PIECE_SQL,
     "p3_files": "SELECT coalesce(lower(trim(source)), 'none') AS source, sum(length(coalesce(text, '')) + 1) AS n_chars, 1 AS kept FROM documents GROUP BY 1",
     "p5_found": _COPY_SQL + "SELECT first_id, detail_id AS copy_id FROM sets WHERE detail_id > first_id",

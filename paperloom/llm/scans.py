@@ -65,6 +65,8 @@ COMMON = 1e-5
 _NUMBER = re.compile(r"[0-9lIiOoSsBbgZz|]{1,4}|[ivxlcdmIVXLCDM1]{1,7}")
 _ROMAN = re.compile(r"[ivxlcdm1]+|[IVXLCDM1]+")
 _BARE = re.compile(r"[0-9lIOSBgi|]{1,4}|[ivxl]{1,6}")
+_FRAMED = re.compile(r"[-—–]\s*(\S+)\s*[-—–]|\[(\S+)\]")
+_GAP = re.compile(r"\||\s\s")
 _DIGITS = str.maketrans("lIi|OoSsBbgZz", "1111005588922")
 _SINGLE = str.maketrans({"@": "a", "c": "e", "f": "t", "l": "i", "1": "i", "5": "s", "0": "o", "9": "g", "6": "b", "8": "b", "$": "s", "þ": "p", "ﬁ": "t"})
 _DOUBLE = (("vv", "w"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("lc", "k"), ("cl", "d"), ("li", "h"))
@@ -88,11 +90,13 @@ def _is_number(t: str) -> bool:
 def page_number(line: str) -> tuple[str, bool] | None:
     """The number of a line that is a page number and nothing else, and whether it stands bare."""
     x = line.strip()
-    m = re.fullmatch(r"[-—–]\s*(\S+)\s*[-—–]|\[(\S+)\]", x)
+    t = x.split()
+    if len(t) > 4:
+        return None
+    m = _FRAMED.fullmatch(x)
     if m:
         n = m.group(1) or m.group(2)
         return (n, False) if _is_number(n) else None
-    t = x.split()
     if len(t) == 1:
         return (t[0], True) if _BARE.fullmatch(t[0]) else None
     if len(t) == 3 and t[1] == "/" and _is_number(t[0]) and _is_number(t[2]):
@@ -105,6 +109,8 @@ def page_number(line: str) -> tuple[str, bool] | None:
 def title_of(line: str) -> tuple[str, str | None]:
     """The line without a page number set beside it, and that number."""
     x = line.strip()
+    if not _GAP.search(x):
+        return x, None
     m = re.fullmatch(r"(\S+)\s*\|\s*(.+)", x)
     if m and _is_number(m.group(1)):
         return m.group(2), m.group(1)
@@ -117,12 +123,15 @@ def title_of(line: str) -> tuple[str, str | None]:
     return x, None
 
 
+_NO_TITLE_END = ".,;:!?)" + HYPHENS
+
+
 def like_title(x: str) -> bool:
     """Whether every word begins like a name and no sentence ends here."""
     t = x.split()
-    if not 1 <= len(t) <= 12 or x.rstrip()[-1] in ".,;:!?)" + HYPHENS or fold(t[0]) in _HEADING:
+    if not t or x.rstrip()[-1] in _NO_TITLE_END or any(w[0].islower() for w in t) or fold(t[0]) in _HEADING:
         return False
-    return all(not w[0].islower() for w in t) and any(c.isalpha() for c in x) and not re.fullmatch(r"[\d.,\s-]+", x)
+    return any(c.isalpha() for c in x) and not re.fullmatch(r"[\d.,\s-]+", x)
 
 
 def _value(number: str) -> int | None:
