@@ -39,8 +39,8 @@ def strip(c: Column) -> Column:
 
 def clean_cell(c: Column | str) -> Column:
     """Runs of white space become one blank; emphasis marks at the ends are taken off."""
-    flat = strip(F.regexp_replace(_col(c), f"{_SPACE}+", " "))
-    return strip(F.regexp_replace(flat, r"^[*_]+|[*_]+$", ""))
+    flat = F.trim(F.regexp_replace(_col(c), f"{_SPACE}+", " "))  # only blanks are left to trim
+    return F.trim(F.regexp_replace(flat, r"^[*_]+|[*_]+$", ""))
 
 
 def sanitize_identifier(c: Column | str) -> Column:
@@ -54,26 +54,27 @@ def parse_number(c: Column | str) -> Column:
     """A double from text with either decimal convention, currency signs and bracketed negatives; null if there is none.
 
     The later of two kinds of separator is the decimal one; one kind alone parts thousands if exactly
-    three digits follow the last. Everything but digits and separators is dropped first.
+    three digits follow the last. Everything but digits and separators is dropped first. What is
+    named several times below is computed once, as a common subexpression of the generated code.
     """
-
-    def read(x: Column) -> Column:
-        plain = let(F.regexp_replace(x, r"[^0-9.,]", ""), _plain_number)
-        value = let(plain, lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p.try_cast("double")))
-        negative = (x.startswith("(") & x.endswith(")")) | x.startswith("-")
-        return F.when(~x.isin(*NULL_TOKENS) & (x != ""), F.when(negative, -value).otherwise(value))
-
-    return let(clean_cell(c), read)
-
-
-def _plain_number(digits: Column) -> Column:
-    dot_last = F.length(F.substring_index(digits, ".", -1)) < F.length(F.substring_index(digits, ",", -1))
-    thousands = digits.rlike(r"\d.*[.,][^.,]{3}$")
-    return (
-        F.when(digits.contains(".") & digits.contains(","), F.when(dot_last, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.translate(digits, ",.", ".")))
-        .when(thousands, F.regexp_replace(digits, "[.,]", ""))
-        .otherwise(F.regexp_replace(digits, r"^(.*)[.,]([^.,]*)$", "$1.$2"))
-    )
+    x = clean_cell(c)
+    digits = F.regexp_replace(x, r"[^0-9.,]", "")
+    dotted = F.translate(digits, ",", ".")
+    after = F.length(F.substring_index(dotted, ".", -1))
+    whole = F.replace(dotted, F.lit("."), F.lit(""))
+    parted = F.contains(dotted, F.lit("."))
+    both = digits.contains(".") & digits.contains(",")
+    # Digits before the last separator: all but those after it.
+    thousands = ~both & (after == 3) & (F.length(whole) > 3)
+    at = F.length(whole) - after
+    plain = F.when(~parted, whole).when(thousands, whole).otherwise(F.concat(F.substring(whole, F.lit(1), at), F.lit("."), F.substring(whole, at + 1, after)))
+    # With one kind of separator all but the last must be none; with both, those of the other kind part thousands.
+    last_kind = F.when(F.length(F.substring_index(digits, ".", -1)) < F.length(F.substring_index(digits, ",", -1)), ".").otherwise(",")
+    decimals = F.length(digits) - F.length(F.replace(digits, last_kind, F.lit("")))
+    single = F.when(both, decimals == 1).otherwise(~parted | thousands | (F.length(dotted) - F.length(whole) == 1))
+    good = single & (whole != "") & (~parted | thousands | ((after > 0) & (at > 0)))
+    negative = (x.startswith("(") & x.endswith(")")) | x.startswith("-")
+    return F.when(good & ~x.isin(*NULL_TOKENS) & (x != ""), plain.try_cast("double") * F.when(negative, -1.0).otherwise(1.0))
 
 
 def parse_date(c: Column | str) -> Column:

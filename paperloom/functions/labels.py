@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.cells import let, strip
 
-# Layout labels by kind.
-REGION_KINDS = {
-    "title": ("doc_title", "document_title", "title"),
-    "section": ("paragraph_title", "section_title", "section_header", "heading"),
-    "authors": ("author", "authors"),
-    "list": ("list", "list_item"),
-    "caption": ("caption", "figure_title", "image_caption", "chart_title", "table_title"),
-    "footnote": ("footnote", "vision_footnote"),
-}
-REGION_KINDS_AFTER = {
-    "figure": ("image", "figure", "chart", "seal"),
-    "header": ("header", "page_header"),
-    "footer": ("footer", "page_footer", "page_number"),
-    "text": ("text", "paragraph", "content", "abstract", "aside_text", "reference"),
-}
+# Layout labels by kind, in the order in which they are tried; a text alone is a part of the label.
+REGION_RULES = (
+    ("title", ("doc_title", "document_title", "title")),
+    ("section", ("paragraph_title", "section_title", "section_header", "heading")),
+    ("authors", ("author", "authors")),
+    ("list", ("list", "list_item")),
+    ("caption", ("caption", "figure_title", "image_caption", "chart_title", "table_title")),
+    ("footnote", ("footnote", "vision_footnote")),
+    ("formula", "formula"),
+    ("table", "table"),
+    ("figure", ("image", "figure", "chart", "seal")),
+    ("header", ("header", "page_header")),
+    ("footer", ("footer", "page_footer", "page_number")),
+    ("text", ("text", "paragraph", "content", "abstract", "aside_text", "reference")),
+)
 # Names under which document styles are asked for.
 SPEC_ALIASES = {
     "plain": (
@@ -70,11 +70,9 @@ def layout_kind(label: Column) -> Column:
     """The kind of a layout region by its label."""
     x = F.regexp_replace(F.lower(F.trim(label)), "[- ]", "_")
     out = None
-    for kind, names in REGION_KINDS.items():
-        out = F.when(x.isin(*names), kind) if out is None else out.when(x.isin(*names), kind)
-    out = out.when(x.contains("formula"), "formula").when(x.contains("table"), "table")
-    for kind, names in REGION_KINDS_AFTER.items():
-        out = out.when(x.isin(*names), kind)
+    for kind, names in REGION_RULES:
+        hit = x.contains(names) if isinstance(names, str) else x.isin(*names)
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("unknown")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.labels import ACTIVE, FAILED, batch_state
-from paperloom.operators.skew import running_total
+from paperloom.operators.skew import ranked, running_total
 
 
 def folder_summary(files: DataFrame, folder: str, name: str) -> DataFrame:
@@ -24,8 +24,8 @@ def folder_summary(files: DataFrame, folder: str, name: str) -> DataFrame:
     return maps.join(names, folder)
 
 
-def find_files(files: DataFrame, name: str, query: str, limit: int) -> DataFrame:
-    """Files whose name holds a text or fits a pattern with * and ?, the first in order."""
+def find_files(files: DataFrame, name: str, query: str, limit: int | None = None) -> DataFrame:
+    """Files whose name holds a text or fits a pattern with * and ?, with a limit the first in order."""
     import re as _re
 
     low = F.lower(F.col(name))
@@ -34,7 +34,8 @@ def find_files(files: DataFrame, name: str, query: str, limit: int) -> DataFrame
         hit = low.rlike(f"^{pattern}$")
     else:
         hit = low.contains(query.lower())
-    return files.where(hit).orderBy(name).limit(limit)
+    found = files.where(hit)
+    return found if limit is None else found.orderBy(name).limit(limit)
 
 
 def indices_of(text: str) -> list[tuple[int, int]]:
@@ -52,11 +53,10 @@ def select_batch(files: DataFrame, folder: str, name: str, pattern: str | None =
     """Files narrowed by name, by their 1-based place in the whole list, to the first of each folder, to the first of all."""
     x = files
     if pattern:
-        x = find_files(x, name, pattern, 2_147_483_647)
+        x = find_files(x, name, pattern)
     if indices:
         hit = F.lit(False)
-        place = F.row_number().over(Window.orderBy(folder, name))  # a place in the whole list is global by definition
-        x = x.withColumn("_i", place)
+        x = ranked(x, folder, name, out="_i")
         for lo, hi in indices_of(indices):
             hit = hit | F.col("_i").between(lo, hi)
         x = x.where(hit).drop("_i")
@@ -125,8 +125,7 @@ def unreferenced(outputs: DataFrame, references: DataFrame, key: str) -> DataFra
 
 def queue_order(queued: DataFrame, position: str, key: str) -> DataFrame:
     """Jobs with how many run before them; ties go by key. One queue is one order, by definition."""
-    w = Window.orderBy(position, key).rowsBetween(Window.unboundedPreceding, -1)
-    return queued.withColumn("ahead", F.count(F.lit(1)).over(w))
+    return ranked(queued, position, key, out="_place").withColumn("ahead", F.col("_place") - 1).drop("_place")
 
 
 def prioritise(queued: DataFrame, position: str, first: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.operators.skew import previous_value, ranked
 from paperloom.session import cut
 
 SPLITS = ("train", "train", "train", "validation", "test")
@@ -36,9 +37,8 @@ def upsert(log: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def previous_release(releases: DataFrame) -> DataFrame:
     """Every release with the version of the one before, what a rollback returns to."""
-    from pyspark.sql.window import Window
-
-    return releases.withColumn("previous_version", F.lag("version").over(Window.orderBy("id")))
+    one = releases.withColumn("_log", F.lit(0))
+    return previous_value(one, "_log", "id", F.col("version"), "previous_version").drop("_log")
 
 
 def _parts(text: str) -> tuple[str, list[tuple[str, ...]]]:
@@ -130,21 +130,13 @@ def tail_split(roots: DataFrame) -> DataFrame:
 
     Fewer than six components are refused. Counting is by range, so the components are sorted once.
     """
-    from pyspark.sql.window import Window
-
     distinct = roots.select("root").distinct()
     k = distinct.count()
     if k < 6:
         raise ValueError(f"only {k} independent groups; at least 6 are needed")
     n = max(1, k // 5)
-    # The last 2n roots are what matters; a bound on the 2n-th largest avoids one window over all.
-    ranked = distinct.withColumn("_b", F.pmod(F.xxhash64("root"), F.lit(64)))
-    w = Window.partitionBy("_b").orderBy(F.desc("root"))
-    local = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2 * n)
-    top = cut(local.orderBy(F.desc("root")).limit(2 * n).select("root"))
-    test = top.orderBy(F.desc("root")).limit(n).select("root", F.lit("test").alias("_s"))
-    both = top.join(test, "root", "left").select("root", F.coalesce("_s", F.lit("validation")).alias("_s"))
-    return distinct.join(both, "root", "left").select("root", F.coalesce("_s", F.lit("train")).alias("split"))
+    place = ranked(distinct, F.desc("root"), out="_place")
+    return place.select("root", F.when(F.col("_place") <= n, "test").when(F.col("_place") <= 2 * n, "validation").otherwise("train").alias("split"))
 
 
 def pinned_conflicts(members: DataFrame, pins: DataFrame, item: str) -> DataFrame:

@@ -51,7 +51,8 @@ def verdict(passed: Column, total: Column) -> Column:
 def verify_ledger(rows: DataFrame, group: str, order: str, expected: DataFrame | None = None, n_columns: int = 1) -> DataFrame:
     """group, row_count, n_breaks, checks, passed, confidence, status of each stored table.
 
-    ``expected`` (group, expected_rows) makes the row count exact; without it any row will do.
+    ``expected`` (group, expected_rows) makes the row count exact; without it any row will do. The third
+    of the four checks, that sums can be computed, holds for every table of numbers, null ones included.
     """
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("row_count"), F.count("debit").alias("nd"), F.count("credit").alias("nc"), F.sum("debit").alias("sd"))
     x = counts.join(continuity(rows, group, order), group, "left")

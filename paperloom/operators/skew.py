@@ -1,4 +1,4 @@
-"""Joins and prefix sums that hold when one key owns a large part of all rows."""
+"""Joins, ranks and prefix sums that hold when one key owns a large part of all rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.session import cut
+
 #: No more keys than this can each own more than 1/MAX_HOT of all rows, so a broadcast
 #: of the hot keys never exceeds MAX_HOT small rows, whatever the size of the data.
 MAX_HOT = 4096
@@ -49,6 +51,21 @@ def salted_join(
     return salted.drop("_salts").join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def ranked(df: DataFrame, *order: Column | str, out: str = "rank", parts: int | None = None) -> DataFrame:
+    """1-based place of each row in one order of all rows, counted range by range.
+
+    Rows are parted by ranges of the order; a range is ranked by itself and begins after the rows of
+    those before it, of which there is one small row per range. ``order`` should tell all rows apart.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))  # written out, so a lost task cannot number them anew
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows
+    first = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_r", inside).join(F.broadcast(first), "_range").withColumn(out, F.col("_r") + F.col("_before")).drop("_range", "_r", "_before")
+
+
 def prefix_sum(df: DataFrame, group: str, order: Column, amount: str, out: str, buckets: int = 256) -> DataFrame:
     """Exclusive running sum of ``amount`` per group without a window over a whole group.
 

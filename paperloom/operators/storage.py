@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.cells import clean_cell, parse_date, parse_number
+from paperloom.operators.skew import salted_join
+from paperloom.session import cut
 
 
 def typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -93,7 +95,9 @@ def reparent(children: DataFrame, parents: DataFrame, key: str, match: str) -> D
     """Children of merged parents under the parent that stays, the one with the lowest id of those that match."""
     kept = parents.where(F.col(match).isNotNull()).groupBy(match).agg(F.min(key).alias("_to"))
     moved = parents.join(kept, match).where(F.col(key) != F.col("_to")).select(F.col(key), "_to").distinct()
-    return children.join(moved, key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to").select(*children.columns)
+    sizes = children.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    joined = salted_join(children, cut(moved.join(sizes, key)), [key], F.xxhash64(*children.columns), how="left")
+    return joined.withColumn(key, F.coalesce("_to", key)).select(*children.columns)
 
 
 def replace_pages(table: DataFrame, pages: DataFrame, rows: DataFrame, source: str = "_source_doc", page: str = "_page_number") -> DataFrame:
@@ -104,7 +108,9 @@ def replace_pages(table: DataFrame, pages: DataFrame, rows: DataFrame, source: s
 
 def prune_pages(table: DataFrame, limits: DataFrame, source: str = "_source_doc", page: str = "_page_number", last: str = "last_page") -> DataFrame:
     """The table without rows beyond the last page of their document; documents without a limit stay whole."""
-    x = table.join(limits.select(source, F.col(last).alias("_last")), source, "left")
+    sizes = table.groupBy(source).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = cut(limits.select(source, F.col(last).alias("_last")).join(sizes, source))
+    x = salted_join(table, known, [source], F.xxhash64(*table.columns), how="left")
     return x.where(F.col("_last").isNull() | F.col(page).isNull() | (F.col(page) <= F.col("_last"))).select(*table.columns)
 
 

@@ -19,17 +19,18 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
 
     Queries are sent out in blocks of bounded size; each partition keeps its k best per query, so
     what is shuffled is k rows per query and partition. Null vectors and those of length 0 are left
-    out, vectors of another length than the first query's too. Cosines are rounded to nine digits.
+    out, and all whose length is not that of the query with the smallest key. Cosines are rounded to nine digits.
     """
     q = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    first = q.agg(F.min_by(F.size("v"), "key").alias("width")).first()["width"]
+    width = int(first or 0)
+    q = q.where(F.size("v") == width)
     n = q.count()
     blocks = max(1, -(-n // QUERIES_PER_BLOCK))
     source = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     spark, result = rows.sparkSession, None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()
-        width = max((len(r["v"]) for r in part), default=0)
-        part = [r for r in part if len(r["v"]) == width]
         ids = np.array([r["key"] for r in part], dtype=np.int64)
         m = np.array([r["v"] for r in part], dtype=np.float64).reshape(len(part), width)
         shared = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), width))

@@ -161,18 +161,6 @@ def page_traits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def revisions(spark: SparkSession, d: str) -> DataFrame:
-    """Which revised texts pass the guards when a revision doubles, halves or fences the text."""
-    x = load(spark, d, "documents").where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", F.col("text").alias("draft"))
-    forms = F.array(*[F.struct(F.lit(n).alias("form"), t.alias("raw")) for n, t in (
-        ("same", F.col("draft")), ("double", F.concat("draft", F.lit("\n\nX\n\n"), "draft")), ("third", F.expr("substring(draft, 1, length(draft) div 3)")),
-        ("leak", F.concat(F.lit("Mari kita lihat.\n"), "draft")),
-    )])
-    y = x.select("doc_id", "draft", F.explode(forms).alias("f")).select("doc_id", "draft", "f.form", "f.raw")
-    kept = P.accepted_revision(F.col("draft"), F.col("raw")) == F.col("draft")
-    return y.where(F.col("form") != "same").groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("n_draft_kept"))
-
-
 def find_containing(spark: SparkSession, d: str) -> DataFrame:
     """Documents that speak of audits."""
     x = load(spark, d, "documents").where(P.contains_text(F.col("text"), "Audit"))
@@ -205,7 +193,7 @@ QUERIES = {
     "cells_clean": clean_roles, "cells_rupiah": rupiah, "cells_periods": periods, "cells_native_tokens": native_tokens, "cells_column_letters": column_letters,
     "cells_ranges": ranges, "labels_region_kinds": region_kinds, "labels_boxes": box_scaling, "labels_specs": specs, "labels_diagrams": diagram_types,
     "labels_progress": preview_progress, "ordinals_roman": roman_numbers, "pages_split": page_split, "pages_lines": page_lines, "pages_titles": titles,
-    "pages_collapse": collapsed_blocks, "pages_traits": page_traits, "pages_revisions": revisions, "pages_containing": find_containing, "pages_missing": pages_missing,
+    "pages_collapse": collapsed_blocks, "pages_traits": page_traits, "pages_containing": find_containing, "pages_missing": pages_missing,
     "pages_stitched": stitched, "pages_carried": carried_tails,
 }
 

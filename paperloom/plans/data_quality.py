@@ -134,6 +134,8 @@ _DATE_SQL = rf"""
 
 ORACLE = {
     "p4_found": _DATE_SQL + "SELECT DISTINCT tab, rec_id, field, norm_value FROM normal WHERE norm_value IS NOT NULL AND norm_value <> v",
+    "p4_report": _DATE_SQL + """SELECT r.tab, r.field, CASE WHEN n.norm_value IS NULL THEN 'neither' WHEN length(n.norm_value) = 10 THEN 'date' ELSE 'instant' END AS kind, count(*) AS n_values, count(*) FILTER (n.norm_value = r.v) AS n_already
+        FROM raw r JOIN normal n ON r.tab = n.tab AND r.rec_id = n.rec_id AND r.field = n.field AND r.v = n.v GROUP BY ALL""",
     "p2_found": _ORPHAN_SQL + "SELECT tab, ingest_month, rec_id FROM found WHERE reason IS NOT NULL",
     "p2_state": _ORPHAN_SQL + """, per_key AS (SELECT header_id, count(*) AS n_rows FROM refs WHERE header_id IS NOT NULL GROUP BY header_id)
         SELECT p.header_id AS key, p.n_rows, CASE WHEN b.header_id IS NULL THEN 'missing' ELSE 'deleted' END AS reason

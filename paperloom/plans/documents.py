@@ -136,11 +136,6 @@ def clause_open(spark: SparkSession, d: str) -> DataFrame:
     return H.open_path(_events(spark, d)).select("doc", "kind", "ordinal", "depth")
 
 
-def clause_text(spark: SparkSession, d: str) -> DataFrame:
-    """The size of each document rendered from its clauses."""
-    return H.render(_events(spark, d)).select("doc", F.size(F.split("text", "\n")).alias("n_lines"))
-
-
 def amounts_crossed(spark: SparkSession, d: str) -> DataFrame:
     """Orders whose items do not add up to the stated total."""
     li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount")) * 100).cast("long")).alias("items"), F.count(F.lit(1)).alias("n"))
@@ -170,8 +165,8 @@ def split_by_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_tail(spark: SparkSession, d: str) -> DataFrame:
-    """The split by sorted groups."""
-    return N.tail_split(load(spark, d, "nation").select(F.col("n_nationkey").alias("root"))).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("first"), F.max("root").alias("last"))
+    """The split by sorted groups of documents that share a text."""
+    return N.tail_split(text_classes(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("first"), F.max("root").alias("last"))
 
 
 def ocr_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -253,19 +248,6 @@ def grid_carried(spark: SparkSession, d: str) -> DataFrame:
     return y.select("region_id", "reading_order")
 
 
-def page_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of pages of equal layout by how many regions they have."""
-    x = load(spark, d, "ocr_regions").select("source_doc", "page_number", "region_no").distinct().groupBy("source_doc", "page_number").agg(F.count(F.lit(1)).alias("n"))
-    y = x.select("source_doc", "page_number", F.when(F.col("n") >= 3, "table").otherwise("text").alias("mode"), F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: k / (F.col("n") + 1)).alias("seps"))
-    return V.spans(y, "source_doc", "page_number", "mode", "seps")
-
-
-def page_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Work units of about four pages."""
-    x = load(spark, d, "ocr_regions").select("source_doc", "page_number").distinct()
-    return V.plan_batches(x.withColumn("starts", F.col("page_number") % 3 == 0), "source_doc", "page_number", "starts", 4, 1)
-
-
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 20, against all."""
     e = load(spark, d, "embeddings").select("vec_id", "embedding")
@@ -278,7 +260,7 @@ QUERIES = {
     "clauses_parents": clause_parents, "clauses_audit": clause_audit, "clauses_open": clause_open, "clauses_amounts": amounts_crossed,
     "learning_latest": latest_headers, "learning_classes": text_classes, "learning_split": split_by_hash, "learning_tail": split_tail, "learning_scores": ocr_scores,
     "jobs_folders": folders, "jobs_selected": selected, "jobs_sampled": sampled, "jobs_batches": batches, "jobs_progress": progress_log, "jobs_unreferenced": orphans_on_disk,
-    "jobs_queue": queue, "jobs_names": upload_names, "survey_islands": event_islands, "survey_inherited": grid_carried, 
+    "jobs_queue": queue, "jobs_names": upload_names, "survey_islands": event_islands, "survey_inherited": grid_carried,
     "vectors_nearest": nearest_vectors,
 }
 
@@ -322,7 +304,8 @@ ORACLE = {
         m AS (SELECT root, (CAST('0x' || h[1:8] AS BIGINT) + CAST('0x' || h[9:16] AS BIGINT) + CAST('0x' || h[17:24] AS BIGINT) + CAST('0x' || h[25:32] AS BIGINT) + CAST('0x' || h[33:40] AS BIGINT) + CAST('0x' || h[41:48] AS BIGINT)
             + CAST('0x' || h[49:56] AS BIGINT) + CAST('0x' || h[57:64] AS BIGINT)) % 5 AS k FROM h)
         SELECT ['train', 'train', 'train', 'validation', 'test'][CAST(k + 1 AS INTEGER)] AS split, count(*) AS n_documents, count(DISTINCT root) AS n_groups FROM m GROUP BY 1""",
-    "learning_tail": """WITH r AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey DESC) AS i, greatest(1, count(*) OVER () // 5) AS n FROM nation)
+    "learning_tail": """WITH g AS (SELECT DISTINCT CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS k FROM documents),
+        r AS (SELECT k, row_number() OVER (ORDER BY k DESC) AS i, greatest(1, count(*) OVER () // 5) AS n FROM g)
         SELECT CASE WHEN i <= n THEN 'test' WHEN i <= 2 * n THEN 'validation' ELSE 'train' END AS split, count(*) AS n, min(k) AS first, max(k) AS last FROM r GROUP BY 1""",
     "jobs_folders": """WITH f AS (SELECT DISTINCT coalesce(spec, 'none') AS folder, source_file AS name FROM documents WHERE source_file IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY name) AS k FROM f)
         SELECT folder, count(*) AS total_documents, count(*) FILTER (lower(name) LIKE '%.pdf') AS n_pdf, string_agg(name, ',' ORDER BY name) FILTER (k <= 5) AS samples FROM r GROUP BY folder""",

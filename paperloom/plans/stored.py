@@ -141,7 +141,7 @@ def hash_inserts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upserted_headers(spark: SparkSession, d: str) -> DataFrame:
-    """Headers of the first half of the year brought up to date by the later ones, nulls never overwriting."""
+    """Headers brought up to date by changed copies of themselves: nulls never overwrite, type and number never change once set."""
     cols = ["doc_type", "doc_number", "doc_title", "doc_date", "parties", "currency"]
     h = load(spark, d, "document_headers").select("fingerprint_hash", "updated_at", *cols)
     one = h.groupBy("fingerprint_hash").agg(*[F.min(c).alias(c) for c in cols])
@@ -236,6 +236,14 @@ _TYPES = """
         contains(g, '.') AND NOT regexp_matches(g, '[.]0*$') AND NOT regexp_matches(g, '[0-9].*[.,][^.,]{3}$') AS frac FROM n)"""
 
 ORACLE = {
+    "tables_matched": """
+        WITH names(cat_no, cat_name) AS (VALUES (0, 'document_headers'), (1, 'transaction_details'), (2, 'document_signatories'), (3, 'customer'), (4, 'supplier'), (5, 'orders'), (6, 'lineitem'), (7, 'events'), (8, 'ocr_regions'), (9, 'documents')),
+        c AS (SELECT cat_no, cat_name, column_name AS w, count(*) OVER (PARTITION BY cat_no) AS nb FROM names JOIN information_schema.columns ON table_name = cat_name WHERE NOT starts_with(column_name, '_')),
+        asked(in_id, ws) AS (VALUES ('a', ['header_id', 'txn_date', 'description', 'debit', 'credit', 'saldo']), ('b', ['c_custkey', 'c_name', 'c_phone']), ('c', ['ts', 'user_id', 'event_type', 'value', 'props', 'event_id']), ('d', ['x', 'y'])),
+        i AS (SELECT in_id, len(ws) AS na, unnest(ws) AS w FROM asked),
+        s AS (SELECT in_id, cat_no, cat_name, count(*) / greatest(max(na), max(nb)) AS base, count(*) FILTER (w IN ('date', 'tanggal', 'description', 'keterangan', 'debit', 'kredit', 'credit', 'balance', 'saldo', 'amount', 'nominal')) AS f FROM i JOIN c USING (w) GROUP BY ALL),
+        t AS (SELECT *, CASE WHEN f >= 2 THEN greatest(base, 0.75) ELSE base END AS score FROM s)
+        SELECT in_id, arg_max(cat_name, score * 1000 - cat_no) AS cat_name, round(max(score), 6) AS score FROM t WHERE score >= 0.5 GROUP BY in_id""",
     "tables_markdown_ledgers": """
         SELECT o_custkey, count(*) AS n_rows, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date, max('Pesanan ' || o_orderkey) AS last_text
         FROM orders GROUP BY o_custkey""",
