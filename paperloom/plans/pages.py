@@ -9,6 +9,7 @@ from paperloom import sql as Q
 from paperloom.functions import cells as C
 from paperloom.functions import labels as L
 from paperloom.functions import pagetext as P
+from paperloom.operators import geometry as R
 from paperloom.operators import hierarchy as H
 from paperloom.operators import jobs as J
 from paperloom.operators import learning as N
@@ -260,6 +261,31 @@ def ink(spark: SparkSession, d: str) -> DataFrame:
     return x.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("ink_ratio", "row_energy", "column_energy")])
 
 
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 200 by 502 points with a ruled table; the second column's line moves with the key, every fifth page has no lines down."""
+    k = F.col("s_suppkey")
+    dark, blank = F.lit("00" * 200), F.lit("FF" * 200)
+    at = (70 + 10 * (k % 3)).cast("int")
+    header = F.when(k % 5 == 0, blank).otherwise(F.concat(F.lit("FF" * 20 + "0000"), F.repeat(F.lit("FF"), at - 22), F.lit("0000"), F.repeat(F.lit("FF"), 178 - at), F.lit("0000"), F.lit("FF" * 18)))
+    parts = ((blank, 30), (dark, 2), (header, 28), (dark, 2), (header, 28), (dark, 2), (blank, 308), (dark, 2), (blank, 100))
+    return load(spark, d, "supplier").select("s_suppkey", F.unhex(F.concat(*[F.repeat(c, n) for c, n in parts])).alias("picture"), F.lit(200).alias("width"))
+
+
+def grids(spark: SparkSession, d: str) -> DataFrame:
+    """Where the ruled tables of made-up pages have their columns, header and body."""
+    x = R.survey_pages(_pictures(spark, d), ["s_suppkey"], "picture", "width")
+    return x.select("s_suppkey", "mode", F.array_join(F.transform("separators", lambda v: F.format_string("%.3f", v)), ",").alias("separators"), "header_top", "header_bottom", "body_top", "body_bottom")
+
+
+def row_starts(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers that begin rows: in the first column of the body, neither in the header nor at the foot."""
+    g = R.survey_pages(_pictures(spark, d), ["s_suppkey"], "picture", "width").withColumn("width", F.lit(200))
+    spots = ((30.0, 120.0, "1."), (30.0, 200.0, "lanjut"), (40.0, 300.0, "2a"), (120.0, 150.0, "3"), (30.0, 50.0, "4"), (30.0, 450.0, "SK 5"))
+    words = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(t).alias("text")) for x, y, t in spots])
+    w = load(spark, d, "supplier").select("s_suppkey", F.explode(words).alias("w")).select("s_suppkey", "w.*")
+    return R.row_starts(w, g, ["s_suppkey"], "width").select("s_suppkey", F.array_join("tokens", " ").alias("tokens"))
+
+
 # ---- the SQL surface ----
 
 
@@ -291,7 +317,7 @@ QUERIES = {
     "pages_united": united_pages, "pages_flowing": flowing_pages, "pages_words": folded_words, "pages_catchwords": catchwords, "pages_judged": judged, "pages_described": described, "pages_diagrams": diagram_blocks, "pages_reflowed": reflowed,
     "clauses_amount_audit": amount_audit, "clauses_amount_checks": amount_checks, "clauses_text": clause_text, "clauses_report": clause_report, "learning_scored": scored_pages, "learning_evaluated": evaluated,
     "learning_releases": releases, "jobs_merged": merged_listing, "jobs_summaries": run_summaries, "jobs_active": active_counts, "jobs_uploads": deduped_uploads, "survey_densities": densities, "survey_spans": page_spans,
-    "survey_batches": page_batches, "survey_ink": ink, "sql_guarded": guarded, "sql_asked": asked, "sql_catalog": catalogued,
+    "survey_batches": page_batches, "survey_ink": ink, "survey_grids": grids, "survey_row_starts": row_starts, "sql_guarded": guarded, "sql_asked": asked, "sql_catalog": catalogued,
 }
 
 _N = "chr(10)"
@@ -355,6 +381,9 @@ ORACLE = {
         SELECT doc, CAST(batch AS INTEGER) AS batch, CAST(s AS INTEGER) AS first_page, CAST(e AS INTEGER) AS last_page FROM b WHERE batch > 0""",
     "survey_ink": """WITH x AS (SELECT s_suppkey, s_suppkey % 20 AS k FROM supplier)
         SELECT s_suppkey, round(k * 5 / 200.0, 6) AS ink_ratio, CASE WHEN k = 0 THEN 0.0 ELSE round(1.0 / k, 6) END AS row_energy, CASE WHEN k = 0 THEN 0.0 ELSE 0.2 END AS column_energy FROM x""",
+    "survey_grids": """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'text' ELSE 'table' END AS mode, CASE WHEN mode = 'table' THEN format('{:.3f},{:.3f},{:.3f}', 20 / 200.0, (70 + 10 * (s_suppkey % 3)) / 200.0, 180 / 200.0) END AS separators,
+        CASE WHEN mode = 'table' THEN 30 END AS header_top, CASE WHEN mode = 'table' THEN 90 END AS header_bottom, CASE WHEN mode = 'table' THEN 110 END AS body_top, CASE WHEN mode = 'table' THEN 380 END AS body_bottom FROM supplier""",
+    "survey_row_starts": "SELECT s_suppkey, '1. 2a' AS tokens FROM supplier WHERE s_suppkey % 5 <> 0",
     "sql_guarded": "SELECT n_nationkey, n_nationkey % 5 IN (0, 3) AS taken FROM nation",
     "sql_asked": "SELECT s_suppkey AS id, s_nationkey * 1000 + 0.5 AS n, s_name AS name, 'no_' || s_suppkey AS ident, '2024-04-03' AS day FROM supplier WHERE s_suppkey > 5 ORDER BY s_suppkey LIMIT 60",
     "sql_catalog": "SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('nation', 'supplier')",
