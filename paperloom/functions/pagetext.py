@@ -254,6 +254,17 @@ def carried_tail(content: str, key: str, number: str, n: int = 400) -> Column:
     return F.lag(F.substring(F.col(content), -n, n)).over(Window.partitionBy(key).orderBy(number))
 
 
+def page_batches(pages: DataFrame, key: str, number: str, content: str, size: int = 10, tail: int = 400) -> DataFrame:
+    """key, batch, first_page, last_page, context: runs of ``size`` pages by number, each with the end of the last page before it.
+
+    The end of a batch's last page is taken while batches are made, so only one small row per batch is put in order.
+    """
+    batch = F.floor((F.col(number) - 1) / size).cast("int")
+    end = F.substring(F.col(content), -tail, tail)
+    g = pages.groupBy(key, batch.alias("batch")).agg(F.min(number).alias("first_page"), F.max(number).alias("last_page"), F.max_by(end, number).alias("_end"))
+    return g.withColumn("context", F.lag("_end").over(Window.partitionBy(key).orderBy("batch"))).drop("_end")
+
+
 def catchword_missing(catchword: Column, head: Column) -> Column:
     """Whether neither end of the catchword occurs where the next page begins."""
     words = F.filter(F.split(F.regexp_replace(F.lower(catchword), r"(?U)[^\w\s]", " "), r"\s+"), lambda w: w != "")

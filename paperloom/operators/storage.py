@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions.cells import clean_cell, parse_date, parse_number
+from paperloom.functions.cells import clean_cell, parse_date, parse_number, sanitize_identifier
 from paperloom.operators.skew import salted_join
 from paperloom.session import cut
 
@@ -24,13 +24,26 @@ def typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
     """Text columns read by their type: REAL and NUMERIC as doubles, DATE as ISO text (else the cleaned text), TEXT cleaned."""
 
     def read(c: str, t: str) -> Column:
-        if t in ("REAL", "NUMERIC"):
+        if t in ("REAL", "NUMERIC", "INTEGER"):
             return parse_number(c)
         return F.coalesce(parse_date(c), clean_cell(c)) if t == "DATE" else clean_cell(c)
 
     return rows.withColumns({c: read(c, t) for c, t in types.items()})
 
 
+def ingest(tables: DataFrame, keys: list[str], columns: dict[str, str], source: str, page: str) -> DataFrame:
+    """Rows of parsed tables under the columns of a stored one, typed, with _source_doc and _page_number.
+
+    A column takes the cells under the header of its name (of several the last), else those at its own
+    place, else nothing. ``tables`` have headers and rows as ``tables.markdown_tables`` gives them.
+    """
+    x = tables.withColumn("_ids", F.transform("headers", sanitize_identifier))
+    x = x.select(*keys, F.col(source).alias("_source_doc"), F.col(page).cast("int").alias("_page_number"), "_ids", F.explode("rows").alias("_r"))
+    place = lambda c, k: F.coalesce(F.nullif(F.size("_ids") - F.array_position(F.reverse("_ids"), c), F.size("_ids")), F.lit(k))
+    raw = x.select(*keys, "_source_doc", "_page_number", *[F.coalesce(F.get("_r", place(c, k).cast("int")), F.lit("")).alias(c) for k, c in enumerate(columns)])
+    return typed(raw, columns)
+
+
 def evolve(table: DataFrame, rows: DataFrame) -> DataFrame:
     """The table and new rows under the columns of both; missing values are null."""
     return table.unionByName(rows, allowMissingColumns=True)

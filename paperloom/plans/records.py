@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.pagetext import page_batches
 from paperloom.operators import ledger as G
 from paperloom.operators import storage as S
 from paperloom.operators import tables as T
@@ -89,6 +90,15 @@ def signatory_hashes(spark: SparkSession, d: str) -> DataFrame:
     return S.insert_new(x.where("signatory_id % 2 = 0"), x.where("signatory_id % 2 = 1"), "row_hash").groupBy("row_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of pages stored under one schema, by header or by place, and every third page stored again with a changed row."""
+    k = F.col("s_suppkey").cast("string")
+    row = lambda amount: F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("| Saldo | Nama |\n|---|---|\n| Rp "), amount, F.lit(",50 | **"), "s_name", F.lit("** |"))).otherwise(F.concat(F.lit("| x | y |\n|---|---|\n| "), "s_name", F.lit(" | "), amount, F.lit(",50 |")))
+    pages = load(spark, d, "supplier").select(F.lit("a.pdf").alias("doc"), F.col("s_suppkey").alias("page"), row(k).alias("text"), row(F.concat(F.lit("9"), k)).alias("again"))
+    stored = lambda x, c: S.ingest(T.markdown_tables(x, ["doc", "page"], c), [], {"nama": "TEXT", "saldo": "REAL"}, "doc", "page")
+    return S.replace_pages(stored(pages, "text"), pages.where("page % 3 = 0").select(F.col("doc").alias("_source_doc"), F.col("page").cast("int").alias("_page_number")), stored(pages.where("page % 3 = 0"), "again"))
+
+
 def statements(spark: SparkSession, d: str) -> DataFrame:
     """A table as SQL: how it is made and what fills it."""
     n = load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -187,6 +197,26 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     return _in_folder(spark, use)
 
 
+def cleaned_files(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of written outputs after those of one document are deleted."""
+
+    def use(folder: str) -> DataFrame:
+        for r in load(spark, d, "region").collect():
+            for ending in (".txt", ".json", "-2.txt"):
+                W.write_file(spark, f"{folder}/dok{r['r_regionkey']}{ending}", b"x")
+        gone = W.clean_outputs(spark, folder, "dok1")
+        left = W.document_files(spark, folder, (".txt", ".json"))
+        return left.select("name", F.lit(gone).alias("n_deleted"))
+
+    return _in_folder(spark, use)
+
+
+def batched_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk items in batches of three, each with the end of what came before."""
+    x = load(spark, d, "chunk_items").select("preview_id", "chunk_id", "content").distinct()
+    return page_batches(x, "preview_id", "chunk_id", "content", 3, 50)
+
+
 _SHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _SLIDE = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _RELATIONS = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -281,7 +311,7 @@ def appended_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "tables_html": html_tables, "tables_tagged": tagged_tables, "tables_routed": routed_tables, "tables_headers": full_headers, "ledger_canonical": canonical_differences, "store_signatories": signatory_hashes,
-    "store_statements": statements, "store_samples": samples, "store_versions": versions, "files_csv": csv_files, "files_zip": zipped_files, "files_listed": listed_files, "files_unchanged": unchanged_files,
+    "store_statements": statements, "store_ingested": ingested, "files_cleaned": cleaned_files, "pages_batched": batched_pages, "store_samples": samples, "store_versions": versions, "files_csv": csv_files, "files_zip": zipped_files, "files_listed": listed_files, "files_unchanged": unchanged_files,
     "files_extractions": extractions, "files_manifest": manifests, "files_workbooks": workbook_files, "files_slides": slide_files, "streams_progress": streamed_progress, "streams_visible": visible_pages, "streams_appended": appended_pages,
 }
 
@@ -299,6 +329,10 @@ ORACLE = {
         SELECT row_hash, greatest(count(*) FILTER (signatory_id % 2 = 0), 1) AS n FROM h GROUP BY row_hash""",
     "store_statements": """SELECT 'CREATE TABLE "nation" ("n_nationkey" INTEGER, "n_name" TEXT, "n_regionkey" INTEGER);' AS statement
         UNION ALL SELECT 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || n_name || '''''s'', ' || n_regionkey || ');' FROM nation""",
+    "store_ingested": "SELECT s_name AS nama, CAST(CASE WHEN s_suppkey % 3 = 0 THEN '9' ELSE '' END || s_suppkey AS DOUBLE) + 0.5 AS saldo, 'a.pdf' AS _source_doc, s_suppkey AS _page_number FROM supplier",
+    "files_cleaned": "SELECT 'dok' || r_regionkey || e AS name, 2 AS n_deleted FROM region, (VALUES ('.txt'), ('.json'), ('-2.txt')) v(e) WHERE r_regionkey <> 1 OR e = '-2.txt'",
+    "pages_batched": """WITH x AS (SELECT DISTINCT preview_id, chunk_id, content FROM chunk_items), g AS (SELECT preview_id, (chunk_id - 1) // 3 AS batch, min(chunk_id) AS first_page, max(chunk_id) AS last_page, arg_max(right(content, 50), chunk_id) AS e FROM x GROUP BY ALL)
+        SELECT preview_id, batch, first_page, last_page, lag(e) OVER (PARTITION BY preview_id ORDER BY batch) AS context FROM g""",
     "store_samples": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 5",
     "store_versions": "SELECT 'nation' AS table_name, n_nationkey AS key FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'supplier', s_suppkey FROM supplier",
     "files_csv": "SELECT CAST(COLUMNS(*) AS VARCHAR) FROM supplier",

@@ -102,6 +102,18 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"could not move {path}.part")
 
 
+def clean_outputs(spark: SparkSession, root: str, doc: str | None = None) -> int:
+    """Delete the outputs of one document (files named like it, whatever their ending), or of all; how many were deleted. Other files stay."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = 0
+    for found in fs.globStatus(make(f"{root}/*")) or []:
+        name = found.getPath().getName()
+        if doc is None or name == doc or name.rpartition(".")[0] == doc:
+            gone += bool(fs.delete(found.getPath(), True))
+    return gone
+
+
 def manifest(spark: SparkSession, path: str, data: dict) -> None:
     """A small JSON file, written whole or not at all."""
     write_file(spark, path, json.dumps(data, ensure_ascii=False, indent=1).encode())
