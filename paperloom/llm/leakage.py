@@ -39,7 +39,7 @@ FEATURES, RANK, OVERSAMPLE = 1 << 15, 40, 8
 #: Words of a passage, in the decomposition and in the search for reworded items; of the latter one begins every PASSAGE_STRIDE words, the items' every ITEM_STRIDE.
 PASSAGE, PASSAGE_STRIDE, ITEM_STRIDE = 32, 16, 4
 #: The least cosine of a near window, and of a near passage.
-COSINE, PASSAGE_COSINE = 0.95, 0.85
+COSINE, PASSAGE_COSINE = 0.95, 0.9
 #: Cells searched for a window and for a passage. An equal window always lies in the nearest one.
 WINDOW_PROBES, PASSAGE_PROBES = 1, 16
 #: The least part of a passage's words that a reworded copy has in order, and of its rarest quarter that it has at all.

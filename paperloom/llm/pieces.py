@@ -317,7 +317,7 @@ def file_ranges(spark: SparkSession, folder: str, pattern: str = "*", range_byte
         files.where("length > 0").select("path", F.col("length").alias("file_bytes"))
         .withColumn("range_no", F.explode(F.sequence(F.lit(0), F.ceil(F.col("file_bytes") / step).cast("int") - 1)))
         .select("path", "file_bytes", "range_no", (F.col("range_no") * step).alias("from_byte"), F.least("file_bytes", (F.col("range_no") + 1) * step).alias("to_byte"))
-        .repartition("path", "range_no")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "range_no")  # a stated number is not coalesced
     )
 
 

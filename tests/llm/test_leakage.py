@@ -164,6 +164,6 @@ def test_search_against_brute_force():
     changed = ix.tokens.copy()
     changed[::7] = rng.integers(0, 400, len(changed[::7]))
     queries = L._vectors(changed, ix.starts, ix.ends, L.PASSAGE, idf, basis)
-    near = int((queries @ ix.vectors.T >= L.PASSAGE_COSINE).sum())
-    q, w, _ = ix.search(queries, L.PASSAGE_COSINE, L.PASSAGE_PROBES)
+    near = int((queries @ ix.vectors.T >= 0.85).sum())
+    q, w, _ = ix.search(queries, 0.85, L.PASSAGE_PROBES)
     assert len({*zip(q.tolist(), w.tolist())}) == len(q) and len(q) >= 0.9 * near > 300
