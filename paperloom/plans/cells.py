@@ -56,10 +56,10 @@ def clean_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rupiah(spark: SparkSession, d: str) -> DataFrame:
-    """Rupiah amounts in sentences, positive and in brackets, per return flag."""
+    """Rupiah amounts in sentences, positive and in brackets."""
     v = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
     text = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("sebesar Rp. ("), v, F.lit(") per unit"))).otherwise(F.concat(F.lit("sebesar Rp "), v, F.lit(" per unit")))
-    return load(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(_cents(C.parse_rupiah(text)).alias("total_cents"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", F.round(C.parse_rupiah(text) * 100).cast("long").alias("cents"))
 
 
 def periods(spark: SparkSession, d: str) -> DataFrame:
@@ -109,9 +109,11 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diagram_types(spark: SparkSession, d: str) -> DataFrame:
-    """Part types read as diagram names, and which may become code."""
-    a = L.diagram_advice(F.col("p_type"))
-    return load(spark, d, "part").groupBy(a["diagram_type"].alias("diagram_type"), a["is_mermaid_compatible"].alias("as_code")).agg(F.count(F.lit(1)).alias("n_parts"))
+    """Names of diagrams made from part names, by type, and which may become code."""
+    words = ("Pin layout", "memory", "Work-Flow", "Arsitektur block", "sequence diagram", "skema", "timing", "mindmap", "swimlane", "x", "", "Register pin")
+    name = F.concat(F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % 12 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(""))
+    a = L.diagram_advice(name)
+    return load(spark, d, "part").select("p_partkey", a["diagram_type"].alias("diagram_type"), a["recommended_format"].alias("advised"), a["is_mermaid_compatible"].alias("as_code"))
 
 
 def preview_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +139,7 @@ def page_split(spark: SparkSession, d: str) -> DataFrame:
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of scanned text that hold no page number."""
     x = load(spark, d, "ocr_regions").where(F.col("text").isNotNull()).select("region_id", "text").distinct()
-    return x.select("region_id", F.size(F.split("text", "\n")).alias("n_lines"), F.length(P.drop_page_lines(F.col("text"))).alias("n_kept_chars"))
+    return x.select("region_id", F.size(F.split("text", "\n")).alias("n_lines"), P.drop_page_lines(F.col("text")).alias("kept"))
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,7 @@ def collapsed_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Scanned regions written twice, with the repeat collapsed."""
     x = load(spark, d, "ocr_regions").where(F.col("text").isNotNull() & (F.trim("text") != "")).select("region_id", "text").distinct()
     twice = F.concat("text", F.lit("\n\n"), "text", F.lit("\n\nend\n\n"), "text")
-    return x.select("region_id", F.length(P.collapse_blocks(twice)).alias("n_chars"))
+    return x.select("region_id", P.collapse_blocks(twice).alias("text"))
 
 
 def page_traits(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +180,7 @@ def stitched(spark: SparkSession, d: str) -> DataFrame:
     """Chunk items joined in order as pages of their preview."""
     x = load(spark, d, "chunk_items").select("preview_id", "chunk_id", "content").distinct()
     s = P.stitch(x, "preview_id", "chunk_id", "content")
-    return s.select("preview_id", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit("<!-- PAGE: ")).alias("n_pages"))
+    return s.select("preview_id", "text", F.regexp_count("text", F.lit("<!-- PAGE: ")).alias("n_pages"))
 
 
 def carried_tails(spark: SparkSession, d: str) -> DataFrame:
@@ -234,8 +236,7 @@ ORACLE = {
         WITH v AS (SELECT role_party AS v FROM document_signatories UNION ALL SELECT description FROM transaction_details)
         SELECT {_CLEAN('v')} AS cleaned, count(*) AS n_rows FROM v WHERE v IS NOT NULL GROUP BY 1""",
     "cells_rupiah": """
-        SELECT l_returnflag, l_linestatus, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END) AS BIGINT) AS total_cents
-        FROM lineitem GROUP BY ALL""",
+        SELECT l_orderkey, l_partkey, l_linestatus, CAST(round(l_extendedprice * 100) AS BIGINT) * CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END AS cents FROM lineitem""",
     "cells_periods": f"""
         WITH p AS (SELECT coalesce(nullif(regexp_extract(text, '(?i)\\b((?:{_MON})\\s+20\\d{{2}})\\b', 1), ''), nullif(regexp_extract(text, '(?i)\\b(\\d{{1,2}}\\s+(?:{_MON})\\s+20\\d{{2}})\\b', 1), ''),
             nullif(regexp_extract(text, '\\b((?:0?[1-9]|1[0-2])[/\\-]20\\d{{2}})\\b', 1), ''), nullif(regexp_extract(text, '\\b(20\\d{{2}}[/\\-](?:0?[1-9]|1[0-2]))\\b', 1), '')) AS period FROM documents)
@@ -267,10 +268,12 @@ ORACLE = {
         g AS (SELECT doc_id, string_agg(spec, ',' ORDER BY n) AS s FROM hit GROUP BY doc_id)
         SELECT coalesce(s, 'plain') AS specs, count(*) AS n_documents FROM q LEFT JOIN g USING (doc_id) GROUP BY 1""".replace("\\\\", "\\"),
     "labels_diagrams": """
-        WITH t AS (SELECT lower(trim(p_type)) AS x FROM part)
-        SELECT CASE WHEN contains(x, 'pin') THEN 'pin_diagram' WHEN regexp_matches(x, 'memory|register|map') THEN 'memory_map' WHEN contains(x, 'flow') THEN 'flowchart' WHEN regexp_matches(x, 'block|arch') THEN 'block_architecture'
-            WHEN contains(x, 'seq') THEN 'sequence_diagram' WHEN regexp_matches(x, 'circuit|skema') THEN 'circuit_diagram' WHEN regexp_matches(x, 'time|timing') THEN 'timing_diagram' ELSE 'generic_diagram' END AS diagram_type,
-            contains(x, 'flow') AND NOT contains(x, 'pin') AS as_code, count(*) AS n_parts FROM t GROUP BY ALL""",
+        WITH n AS (SELECT p_partkey, ['Pin layout', 'memory', 'Work-Flow', 'Arsitektur block', 'sequence diagram', 'skema', 'timing', 'mindmap', 'swimlane', 'x', '', 'Register pin'][CAST(p_partkey % 12 + 1 AS INTEGER)] || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_name ELSE '' END AS n FROM part),
+        p AS (SELECT p_partkey, replace(replace(lower(trim(n)), '-', '_'), ' ', '_') AS y FROM n),
+        t AS (SELECT p_partkey, CASE WHEN regexp_matches(y, 'flowchart|workflow|swimlane|decision_tree|alur_proses') THEN 'flowchart' ELSE y END AS x FROM p),
+        d AS (SELECT p_partkey, CASE WHEN x = '' THEN 'generic_diagram' WHEN x IN ('flowchart', 'sequence_diagram', 'mindmap') THEN x WHEN contains(x, 'pin') THEN 'pin_diagram' WHEN regexp_matches(x, 'memory|register|map') THEN 'memory_map' WHEN contains(x, 'flow') THEN 'flowchart'
+            WHEN regexp_matches(x, 'block|arch') THEN 'block_architecture' WHEN contains(x, 'seq') THEN 'sequence_diagram' WHEN regexp_matches(x, 'circuit|skema') THEN 'circuit_diagram' WHEN regexp_matches(x, 'time|timing') THEN 'timing_diagram' ELSE 'generic_diagram' END AS diagram_type FROM t)
+        SELECT p_partkey, diagram_type, CASE WHEN diagram_type = 'flowchart' THEN 'mermaid_code' ELSE 'text_description' END AS advised, diagram_type = 'flowchart' AS as_code FROM d""",
     "labels_progress": """
         SELECT preview_id, chunk_id, CASE WHEN total_chunks > 0 AND chunk_id > 0 THEN least(98.0, greatest(1.0, round_even(chunk_id / total_chunks * 100.0, 1))) ELSE 5.0 END AS percent
         FROM (SELECT DISTINCT preview_id, chunk_id FROM chunk_items) JOIN chunking_previews USING (preview_id)""",
@@ -286,7 +289,7 @@ ORACLE = {
     "pages_lines": r"""
         WITH x AS (SELECT DISTINCT region_id, text FROM ocr_regions WHERE text IS NOT NULL),
         l AS (SELECT region_id, string_split(text, chr(10)) AS l FROM x)
-        SELECT region_id, CAST(len(l) AS INTEGER) AS n_lines, CAST(length(coalesce(array_to_string(list_filter(l, lambda s: NOT regexp_full_match(trim(s), '(?i)(halaman|page|-)?\s*\d+\s*(dari|of|/)?\s*\d*\s*(-)?')), chr(10)), '')) AS INTEGER) AS n_kept_chars FROM l""",
+        SELECT region_id, CAST(len(l) AS INTEGER) AS n_lines, coalesce(array_to_string(list_filter(l, lambda s: NOT regexp_full_match(trim(s), '(?i)(halaman|page|-)?\s*\d+\s*(dari|of|/)?\s*\d*\s*(-)?')), chr(10)), '') AS kept FROM l""",
     "pages_titles": r"""
         WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(trim(regexp_replace(text, '(?i)<!--\s*(?:PAGE|SLIDE)\s*:?\s*(\d+)\s*-->', '', 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
         t AS (SELECT doc_id, coalesce(
@@ -296,7 +299,7 @@ ORACLE = {
         SELECT doc_id, title FROM t WHERE title IS NOT NULL""",
     "pages_collapse": r"""
         WITH x AS (SELECT DISTINCT region_id, text FROM ocr_regions WHERE text IS NOT NULL AND trim(text) <> '')
-        SELECT region_id, CAST(length(regexp_replace(text, '^' || ws || '+', '')) + length(regexp_replace(text, ws || '+$', '')) + 7 AS INTEGER) AS n_chars FROM x, (SELECT '[' || chr(160) || chr(8201) || chr(12288) || '\s]' AS ws)""",
+        SELECT region_id, regexp_replace(text, '^' || ws || '+', '') || chr(10) || chr(10) || 'end' || chr(10) || chr(10) || regexp_replace(text, ws || '+$', '') AS text FROM x, (SELECT '[' || chr(160) || chr(8201) || chr(12288) || '\s]' AS ws)""",
     "pages_traits": r"""
         WITH x AS (SELECT text, regexp_matches(text, '\[Diagram/Visual\]|\[Gambar/Visual\]|\[Topologi\]|\[Diagram/Topologi\]|```mermaid') OR regexp_matches(text, '(?i)\b(?:FIGURE|Bagan|Skema)\s+\d+') AS dia,
             contains(text, '|---') AS tab, length(text) - length(replace(text, '|', '')) AS pipes FROM documents WHERE text IS NOT NULL),
@@ -311,8 +314,8 @@ ORACLE = {
     "pages_stitched": rf"""
         WITH x AS (SELECT DISTINCT preview_id, chunk_id, content FROM chunk_items),
         c AS (SELECT preview_id, row_number() OVER (PARTITION BY preview_id ORDER BY chunk_id) AS i, {_TRIM(r"array_to_string(list_filter(string_split(content, chr(10)), lambda s: NOT regexp_full_match(trim(s), '(?i)(halaman|page|-)?\s*\d+\s*(dari|of|/)?\s*\d*\s*(-)?')), chr(10))")} AS t FROM x),
-        k AS (SELECT preview_id, count(*) AS n, sum(length(t) + 15 + length(CAST(i AS VARCHAR)) + 4) AS s FROM c WHERE t <> '' GROUP BY preview_id)
-        SELECT preview_id, CAST(s - 1 AS INTEGER) AS n_chars, CAST(n AS INTEGER) AS n_pages FROM k""",
+        k AS (SELECT preview_id, count(*) AS n, string_agg('<!-- PAGE: ' || i || ' -->' || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY i) || chr(10) AS text FROM c WHERE t <> '' GROUP BY preview_id)
+        SELECT preview_id, text, CAST(n AS INTEGER) AS n_pages FROM k""",
     "pages_carried": """
         WITH x AS (SELECT DISTINCT preview_id, chunk_id, content FROM chunk_items), y AS (SELECT preview_id, chunk_id, lag(right(content, 400)) OVER (PARTITION BY preview_id ORDER BY chunk_id) AS tail FROM x)
         SELECT * FROM y WHERE tail IS NOT NULL""",

@@ -136,13 +136,6 @@ def clause_open(spark: SparkSession, d: str) -> DataFrame:
     return H.open_path(_events(spark, d)).select("doc", "kind", "ordinal", "depth")
 
 
-def amounts_crossed(spark: SparkSession, d: str) -> DataFrame:
-    """Orders whose items do not add up to the stated total."""
-    li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount")) * 100).cast("long")).alias("items"), F.count(F.lit(1)).alias("n"))
-    x = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("stated")).join(li, "o_orderkey")
-    return x.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.count_if((F.col("n") >= 2) & (F.abs(F.col("items") - F.col("stated")) > 50)).alias("n_off"))
-
-
 # ---- learning ----
 
 
@@ -257,7 +250,7 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "sheets_regions": sheet_regions, "sheets_headers": sheet_headers, "sheets_row_roles": sheet_row_roles, "sheets_types": sheet_types, "sheets_native": sheet_native,
     "sheets_coverage": sheet_coverage, "sheets_roles": sheet_roles, "sheets_tiles": sheet_tiles, "charts_story": chart_story, "charts_checks": chart_checks, "charts_table": chart_table,
-    "clauses_parents": clause_parents, "clauses_audit": clause_audit, "clauses_open": clause_open, "clauses_amounts": amounts_crossed,
+    "clauses_parents": clause_parents, "clauses_audit": clause_audit, "clauses_open": clause_open,
     "learning_latest": latest_headers, "learning_classes": text_classes, "learning_split": split_by_hash, "learning_tail": split_tail, "learning_scores": ocr_scores,
     "jobs_folders": folders, "jobs_selected": selected, "jobs_sampled": sampled, "jobs_batches": batches, "jobs_progress": progress_log, "jobs_unreferenced": orphans_on_disk,
     "jobs_queue": queue, "jobs_names": upload_names, "survey_islands": event_islands, "survey_inherited": grid_carried,
@@ -295,8 +288,6 @@ ORACLE = {
         SELECT doc, CASE WHEN b IS NULL THEN 'does not begin at 1' WHEN o = b + 2 THEN 'one is missing' ELSE 'jumps' END AS message, count(*) AS n FROM a WHERE (b IS NULL AND o <> 1) OR o > b + 1 GROUP BY 1, 2""",
     "clauses_open": f"""WITH {_EVENTS}, l AS (SELECT doc, kind, arg_max(ordinal, seq) AS ordinal, max(seq) AS seq FROM v GROUP BY doc, kind)
         SELECT doc, l.kind, arg_max AS ordinal, depth FROM (SELECT doc, kind, ordinal AS arg_max, seq, CASE kind WHEN 'bab' THEN 1 WHEN 'pasal' THEN 2 ELSE 3 END AS depth, max(seq) FILTER (kind = 'pasal') OVER (PARTITION BY doc) AS ps FROM l) l WHERE kind <> 'ayat' OR seq > ps""",
-    "clauses_amounts": """WITH i AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * (1 + l_tax) * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS items, count(*) AS n FROM lineitem GROUP BY 1)
-        SELECT o_orderpriority, count(*) AS n_orders, count(*) FILTER (n >= 2 AND abs(items - CAST(round(o_totalprice * 100) AS BIGINT)) > 50) AS n_off FROM orders JOIN i ON o_orderkey = l_orderkey GROUP BY 1""",
     "learning_latest": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY header_id ORDER BY CAST(updated_at AS TIMESTAMPTZ) DESC, total_amount DESC NULLS LAST, doc_number DESC) AS k FROM document_headers)
         SELECT header_id, doc_number FROM r WHERE k = 1 AND total_amount IS NOT NULL""",
     "learning_classes": "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS root FROM documents",

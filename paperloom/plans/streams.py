@@ -47,7 +47,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events per kind and day, as a stream with a watermark would hold them."""
     e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    x = finish(J.windowed_counts(e, "ts", "event_type", "1 day", "400 days"), "update")
+    x = finish(J.windowed_counts(e, "ts", "event_type", "1 day", "2 days"), "update")
     last = x.groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -94,7 +94,7 @@ def diagrams(spark: SparkSession, d: str) -> DataFrame:
     edges = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.concat(F.lit("  R"), F.col("r_regionkey").cast("string"), F.lit("["), F.col("r_name"), F.lit(" (benua)]] --> N"), F.col("n_nationkey").cast("string"), F.lit("["), F.col("n_name"), F.lit("]")).alias("e"))
     g = edges.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("e")), "\n").alias("t"))
     code = F.concat(F.lit("```mermaid\ngraph TD\n"), F.col("t"), F.lit("\n"), F.col("t"), F.lit("\n```"))
-    return g.select("r_name", M.problems(F.col("t")).alias("before"), M.problems(M.sanitized(code)).alias("after"), F.size(F.split(M.sanitized(code), "\n")).alias("n_lines"))
+    return g.select("r_name", M.problems(F.col("t")).alias("before"), M.problems(M.sanitized(code)).alias("after"), M.sanitized(code).alias("code"))
 
 
 QUERIES = {
@@ -124,5 +124,6 @@ ORACLE = {
         SELECT CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.48 THEN 'medium' ELSE 'low' END AS trust_level, CAST(score AS DOUBLE) AS score, count(*) AS n_regions FROM s GROUP BY ALL""",
     "streams_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "text_styles": """SELECT source_file, coalesce(arg_min(spec, doc_id) FILTER (spec IS NOT NULL AND spec <> 'plain'), 'plain') AS spec FROM documents WHERE source_file IS NOT NULL GROUP BY source_file""",
-    "text_diagrams": "SELECT r_name, 'unknown header' AS before, NULL::VARCHAR AS after, CAST(count(*) + 1 AS INTEGER) AS n_lines FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "text_diagrams": """WITH e AS (SELECT r_name, '  R' || r_regionkey || '[' || r_name || ' (benua)]] --> N' || n_nationkey || '[' || n_name || ']' AS seen, '  R' || r_regionkey || '["' || r_name || ' (benua)"] --> N' || n_nationkey || '[' || n_name || ']' AS right_one FROM nation JOIN region ON n_regionkey = r_regionkey)
+        SELECT r_name, 'unknown header' AS before, NULL::VARCHAR AS after, 'flowchart TD' || chr(10) || string_agg(right_one, chr(10) ORDER BY seen) AS code FROM e GROUP BY r_name""",
 }
