@@ -19,6 +19,7 @@ from paperloom.plans.streams import finish, table_stream
 from paperloom.session import cut, drop_folder, load, shared_folder
 from paperloom.sources import files as W
 from paperloom.sources import ooxml as X
+from paperloom.sources import pdf as D
 from paperloom.streaming import jobs as J
 
 
@@ -270,6 +271,28 @@ def slide_files(spark: SparkSession, d: str) -> DataFrame:
     return _in_folder(spark, use)
 
 
+def pdf_files(spark: SparkSession, d: str) -> DataFrame:
+    """PDF files, one per region with a page per nation, read page by page."""
+
+    def use(folder: str) -> DataFrame:
+        nations = load(spark, d, "nation").orderBy("n_nationkey").collect()
+        for region in sorted({r["n_regionkey"] for r in nations}):
+            names = [r["n_name"] for r in nations if r["n_regionkey"] == region]
+            objects, kids = ["<< /Type /Catalog /Pages 2 0 R >>", "", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"], []
+            for name in names:
+                body = f"BT /F1 12 Tf 14 TL 72 720 Td (Negara \\({region}\\)) Tj T* ({name}) Tj ET"
+                objects += [f"<< /Length {len(body)} >>\nstream\n{body}\nendstream", f"<< /Type /Page /Contents {len(objects) + 1} 0 R /Resources << /Font << /F1 3 0 R >> >> >>"]
+                kids.append(f"{len(objects)} 0 R")
+            objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] >>"
+            text = "%PDF-1.4\n" + "".join(f"{k} 0 obj\n{o}\nendobj\n" for k, o in enumerate(objects, 1)) + "trailer << /Root 1 0 R >>\n%%EOF"
+            W.write_file(spark, f"{folder}/r{region}.pdf", text.encode("cp1252"))
+        pages = D.read_pdf_text(spark, folder)
+        counted = pages.join(D.page_counts(pages), "path")
+        return counted.select(F.regexp_extract("path", r"r(\d+)\.pdf$", 1).cast("int").alias("region"), "page_number", "n_pages", "text")
+
+    return _in_folder(spark, use)
+
+
 # ---- streams of files ----
 
 
@@ -312,7 +335,7 @@ def appended_pages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "tables_html": html_tables, "tables_tagged": tagged_tables, "tables_routed": routed_tables, "tables_headers": full_headers, "ledger_canonical": canonical_differences, "store_signatories": signatory_hashes,
     "store_statements": statements, "store_ingested": ingested, "files_cleaned": cleaned_files, "pages_batched": batched_pages, "store_samples": samples, "store_versions": versions, "files_csv": csv_files, "files_zip": zipped_files, "files_listed": listed_files, "files_unchanged": unchanged_files,
-    "files_extractions": extractions, "files_manifest": manifests, "files_workbooks": workbook_files, "files_slides": slide_files, "streams_progress": streamed_progress, "streams_visible": visible_pages, "streams_appended": appended_pages,
+    "files_extractions": extractions, "files_manifest": manifests, "files_workbooks": workbook_files, "files_slides": slide_files, "files_pdf": pdf_files, "streams_progress": streamed_progress, "streams_visible": visible_pages, "streams_appended": appended_pages,
 }
 
 _N = "chr(10)"
@@ -344,6 +367,7 @@ ORACLE = {
     "files_workbooks": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
         SELECT 'Wilayah ' || n_regionkey AS sheet, k AS row, 1 AS col, n_name AS text, 's' AS kind, NULL AS formula FROM n UNION ALL SELECT 'Wilayah ' || n_regionkey, k, 2, CAST(n_nationkey AS VARCHAR), 'n', '=A' || k || '*2' FROM n""",
     "files_slides": "SELECT 'Wilayah ' || n_regionkey AS title, count(*) AS n_text, count(*) AS n_stored, true AS agrees, 0 AS n_wrong FROM nation GROUP BY 1",
+    "files_pdf": """SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS page_number, count(*) OVER (PARTITION BY n_regionkey) AS n_pages, 'Negara (' || n_regionkey || ')' || chr(10) || n_name AS text FROM nation""",
     "streams_progress": """WITH x AS (SELECT preview_id, max(chunk_id) AS current_page, max(total_chunks) AS total_pages FROM (SELECT DISTINCT preview_id, chunk_id FROM chunk_items) JOIN chunking_previews USING (preview_id) GROUP BY 1)
         SELECT *, CASE WHEN total_pages > 0 AND current_page > 0 THEN least(98.0, greatest(1.0, round_even(current_page / total_pages * 100.0, 1))) ELSE 5.0 END AS percent FROM x""",
     "streams_visible": f"SELECT p_partkey, 'halaman ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE {_N} || {_N} || '---' || {_N} || {_N} || 'lagi' END AS visible FROM part",
