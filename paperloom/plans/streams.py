@@ -72,8 +72,12 @@ def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_preview(spark: SparkSession, d: str) -> DataFrame:
-    """How documents fall into chunks."""
-    return K.chunk_stats(K.preview_chunks(load(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    """How documents fall into chunks without overlap: the characters that are not blank, whether every chunk fits, and the statistics of the preview."""
+    chunks = K.preview_chunks(load(spark, d, "documents"), "doc_id", "text", 400, 0)
+    dense = F.length(F.regexp_replace("content", r"[\s\p{Z}\x1c-\x1f\x85]", ""))
+    held = chunks.groupBy("doc_id").agg(F.sum(dense).alias("n_dense"), (F.max(F.length("content")) <= 400).alias("fits"), (F.max("chunk_id") == F.count(F.lit(1))).alias("numbered"), F.sum("char_count").alias("n_chars"))
+    stats = K.chunk_stats(chunks, "doc_id")
+    return held.join(stats, "doc_id").select("doc_id", "n_dense", "fits", "numbered", (F.col("n_chars") == F.col("total_characters")).alias("counted"))
 
 
 def trust(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +118,7 @@ ORACLE = {
         e AS (SELECT doc_id, seq, CASE k WHEN 'Pasal' THEN 'pasal' WHEN 'Bagian' THEN 'bagian' ELSE 'bab' END AS kind, CASE k WHEN 'Pasal' THEN 6 WHEN 'Bagian' THEN 4 ELSE 3 END AS level, o FROM h WHERE k <> ''),
         open AS (SELECT * FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.doc_id = a.doc_id AND b.seq > a.seq AND b.level <= a.level))
         SELECT CAST(doc_id AS VARCHAR) AS doc, string_agg(kind || ' ' || o, ' > ' ORDER BY seq) AS open_path FROM open GROUP BY 1""",
+    "text_chunks": r"""SELECT doc_id, length(regexp_replace(text, '[\s\pZ\x{1c}-\x{1f}\x{85}]', '', 'g')) AS n_dense, true AS fits, true AS numbered, true AS counted FROM documents WHERE regexp_matches(text, '[^\s\pZ\x{1c}-\x{1f}\x{85}]')""",
     "text_trust": r"""
         WITH r AS (SELECT DISTINCT region_id, text, CASE WHEN bbox_model IS NOT NULL THEN 1 ELSE 0 END AS regions FROM ocr_regions),
         v AS (SELECT regions, regexp_replace(coalesce(text, ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS v FROM r),
