@@ -302,7 +302,9 @@ def classified_pages(regions: DataFrame, per_task: int = 500_000) -> DataFrame:
     )
     offsets = per_key.where("kind = 'o'").groupBy("doc").agg(F.max(F.struct("n_rows", "key")).alias("m")).select("doc", F.col("m.key").alias("offset"), F.col("m.n_rows").alias("support"))
     docs = cut(pages.groupBy("doc").agg(F.count(F.lit(1)).alias("n_rows")).join(offsets, "doc", "left"))
-    known = salted_join(pages, docs, ["doc"], F.col("page"), per_task=per_task).join(titles, ["doc", "page"], "left")
+    # What is known of a page is put together without its text, which is then shuffled once.
+    told = salted_join(pages.select("doc", "page"), docs, ["doc"], F.col("page"), per_task=per_task).join(titles, ["doc", "page"], "left")
+    known = pages.join(told, ["doc", "page"])
     body = cut(known.select("doc", "page", "regions", "titles", "offset", "support").mapInArrow(_classify, _CLASSIFIED_SQL))
     ends = body.where(F.size("body") > 0)
     before = ends.select("doc", (F.col("page") + 1).alias("page"), F.element_at("body", -1)["text"].alias("line_before"))
