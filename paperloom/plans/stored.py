@@ -236,6 +236,14 @@ _TYPES = """
         contains(g, '.') AND NOT regexp_matches(g, '[.]0*$') AND NOT regexp_matches(g, '[0-9].*[.,][^.,]{3}$') AS frac FROM n)"""
 
 ORACLE = {
+    # Runs of lines with bars whose second line is a rule; lines are counted in the text as it stands.
+    "tables_in_chunks": r"""
+        WITH c AS (SELECT DISTINCT preview_id, chunk_id, content FROM chunk_items),
+        l AS (SELECT preview_id, chunk_id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM c),
+        r AS (SELECT *, trim(t) AS x, i - row_number() OVER (PARTITION BY preview_id, chunk_id ORDER BY i) AS run FROM l WHERE regexp_full_match(trim(t), '\|.*\|.*')),
+        p AS (SELECT *, row_number() OVER w AS k, lead(x) OVER w AS following, count(*) OVER (PARTITION BY preview_id, chunk_id, run) AS n FROM r WINDOW w AS (PARTITION BY preview_id, chunk_id, run ORDER BY i))
+        SELECT preview_id, chunk_id, CAST(row_number() OVER (PARTITION BY preview_id, chunk_id ORDER BY i) AS INTEGER) AS table_no, CAST(len(string_split(trim(x, '|'), '|')) AS INTEGER) AS n_columns, CAST(n - 2 AS INTEGER) AS n_rows, CAST(i AS INTEGER) AS line_start, CAST(i + n - 1 AS INTEGER) AS line_end
+        FROM p WHERE k = 1 AND n > 2 AND regexp_full_match(following, '\|(\s*:?-+:?\s*\|)+')""",
     "tables_matched": """
         WITH names(cat_no, cat_name) AS (VALUES (0, 'document_headers'), (1, 'transaction_details'), (2, 'document_signatories'), (3, 'customer'), (4, 'supplier'), (5, 'orders'), (6, 'lineitem'), (7, 'events'), (8, 'ocr_regions'), (9, 'documents')),
         c AS (SELECT cat_no, cat_name, column_name AS w, count(*) OVER (PARTITION BY cat_no) AS nb FROM names JOIN information_schema.columns ON table_name = cat_name WHERE NOT starts_with(column_name, '_')),
