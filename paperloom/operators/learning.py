@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.operators.skew import previous_value, ranked
+from paperloom.operators.skew import MAX_HOT, previous_value, ranked
 from paperloom.session import cut
 
 SPLITS = ("train", "train", "train", "validation", "test")
@@ -89,12 +89,12 @@ def is_improvement(base: Column, candidate: Column) -> Column:
     return (candidate["score"] > base["score"] + 1e-9) & (candidate["text_score"] >= base["text_score"]) & (candidate["table_score"] >= base["table_score"])
 
 
-def components(items: DataFrame, item: str, keys: list[str]) -> DataFrame:
+def components(items: DataFrame, item: str, keys: list[str], per_task: int = 500_000) -> DataFrame:
     """item, root: items that share any key, directly or over others, have the smallest item as root.
 
     Alternating smallest-label steps: each key takes the least label of its items, each item the least of
-    its keys, both by grouping with partial minima, so a key shared by very many items is no hot
-    spot. Labels also jump to their own label's label, which halves long chains. Null keys link nothing.
+    its keys, both by grouping with partial minima; where labels go back to items, a key of more than
+    ``per_task`` links is spread over salts. Labels also jump to their own label's label, which halves long chains. Null keys link nothing.
     Labels only get smaller, so the rounds end; their number grows with the logarithm of the longest chain.
     """
     links = cut(
@@ -102,9 +102,19 @@ def components(items: DataFrame, item: str, keys: list[str]) -> DataFrame:
         .where(F.col("k.v").isNotNull()).select("i", F.xxhash64("k.f", "k.v").alias("h1"), F.xxhash64("k.v", "k.f", F.lit(1)).alias("h2")).distinct()
     )
     labels = cut(items.select(F.col(item).alias("i"), F.col(item).alias("l")).distinct())
+    # Keys that own very many links are spread over salts, once for all rounds; at most MAX_HOT keys can be that hot.
+    limit = max(per_task, -(-links.count() // MAX_HOT))
+    hot = cut(links.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("h1", "h2", F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts")))
+    salted = not hot.isEmpty()
+    if salted:
+        spread = links.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("i"), F.col("_salts"))).cast("int"))
+        links = cut(spread.drop("_salts"))
+    on = ["h1", "h2", "_salt"] if salted else ["h1", "h2"]
     while True:
         per_key = links.join(labels, "i").groupBy("h1", "h2").agg(F.min("l").alias("m"))
-        near = links.join(per_key, ["h1", "h2"]).groupBy("i").agg(F.min("m").alias("m"))
+        if salted:
+            per_key = per_key.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        near = links.join(per_key, on).groupBy("i").agg(F.min("m").alias("m"))
         step = labels.join(near, "i", "left").select("i", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
         jump = step.join(step.select(F.col("i").alias("n"), F.col("n").alias("nn")), "n", "left").select("i", "l", F.least("n", F.coalesce("nn", "n")).alias("n"))
         new = cut(jump)

@@ -81,3 +81,25 @@ def test_hot_sources_are_pruned_and_moved(spark):
     parents = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "h long, num string")
     kids = spark.createDataFrame([(k, [1, 2, 3, None][k % 4]) for k in range(40)], "id long, h long")
     assert {(r["id"], r["h"]) for r in W.reparent(kids, parents, "h", "num").collect()} == {(k, [1, 1, 3, None][k % 4]) for k in range(40)}
+
+
+def test_components_with_hot_keys(spark):
+    rng = random.Random(5)
+    rows = [(i, "all" if i % 3 == 0 else None, str(rng.randrange(60))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    root = {i: i for i, *_ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for i, *ks in rows:
+        for n, k in enumerate(ks):
+            if k is not None:
+                a, b = find(i), find(first.setdefault((n, k), i))
+                root[max(a, b)] = min(a, b)
+    want = {(i, find(i)) for i in root}
+    for per_task in (10, 500_000):
+        assert {tuple(r) for r in N.components(df, "id", ["a", "b"], per_task=per_task).collect()} == want
