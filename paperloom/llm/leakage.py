@@ -139,6 +139,31 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(total.iloc[0]) if len(total) else 0
 
 
+def _sums_by_feature(f: np.ndarray, owner: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every feature the sum of its tokens' passages: by a product with counts where a feature is frequent, else one token after the other."""
+    seen, inverse, n = np.unique(f, return_inverse=True, return_counts=True)
+    out = np.zeros((len(seen), passage.shape[1]), np.float32)
+    often = n >= 16
+    many, place = often[inverse], np.cumsum(often) - 1
+    if often.any():
+        cells, wide = place[inverse[many]] * len(passage) + owner[many], max(1, 2_000_000 // len(passage))
+        cells.sort()
+        blocks = []
+        for lo in range(0, int(often.sum()), wide):
+            hi = min(lo + wide, int(often.sum()))
+            own = cells[np.searchsorted(cells, lo * len(passage)) : np.searchsorted(cells, hi * len(passage))] - lo * len(passage)
+            counts = np.bincount(own, minlength=(hi - lo) * len(passage)).reshape(hi - lo, len(passage))
+            blocks.append(counts.astype(np.float32) @ passage)
+        out[often] = np.concatenate(blocks)
+    few = np.flatnonzero(~many)
+    if len(few):
+        few = few[np.argsort(inverse[few], kind="stable")]
+        group = inverse[few]
+        runs = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+        out[group[runs]] = np.add.reduceat(passage[owner[few]], runs, axis=0)
+    return seen, out
+
+
 def latent_words(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
     """FEATURES x RANK matrix: the leading right singular vectors of the TF-IDF passages, by randomised SVD."""
     width = RANK + OVERSAMPLE
@@ -148,7 +173,7 @@ def latent_words(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, omega = shared.value
-        weighted = omega * idf[:, None]
+        weighted = np.concatenate([omega * idf[:, None], np.zeros((1, width), np.float32)])  # the last row is no word
         total = np.zeros((FEATURES, width), dtype=np.float64)
         for batch in batches:
             for _, offsets, toks in _flat(batch):
@@ -157,12 +182,12 @@ def latent_words(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
                 f = _feature(toks)
                 at = np.arange(len(toks)) - np.repeat(offsets[:-1], np.diff(offsets))
                 starts = np.nonzero(at % PASSAGE == 0)[0]
-                passage = np.add.reduceat(weighted[f], starts, axis=0)
-                back = np.repeat(passage, np.diff(np.r_[starts, len(toks)]), axis=0)
-                order = np.argsort(f, kind="stable")
-                runs = np.nonzero(np.r_[True, np.diff(f[order]) > 0])[0]
-                rows = f[order][runs]
-                total[rows] += np.add.reduceat(back[order], runs, axis=0) * idf[rows][:, None]
+                sizes, padded = np.diff(np.r_[starts, len(toks)]), np.append(f, FEATURES)
+                passage = weighted[f[starts]]
+                for k in range(1, PASSAGE):
+                    passage += weighted[padded[np.where(k < sizes, starts + k, len(f))]]
+                rows, sums = _sums_by_feature(f, np.repeat(np.arange(len(starts)), sizes), passage)
+                total[rows] += sums * idf[rows][:, None]
         seen = np.nonzero(np.any(total, axis=1))[0]
         cols = {"feature": seen} | {f"y{k}": total[seen, k] for k in range(width)}
         yield pa.RecordBatch.from_pandas(pd.DataFrame(cols), preserve_index=False)

@@ -167,3 +167,12 @@ def test_search_against_brute_force():
     near = int((queries @ ix.vectors.T >= 0.85).sum())
     q, w, _ = ix.search(queries, 0.85, L.PASSAGE_PROBES)
     assert len({*zip(q.tolist(), w.tolist())}) == len(q) and len(q) >= 0.9 * near > 300
+
+
+def test_sums_by_feature(monkeypatch):
+    rng = np.random.default_rng(4)
+    f, owner, passage = rng.zipf(1.5, 5000) % 900, np.sort(rng.integers(0, 70, 5000)), rng.standard_normal((70, 6)).astype(np.float32)
+    want = np.zeros((900, 6))
+    np.add.at(want, f, passage[owner])
+    rows, sums = L._sums_by_feature(f, owner, passage)
+    assert np.abs(want[rows] - sums).max() < 1e-3 and not np.delete(want, rows, axis=0).any()
