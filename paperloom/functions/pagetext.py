@@ -23,6 +23,8 @@ GENERIC_TITLES = (
 )
 VISUAL_TAGS = ("[Diagram/Visual]", "[Gambar/Visual]", "[Topologi]", "[Diagram/Topologi]")
 PAGE_LINE = r"(?i)^(halaman|page|-)?\s*\d+\s*(dari|of|/)?\s*\d*\s*(-)?$"
+# The characters that ``strip`` trims.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def lines_of(c: Column) -> Column:
@@ -33,6 +35,17 @@ def _count(c: Column, text: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(text), F.lit("")))) / len(text)).cast("int")
 
 
+def _trim(c: Column) -> Column:
+    """What ``strip`` gives, for texts of a page's size; only the ends are looked at."""
+    white = F.lit(WHITE)
+    return let(c, lambda x: F.when(F.contains(white, F.substring(x, -1, 1)), F.btrim(x, white)).otherwise(F.ltrim(x, white)))
+
+
+def _holds_any(low: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text in lower case holds one of the phrases; a literal by itself is sought by skipping, an alternation at every place."""
+    return reduce(lambda a, b: a | b, [low.rlike(re.escape(p)) for p in phrases])
+
+
 def page_delimiter(number: Column, slide: Column | None = None) -> Column:
     """The comment that opens a page or a slide."""
     tag = F.lit("PAGE") if slide is None else F.when(slide, "SLIDE").otherwise("PAGE")
@@ -94,7 +107,7 @@ def strip_thinking(c: Column) -> Column:
         """Where content begins after leading talk; only texts that hold such talk are looked at line by line."""
 
         def cut_at(lines: Column) -> Column:
-            flagged = F.transform(lines, lambda s, i: let(strip(s), lambda t: F.when((t != "") & ~t.rlike(begins) & opens(t), i)))
+            flagged = F.transform(lines, lambda s, i: let(_trim(s), lambda t: F.when((t != "") & opens(t) & ~t.rlike(begins), i)))
 
             def rest(first: Column) -> Column:
                 before = F.array_join(F.slice(lines, F.lit(1), F.greatest(first, F.lit(1))), "\n")
@@ -102,14 +115,16 @@ def strip_thinking(c: Column) -> Column:
 
             return let(F.array_min(F.filter(flagged, lambda i: i.isNotNull())), rest)
 
-        return strip(F.when(x.rlike(holds), let(lines_of(x), cut_at)).otherwise(x))
+        talks = let(F.lower(x), lambda low: _holds_any(low, REASONING)) & x.rlike(holds)  # lower case alone would fold letters outside ASCII, too
+        return _trim(F.when(talks, let(lines_of(x), cut_at)).otherwise(x))
 
-    return let(let(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<think>[\s\S]*?</think>", ""), untag), lead)
+    closed = lambda x: F.when(x.contains("<"), F.regexp_replace(x, r"(?i)<think>[\s\S]*?</think>", "")).otherwise(x)
+    return let(let(let(F.coalesce(c, F.lit("")), closed), untag), lead)
 
 
 def strip_markers(c: Column) -> Column:
     """A text without thoughts and page markers."""
-    return strip(F.regexp_replace(strip_thinking(c), MARKER, ""))
+    return _trim(let(strip_thinking(c), lambda x: F.when(x.contains("<!--"), F.regexp_replace(x, MARKER, "")).otherwise(x)))
 
 
 def unfence(c: Column) -> Column:
@@ -117,19 +132,19 @@ def unfence(c: Column) -> Column:
 
     def inner(x: Column) -> Column:
         fenced = x.startswith("```") & x.endswith("```") & (F.length(x) >= 6) & ~x.startswith("```mermaid")
-        return F.when(fenced, strip(F.regexp_extract(x, r"(?s)^```(?:markdown|md)?(.*)```$", 1))).otherwise(x)
+        return F.when(fenced, _trim(F.regexp_extract(x, r"(?s)^```(?:markdown|md)?(.*)```$", 1))).otherwise(x)
 
-    return let(strip(c), inner)
+    return let(_trim(c), inner)
 
 
 def collapse_blocks(c: Column) -> Column:
     """A text in which a block that repeats the one before it is left out."""
 
     def kept(blocks: Column) -> Column:
-        some = F.filter(blocks, lambda b, i: (i == 0) | (strip(b) != strip(F.get(blocks, i - 1))))
-        return F.when(F.size(blocks) <= 1, c).otherwise(F.array_join(some, "\n\n"))
+        some = F.filter(blocks, lambda b, i: (i == 0) | (_trim(b) != _trim(F.get(blocks, i - 1))))
+        return F.array_join(some, "\n\n")
 
-    return let(F.split(strip(c), r"\n{2,}", -1), kept)
+    return let(c, lambda x: let(_trim(x), lambda t: F.when(t.contains("\n\n"), let(F.split(t, r"\n{2,}", -1), kept)).otherwise(x)))
 
 
 def title_of(c: Column, fallback: Column | None = None) -> Column:
@@ -221,15 +236,22 @@ def visual_description(c: Column) -> Column:
 
 def accepted_revision(draft: Column, raw: Column) -> Column:
     """The revised text if it passes the guards, else the draft: leaks, emptiness, lost diagrams, bloat, truncation."""
-    leaked = F.lower(raw).rlike("|".join(re.escape(p) for p in LEAKS))
     fences = lambda t: F.regexp_count(t, F.lit(r"(?im)^\s*```mermaid\b"))
 
     def judge(refined: Column) -> Column:
         a, b = F.length(draft), F.length(refined)
-        bad = leaked | (refined == "") | (fences(refined) < fences(draft)) | ((a > 500) & (b > 1.8 * a)) | ((a > 800) & (b < 0.45 * a))
+        lost = draft.contains("```") & (fences(refined) < fences(draft))
+        bad = (refined == "") | lost | ((a > 500) & (b > 1.8 * a)) | ((a > 800) & (b < 0.45 * a))
         return F.when(bad | refined.isNull(), draft).otherwise(refined)
 
-    return let(let(let(strip_thinking(raw), unfence), lambda x: let(strip_markers(x), collapse_blocks)), judge)
+    def refine(low: Column) -> Column:
+        """Most answers hold no tag, fence or talk, so nothing but white space is taken off their ends."""
+        plain = ~raw.contains("<") & ~raw.contains("```") & ~_holds_any(low, REASONING)
+        whole = let(let(strip_thinking(raw), unfence), strip_markers)
+        cleaned = let(F.when(plain, _trim(raw)).otherwise(whole), collapse_blocks)
+        return F.when(_holds_any(low, LEAKS), draft).otherwise(let(cleaned, judge))
+
+    return let(F.lower(raw), refine)
 
 
 def normalized_words(c: Column) -> Column:

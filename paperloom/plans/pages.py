@@ -109,7 +109,9 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     """Whether a revision passes the guards: leaks, emptiness, lost diagrams, bloat, truncation."""
     draft = F.concat(F.repeat(F.lit("kata "), F.col("p_size") * 8), F.lit("akhir."))
     forms = (("good", F.concat(draft, F.lit(" Baik."))), ("double", F.concat(draft, F.lit(" "), draft)), ("third", F.concat(F.repeat(F.lit("kata "), F.floor(F.col("p_size") * 2.5).cast("int")), F.lit("akhir."))), ("leak", F.concat(F.lit("Mari kita lihat.\n"), draft)), ("empty", F.lit("  ")))
-    x = load(spark, d, "part").select("p_partkey", draft.alias("draft"), F.explode(F.array(*[F.struct(F.lit(n).alias("form"), t.alias("raw")) for n, t in forms])).alias("f"))
+    # A part makes some kilobytes of text, so even a small file is spread; a stated number is not coalesced.
+    parts = load(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    x = parts.select("p_partkey", draft.alias("draft"), F.explode(F.array(*[F.struct(F.lit(n).alias("form"), t.alias("raw")) for n, t in forms])).alias("f"))
     return x.select("p_partkey", "f.form", (P.accepted_revision(F.col("draft"), F.col("f.raw")) == F.col("draft")).alias("draft_kept"))
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -122,3 +123,43 @@ def test_mermaid():
     assert M.problem("flowchart TD\nsubgraph S\nS --> A\nend") == "group inside itself"
     assert M.problem(M.sanitize("flowchart TD\nsubgraph S\nS --> A\nend")) is None
     assert "pie" not in M.retain_flowcharts("a\n```mermaid\npie\n```\nb")
+
+
+def test_ends_of_pages_are_trimmed_like_cells(spark):
+    texts = [None, "", "a", "a b", *P.WHITE, P.WHITE, *[w + "a" + w + "b" + w for w in P.WHITE], P.WHITE + "é" + P.WHITE, "\u200ba\u200b", "a\ufeff"]
+    assert apply(spark, texts, P._trim) == apply(spark, texts, C.strip)
+    assert apply(spark, [w + "a b" + w for w in P.WHITE], P._trim) == ["a b"] * len(P.WHITE)
+
+
+def test_revisions(spark):
+    draft, diagram, long = "isi", "isi\n```mermaid\nflowchart TD\n```", "kata " * 200
+    cases = [
+        (draft, " baru\u3000\n", "baru"), (draft, "satu\n\nsatu\n\n\ndua", "satu\n\ndua"), (draft, None, draft), (draft, "  ", draft),
+        (draft, "Mari kita lihat", draft), (draft, "ATURAN 10", draft), (draft, "MARİ KİTA", "MARİ KİTA"), (draft, "catatan Aturan \n# Judul", "# Judul"),
+        (draft, "<think>x</think>baru <!-- PAGE: 3 -->", "baru"), (draft, "<THINK>x</THINK>baru", "baru"), (draft, "x</think>baru", "baru"), (draft, "baru<think>x", "baru"),
+        (draft, "```markdown\nLet me check\n# Judul\n```", "# Judul"), (draft, "```\na\n\na\n```", "a"), (draft, "a < b", "a < b"), (draft, "PerbaiKan teKs x", "PerbaiKan teKs x"),
+        (diagram, "baru", diagram), (diagram, "baru\n  ```MERMAID\nx\n```", "baru\n  ```MERMAID\nx\n```"), (long, long + long, long), (long, "kata", long), (long, "kata " * 100, ("kata " * 100).strip()), (None, "x", "x"),
+    ]
+    df = spark.createDataFrame([(i, d, r) for i, (d, r, _) in enumerate(cases)], "i int, d string, r string")
+    assert [r[0] for r in df.orderBy("i").select(P.accepted_revision(F.col("d"), F.col("r"))).collect()] == [x for _, _, x in cases]
+
+
+def test_plain_revisions_take_few_passes(spark):
+    kata = F.concat(F.repeat(F.lit("kata "), (F.col("id") % 50).cast("int") * 8), F.lit("akhir."))
+    df = spark.range(6000).select(kata.alias("d"), F.concat(kata, F.lit(" Baik.")).alias("r")).localCheckpoint()
+
+    def least(c):
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            df.select(c.alias("c")).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert least(P.accepted_revision(F.col("d"), F.col("r"))) < 3 * least(C.strip(F.col("r")))
+
+
+def test_judged_revisions_are_spread(spark, data):
+    from paperloom.plans.pages import judged
+
+    assert judged(spark, data).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
